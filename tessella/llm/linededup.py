@@ -7,22 +7,25 @@ from pyspark.sql import functions as F
 
 
 def _key(line: Column) -> Column:
-    """128 bits of hash of the trimmed line; null for a blank one."""
+    """64 bits of hash of the trimmed line; null for a blank one. An innocent line shares a flagged line's key once in 10^19."""
     line = F.regexp_replace(line, r"^[ \t\r]+|[ \t\r]+$", "")
-    return F.when(line != "", F.md5(line))
+    return F.when(line != "", F.xxhash64(line))
 
 
 def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = 0.05, least: int = 3) -> DataFrame:
     """(host, lines: keys of the lines that are on at least `least` pages and over `ratio` of the pages of the host).
 
-    Every page counts a line once. Counts are combined before the shuffle, so a hot host or line is one
-    row per task; a host's list is bounded by its mean number of lines a page over `ratio`.
+    A host's pages are its distinct texts, so a page with many copies is no evidence of boilerplate; each
+    counts a line once, and itself as one null line. Only hashes are shuffled, and copies and counts are
+    combined before they are, so a hot page, host or line is one row per task. A host's list is bounded
+    by its mean number of lines a page over `ratio`.
     """
-    host = F.col(host_col).cast("string").alias("host")
-    totals = docs.groupBy(host).agg(F.count("*").alias("pages"))
-    lines = docs.select(host, F.explode(F.array_distinct(F.transform(F.split(F.col(text_col).cast("string"), "\n"), _key))).alias("line"))
-    counts = lines.where("line is not null").groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    common = counts.join(totals.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h"))).where(F.col("n") > ratio * F.col("pages"))
+    text = F.col(text_col).cast("string")
+    keys = F.array_distinct(F.filter(F.transform(F.split(text, "\n"), _key), lambda k: k.isNotNull()))
+    pages = docs.where(text.isNotNull()).select(F.col(host_col).cast("string").alias("host"), F.xxhash64(text).alias("page"), keys.alias("lines")).dropDuplicates(["host", "page"])
+    counts = pages.select("host", F.explode(F.array_append("lines", F.lit(None).cast("long"))).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
+    totals = counts.where("line is null").select(F.col("host").alias("h"), F.col("n").alias("pages"))
+    common = counts.where(F.col("line").isNotNull() & (F.col("n") >= least)).join(totals, F.col("host").eqNullSafe(F.col("h"))).where(F.col("n") > ratio * F.col("pages"))
     return common.groupBy("host").agg(F.collect_list("line").alias("lines"))
 
 
@@ -33,8 +36,8 @@ def drop_boilerplate(
 
     A line is compared without the spaces, tabs and returns around it; blank lines are never boilerplate.
     With `stats` the columns n_lines and n_dropped follow. A null text stays null (0 lines); a null host is
-    a host of its own; a text of nothing but boilerplate becomes empty; repeated rows count as pages of
-    their own; an empty table gives an empty one. Columns named like the internal ones are kept apart.
+    a host of its own; a text of nothing but boilerplate becomes empty; repeated rows count as one page and
+    all lose the same lines; an empty table gives an empty one; extra columns pass through.
     """
     flagged = boilerplate(docs, host_col, text_col, ratio, least).select(F.col("host").alias("__host"), F.col("lines").alias("__lines"))
     text = F.col(text_col).cast("string")
@@ -51,12 +54,12 @@ def drop_boilerplate(
 
 SQL = r"""
 WITH l AS (
-  SELECT doc_id, source, i, line, regexp_replace(line, '^[ \t\r]+|[ \t\r]+$', '', 'g') AS k
-  FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) x
-), t AS (SELECT source, COUNT(*) AS pages FROM documents GROUP BY source),
+  SELECT doc_id, source, text, i, line, regexp_replace(line, '^[ \t\r]+|[ \t\r]+$', '', 'g') AS k
+  FROM (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) x
+), t AS (SELECT source, COUNT(DISTINCT text) AS pages FROM documents GROUP BY source),
 f AS (
   SELECT l.source, l.k FROM l JOIN t ON t.source IS NOT DISTINCT FROM l.source WHERE l.k <> ''
-  GROUP BY l.source, l.k, t.pages HAVING COUNT(DISTINCT l.doc_id) >= 3 AND COUNT(DISTINCT l.doc_id) > 0.05 * t.pages
+  GROUP BY l.source, l.k, t.pages HAVING COUNT(DISTINCT l.text) >= 3 AND COUNT(DISTINCT l.text) > 0.05 * t.pages
 )
 SELECT l.doc_id, COALESCE(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (WHERE f.k IS NULL), '') AS text,
        CAST(COUNT(*) AS BIGINT) AS n_lines, CAST(COUNT(f.k) AS BIGINT) AS n_dropped

@@ -16,7 +16,22 @@ def test_lines_over_the_ratio_go_and_all_else_stays(spark):
     assert stats[0] == (4, 2) and stats[21] == (0, 0) and stats[24] == (2, 2)
 
 
-def test_a_line_counts_once_a_page_and_repeated_rows_are_pages(spark):
-    docs = spark.createDataFrame([(1, "h", "a\na\na\nb"), (2, "h", "c"), (3, "h", "d\n" * 50_000)] + [(9, "h", "z")] * 3, "doc_id long, source string, text string")
-    got = {r.doc_id: r.text for r in linededup.drop_boilerplate(docs, ratio=0.3, least=2).collect()}
-    assert got[1] == "a\na\na\nb" and got[9] == "" and got[3].startswith("d\nd")
+def test_a_line_counts_once_a_page_and_copies_are_one_page(spark):
+    rows = [(1, "h", "a\na\na\nb"), (2, "h", "c"), (3, "h", "d\n" * 50_000)] + [(9, "h", "z")] * 30 + [(10, "h", "t\n1"), (11, "h", "t\n2"), (12, "h", "t")]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, source string, text string, line int")
+    got = {r.doc_id: r.text for r in linededup.drop_boilerplate(docs, ratio=0.4, least=2).collect()}
+    assert got[1] == "a\na\na\nb" and got[9] == "z" and got[3].startswith("d\nd")
+    assert got[10] == "1" and got[11] == "2" and got[12] == ""
+
+
+def test_query_against_sql(spark):
+    import duckdb
+
+    from tessella.llm.queries import op7_lines
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
+    want = con.sql(linededup.SQL)
+    got = op7_lines(spark, "/root/testdata/sf0.01").select(*want.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall())
+    assert any(r.n_dropped for r in got)
