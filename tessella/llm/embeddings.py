@@ -13,7 +13,7 @@ from tessella.llm.common import partitions, streamed_groups, written
 from tessella.llm.components import connected_components
 
 
-def spherical_kmeans(x: np.ndarray, cells: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
+def spherical_kmeans(x: np.ndarray, cells: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
     """Unit centroids of unit rows; a cell that loses all its rows is given the row worst served."""
     rng = np.random.default_rng(seed)
     centroids = x[np.sort(rng.choice(len(x), min(cells, len(x)), replace=False))].copy()
@@ -21,8 +21,10 @@ def spherical_kmeans(x: np.ndarray, cells: int, rounds: int = 12, seed: int = 7)
         dots = x @ centroids.T
         nearest = dots.argmax(axis=1)
         worst = np.argsort(dots.max(axis=1), kind="stable")
+        order = np.argsort(nearest, kind="stable")
+        edges = np.searchsorted(nearest[order], np.arange(len(centroids) + 1))
         for c in range(len(centroids)):
-            members = x[nearest == c]
+            members = x[order[edges[c] : edges[c + 1]]]
             total = members.sum(axis=0) if len(members) else x[worst[c % len(x)]]
             norm = np.linalg.norm(total)
             if norm > 0:
@@ -43,7 +45,7 @@ def _close(home: np.ndarray, others: np.ndarray, least: float, step: int = 2048)
 
 
 def near_duplicates(
-    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, cells: int = 64, margin: float = 0.2, sample: int = 8192, block: int = 512
+    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, cells: int | None = None, margin: float = 0.2, sample: int = 8192, block: int = 1024
 ) -> DataFrame:
     """One row per vector: (`id_col`, n_links, component_id, kept).
 
@@ -52,7 +54,8 @@ def near_duplicates(
     most `margin` times the centroids' distance (0.2 is over three standard deviations of what two vectors
     at cosine 0.9 differ by in one direction of 64). All pairs of a cell, visitors included, are compared
     in blocks of double-precision products; only pairs of cosine `least` or more count. The centroids are fit
-    on at most `sample` nodes, those of least hash; every row is indexed.
+    on at most `sample` nodes, those of least hash; every row is indexed. Unless given, their number is one
+    for 128 nodes, and at most one for 8 of the sample: the more there are, the fewer a node is near to.
 
     n_links counts other rows, copies included; component_id is the smallest id reachable and kept says
     that it is the row's own. Vectors that are null, empty, zero or hold null or non-finite components
@@ -71,11 +74,13 @@ def near_duplicates(
     while not distinct.groupBy(F.xxhash64("v", F.lit(seed))).count().where("count > 1").isEmpty():
         seed += 1
     nodes = distinct.withColumn("node", F.xxhash64("v", F.lit(seed)))
-    fitted: dict[int, np.ndarray] = {}
+    n_nodes = distinct.count()
+    fitted: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # centroids, and how much farther than the nearest a cell may be
     picked = nodes.orderBy("node").limit(sample).select("node", "dim", "v").toPandas().sort_values("node")
     for dim, part in picked.groupby("dim"):
         x = np.stack(part["v"].to_numpy())
-        fitted[int(dim)] = spherical_kmeans(x / np.linalg.norm(x, axis=1)[:, None], cells)
+        centroids = spherical_kmeans(x / np.linalg.norm(x, axis=1)[:, None], cells or max(1, min(len(x) // 8, n_nodes // 128)))
+        fitted[int(dim)] = centroids, margin * np.sqrt(np.maximum(0, 2 - 2 * centroids @ centroids.T))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,11 +88,10 @@ def near_duplicates(
             for dim in np.unique(dims):
                 part = batch.filter(pa.array(dims == dim))
                 x = _unit(part.column("v"))
-                centroids = fitted.get(int(dim), np.eye(1, int(dim)))
+                centroids, slack = fitted.get(int(dim), (np.eye(1, int(dim)), np.zeros((1, 1))))
                 dots = x @ centroids.T
                 own = dots.argmax(axis=1)
-                apart = np.linalg.norm(centroids[:, None] - centroids[None], axis=2)
-                near = dots.max(axis=1)[:, None] - dots <= margin * apart[own]
+                near = dots.max(axis=1)[:, None] - dots <= slack[own]
                 near &= np.arange(len(centroids))[None] <= own[:, None]
                 row, cell = np.nonzero(near)
                 taken = part.take(pa.array(row))
@@ -98,7 +102,6 @@ def near_duplicates(
 
     placed = nodes.select("dim", "node", "copies", "v").mapInArrow(place, "dim int, cell int, home int, node long, copies long, v array<double>")
     placed = written(placed, "placed")
-    # One row per length and cell, so at most `cells` for each length of a vector.
     blocks = placed.where("home = 1").groupBy("dim", "cell").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
     spread = (
         placed.join(blocks, ["dim", "cell"])
