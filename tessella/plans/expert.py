@@ -2,16 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import text as T
 from tessella.functions import vectors as V
 from tessella.operators import career, diversity, kg, rag, recency, retrieval, roles, tensor, trajectory
 from tessella.sources import fixtures as fx
+from tessella.sources.store import written
 
 
 class Expert(fx.Fixtures):
+    """The steps hand each other written tables, each made once for a query that needs it: plans stay small."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__(spark, sf_dir)
+        self._made: dict[str, DataFrame] = {}
+
+    def once(self, name: str, df: Callable[[], DataFrame], partition_by: str | None = None) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = written(df(), name, partition_by)
+        return self._made[name]
+
     def tensor(self, level: int = 2) -> DataFrame:
         return tensor.tensor(self.papers(), self.links(), self.topics(level))
 
@@ -24,21 +38,24 @@ class Expert(fx.Fixtures):
     def ratios(self) -> DataFrame:
         return career.recency_of_papers(self.years(), fx.END_YEAR, fx.WINDOW)
 
+    def second_order(self) -> DataFrame:
+        """The second-order tensor, written: several steps read it."""
+        return self.once("tensor", self.tensor)
+
     def regime_map(self) -> DataFrame:
-        return career.regimes(self.authors(), self.profiles(), self.tensor(), fx.END_YEAR, fx.WINDOW)
+        return self.once("regimes", lambda: career.regimes(self.authors(), self.profiles(), self.second_order(), fx.END_YEAR, fx.WINDOW))
 
     def of_regime(self, regime: str) -> tuple[DataFrame, DataFrame]:
         """(tensor rows of the regime's authors, their rows of the map)"""
         members = self.regime_map().where(F.col("regime") == regime)
-        return self.tensor().join(members.select("author_id"), "author_id", "left_semi"), members
+        return self.second_order().join(members.select("author_id"), "author_id", "left_semi"), members
 
     def cells(self) -> DataFrame:
         t, members = self.of_regime("B")
-        return trajectory.sliced(t, members, fx.SLICE)
+        return self.once("cells", lambda: trajectory.sliced(t, members, fx.SLICE))
 
     def features_b(self) -> DataFrame:
-        t, members = self.of_regime("B")
-        return trajectory.features(trajectory.sliced(t, members, fx.SLICE), members)
+        return trajectory.features(self.cells(), self.of_regime("B")[1])
 
     def features_a(self) -> DataFrame:
         t, members = self.of_regime("A")
@@ -51,10 +68,10 @@ class Expert(fx.Fixtures):
         return roles.logs(roles.inputs(self.regime_map(), roles.positions(self.authorship()), self.features_b(), self.features_a()))
 
     def scored(self) -> DataFrame:
-        return roles.scores(roles.zscores(self.role_inputs()))
+        return roles.scores(roles.zscores(self.once("inputs", self.role_inputs)))
 
     def roled(self) -> DataFrame:
-        return roles.probabilities(self.scored())
+        return self.once("roled", lambda: roles.probabilities(self.scored()))
 
     def graph(self, with_roles: bool = False) -> DataFrame:
         """The whole bibliography as triples. Branches whose predicate a query excludes are pruned from its plan."""
@@ -75,12 +92,16 @@ class Expert(fx.Fixtures):
         )
         return kg.together(g, kg.role_triples(self.roled())) if with_roles else g
 
+    def store(self) -> DataFrame:
+        """The graph with roles as a table partitioned by predicate, for queries of many patterns."""
+        return self.once("graph", lambda: self.graph(with_roles=True), "p")
+
     def plain_docs(self) -> DataFrame:
         return self.docs().withColumn("text", T.ascii_only(F.col("text")))
 
     def retrieved(self) -> DataFrame:
         """(doc_id, score) of the hybrid retrieval for the fixed query."""
-        return retrieval.hybrid(self.plain_docs().select("doc_id", "text", "embedding"), self.query_vector(), fx.QUERY_TEXT)
+        return self.once("retrieved", lambda: retrieval.hybrid(self.plain_docs().select("doc_id", "text", "embedding"), self.query_vector(), fx.QUERY_TEXT))
 
     def ranked_papers(self) -> DataFrame:
         """(paper_id, rank): the retrieved documents' papers, best first."""
@@ -91,13 +112,13 @@ class Expert(fx.Fixtures):
         return best.select("paper_id", F.row_number().over(Window.orderBy(F.desc("b"))).alias("rank"))
 
     def candidates(self) -> DataFrame:
-        return retrieval.candidates(self.ranked_papers(), self.authorship())
+        return self.once("candidates", lambda: retrieval.candidates(self.ranked_papers(), self.authorship()))
 
     def pool(self, missing_role: str = "collaborating", missing_prob: float = 0.333) -> DataFrame:
         return diversity.role_pool(self.candidates(), self.roled(), missing_role, missing_prob)
 
     def ranking(self) -> DataFrame:
-        return diversity.role_diverse(self.pool())
+        return self.once("ranking", lambda: diversity.role_diverse(self.pool()))
 
     def predicted(self) -> DataFrame:
         """(query, id, rank): the ranking of candidates, judged against each author tag as a query of its own."""
@@ -109,7 +130,7 @@ class Expert(fx.Fixtures):
 
     def contexts(self) -> DataFrame:
         """(author, text) for every author."""
-        g = self.graph(with_roles=True)
+        g = self.store()
         return rag.texts(g, kg.subjects(g, "rdf:type", "ex:Author").withColumnRenamed("s", "author"))
 
     def centroids(self) -> DataFrame:

@@ -159,8 +159,8 @@ CTES = {
     "sizes": "SELECT v.role, v.ord, COUNT(p.author_id) AS size FROM (VALUES ('emerging', 0), ('collaborating', 1), ('supervising', 2)) v(role, ord) LEFT JOIN pool p ON p.role = v.role GROUP BY 1, 2",
     "quotas": """SELECT *, SUM(need) OVER (ORDER BY ord) AS hi, SUM(need) OVER (ORDER BY ord) - need AS lo FROM (SELECT *, greatest(quota - size, 0) AS need FROM (
         SELECT *, (SELECT SUM(size) FROM sizes) // 3 + CASE WHEN ROW_NUMBER() OVER (ORDER BY size DESC, ord) <= (SELECT SUM(size) FROM sizes) % 3 THEN 1 ELSE 0 END AS quota FROM sizes) a) b""",
-    "ranking": """SELECT author_id, role, prob, CAST(ROW_NUMBER() OVER (ORDER BY seg, extra, at) AS INTEGER) AS rank FROM (
-        SELECT p.author_id, p.role, p.prob, q.ord AS seg, 0 AS extra, p.rn AS at FROM pool p JOIN quotas q USING (role) WHERE p.rn <= q.quota
+    "ranking": """SELECT author_id, role, prob, CAST(ROW_NUMBER() OVER (ORDER BY seg, extra, place) AS INTEGER) AS rank FROM (
+        SELECT p.author_id, p.role, p.prob, q.ord AS seg, 0 AS extra, p.rn AS place FROM pool p JOIN quotas q USING (role) WHERE p.rn <= q.quota
         UNION ALL SELECT s.author_id, s.role, s.prob, q.ord, 1, s.e FROM (SELECT p.*, ROW_NUMBER() OVER (ORDER BY q.ord, p.rn) - 1 AS e FROM pool p JOIN quotas q USING (role) WHERE p.rn > q.quota) s
         JOIN quotas q ON q.need > 0 AND s.e >= q.lo AND s.e < q.hi) x""",
     "pred": "SELECT t.tag AS query, r.author_id AS id, r.rank FROM ranking r CROSS JOIN (SELECT DISTINCT tag FROM fx_author) t",

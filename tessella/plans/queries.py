@@ -389,7 +389,7 @@ def kg_upsert_roles(e):
 
 @query("SELECT 'http://example.org/author/' || author_id AS s, prob_emerging, prob_collaborating, prob_supervising, dominant_role FROM roled WHERE author_id IN (SELECT author_id FROM cands)")
 def kg_star_roles(e):
-    return kg.roles(e.graph(True), e.candidates().select(kg.uri("author", F.col("author_id")).alias("s")))
+    return kg.roles(e.store(), e.candidates().select(kg.uri("author", F.col("author_id")).alias("s")))
 
 
 @query("SELECT tp.title AS paper_title, ta_.title AS author_name, a.pos, CAST(a.n_authors AS INTEGER) AS n_authors FROM fx_authorship a JOIN titles tp ON tp.s = 'http://example.org/paper/' || a.paper_id JOIN titles ta_ ON ta_.s = 'http://example.org/author/' || a.author_id ORDER BY 1, 3, 2 LIMIT 15")
@@ -403,17 +403,17 @@ def _top(role: str) -> str:
 
 @query(_top("emerging"))
 def role_topn_emerging(e):
-    return kg.role_top(e.graph(True), "emerging")
+    return kg.role_top(e.store(), "emerging")
 
 
 @query(_top("supervising"))
 def role_topn_supervising(e):
-    return kg.role_top(e.graph(True), "supervising")
+    return kg.role_top(e.store(), "supervising")
 
 
 @query("SELECT dominant_role, COUNT(*) AS n_authors FROM roled GROUP BY 1")
 def role_distribution(e):
-    return kg.role_counts(e.graph(True))
+    return kg.role_counts(e.store())
 
 
 @query("SELECT 'http://example.org/author/' || author_id AS author, MIN(year) AS first_year, MAX(year) AS last_year FROM ay GROUP BY author_id")
@@ -421,7 +421,7 @@ def career_first_last(e):
     return kg.career_window(e.graph())
 
 
-@query("SELECT input, s FROM (SELECT upper('  ' || c_name || ' ') AS input FROM customer UNION ALL SELECT n_name FROM nation) w JOIN (SELECT DISTINCT s, lower(trim(o)) AS t FROM g WHERE p = 'dcterms:title') t ON t.t = lower(trim(w.input)) UNION ALL SELECT 'http://example.org/author/x', 'http://example.org/author/x'")
+@query("SELECT input, s FROM (SELECT upper(repeat(' ', 2) || c_name || ' ') AS input FROM customer UNION ALL SELECT n_name FROM nation) w JOIN (SELECT DISTINCT s, lower(trim(o)) AS t FROM g WHERE p = 'dcterms:title') t ON t.t = lower(trim(w.input)) UNION ALL SELECT 'http://example.org/author/x', 'http://example.org/author/x'")
 def entity_lookup(e):
     asked = e.table("customer").select(F.upper(F.concat(F.lit("  "), "c_name", F.lit(" "))).alias("input")).unionByName(e.table("nation").select(F.col("n_name").alias("input")))
     return kg.lookup(e.graph(), asked.unionByName(e.spark.createDataFrame([("http://example.org/author/x",)], "input string")))
