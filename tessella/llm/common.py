@@ -1,49 +1,16 @@
-"""What the operators of this subpackage share: the shared folder, written tables, streamed groups."""
+"""What the operators of this subpackage share: written tables and streamed groups."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
-_OWN: dict[str, str] = {}
+from tessella.sources.store import new_path, written
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Where that is unset and the session is local (tests, a laptop) a temporary folder is made and
-    removed at exit; on a cluster an unset folder is an error, for a machine-local one would lose data.
-    """
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    master = conf.get("spark.master", "")
-    if not master.startswith("local[") and master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if spark.sparkContext.applicationId not in _OWN:
-        made = tempfile.mkdtemp(prefix="tessella-")
-        atexit.register(shutil.rmtree, made, ignore_errors=True)
-        _OWN[spark.sparkContext.applicationId] = made
-    return _OWN[spark.sparkContext.applicationId]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tessella-{uuid.uuid4().hex}/{name}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes `df` once to the shared folder and reads it back: a cut in the lineage that outlives executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["binary", "new_path", "partitions", "streamed_groups", "written"]
 
 
 def partitions(spark: SparkSession) -> int:

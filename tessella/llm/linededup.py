@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.common import written
+
+SALTS = 64
+
 
 def _key(line: Column) -> Column:
     """64 bits of hash of the trimmed line; null for a blank one. An innocent line shares a flagged line's key once in 10^19."""
@@ -30,7 +34,7 @@ def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text
 
 
 def drop_boilerplate(
-    docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = 0.05, least: int = 3, stats: bool = False
+    docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = 0.05, least: int = 3, stats: bool = False, broadcast_bytes: int = 4 << 20
 ) -> DataFrame:
     """`docs` with boilerplate lines taken out of `text_col`; all other lines, their order and line ends stay.
 
@@ -38,12 +42,21 @@ def drop_boilerplate(
     With `stats` the columns n_lines and n_dropped follow. A null text stays null (0 lines); a null host is
     a host of its own; a text of nothing but boilerplate becomes empty; repeated rows count as one page and
     all lose the same lines; an empty table gives an empty one; extra columns pass through.
+
+    The hosts' lists are written and measured: up to `broadcast_bytes` they go to the texts, which then
+    never move; beyond it they meet in a join on host and salt, so that a hot host is many keys.
     """
-    flagged = boilerplate(docs, host_col, text_col, ratio, least).select(F.col("host").alias("__host"), F.col("lines").alias("__lines"))
+    flagged = written(boilerplate(docs, host_col, text_col, ratio, least).select(F.col("host").alias("__host"), F.col("lines").alias("__lines")), "boilerplate")
+    size = flagged.agg(F.sum(F.size("__lines") * 8 + F.coalesce(F.octet_length("__host"), F.lit(0)) + 64)).first()[0] or 0
     text = F.col(text_col).cast("string")
     split = F.split(text, "\n")
     marked = F.transform(split, lambda x: F.struct(x.alias("x"), F.coalesce(F.array_contains("__lines", _key(x)), F.lit(False)).alias("out")))
-    joined = docs.join(flagged, F.col(host_col).cast("string").eqNullSafe(F.col("__host")), "left")
+    same_host = F.col(host_col).cast("string").eqNullSafe(F.col("__host"))
+    if size <= broadcast_bytes:
+        joined = docs.join(F.broadcast(flagged), same_host, "left")
+    else:
+        salted = flagged.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = docs.withColumn("__own", F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int")).join(salted, same_host & (F.col("__own") == F.col("__salt")), "left")
     joined = joined.withColumn("__kept", F.when(F.col("__lines").isNull(), split).otherwise(F.transform(F.filter(marked, lambda m: ~m["out"]), lambda m: m["x"])))
     columns = [F.array_join("__kept", "\n").alias(c) if c == text_col else F.col(c) for c in docs.columns]
     if stats:

@@ -8,6 +8,7 @@ def test_lines_over_the_ratio_go_and_all_else_stays(spark):
     rows += [(20, None, "Menu\nown"), (21, None, None), (22, "solo", "Menu\nMenu\nfoot"), (23, "h", ""), (24, "h", "Menu\nfoot")]
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, source string, text string, n_lines string")
     got = {r.doc_id: r.text for r in linededup.drop_boilerplate(docs, ratio=0.3).collect()}
+    assert got == {r.doc_id: r.text for r in linededup.drop_boilerplate(docs, ratio=0.3, broadcast_bytes=0).collect()}
     assert got[0] == "own line 0\n" and got[7] == "own line 7\nMenu 7"
     assert got[20] == "Menu\nown" and got[21] is None and got[22] == "Menu\nMenu\nfoot" and got[23] == "" and got[24] == ""
     assert linededup.drop_boilerplate(docs).columns == docs.columns
