@@ -27,7 +27,7 @@ def test_similarities(spark):
     assert apply(spark, jac, "A  b", "b c", "", None) == [1.0, 1 / 3, 0.0, 0.0]
     assert [r[0] for r in spark.range(1).select(T.jaccard(F.lit(""), F.lit(" "))).collect()] == [0.0]
     lev = lambda c: T.levenshtein_similarity(c, F.lit("abc"))
-    assert apply(spark, lev, "abd", "ABC", "", None, "é") == [2 / 3, 0.0, 0.0, 0.0, 0.0]
+    assert apply(spark, lev, "abd", "ABC", "", None, "é") == [1 - 1 / 3, 0.0, 0.0, 0.0, 0.0]
 
 
 def test_normalize_and_slugs(spark):
@@ -112,12 +112,11 @@ def test_tables(spark, tmp_path):
     assert next((tmp_path / "rag" / "k=a").glob("part-*")).read_text() == "text of a\n"
 
 
-class Length:
-    def score(self, query, texts):
-        return [min(1.0, len(t) / 10) for t in texts]
-
-
 def test_scorers(spark):
+    class Length:  # local, so that it travels to the workers by value
+        def score(self, query, texts):
+            return [min(1.0, len(t) / 10) for t in texts]
+
     docs = spark.createDataFrame([(1, "a b"), (2, "a"), (3, None), (4, "a b c d")], "doc_id long, text string")
     assert [r.doc_id for r in scorers.rerank(docs, "a b", 2).collect()] == [1, 2]
     assert [r.doc_id for r in scorers.rerank(docs, "q", scorer=Length).collect()] == [4, 1, 2, 3]
