@@ -49,6 +49,11 @@ class Lexical:
         return [p.splitlines()[-1] if p else "" for p in prompts]
 
 
+def prompt(query: str, text: str) -> str:
+    """What a yes-or-no model is asked about one text."""
+    return f"Does the document answer the query? Reply yes or no.\nQuery: {query}\nDocument: {text}"
+
+
 def identity(query: str) -> str:
     """The default query expansion."""
     return query

@@ -67,3 +67,35 @@ def texts_in_order(g: DataFrame, ids: DataFrame, least: int = 2, base: str = kg.
     """ids(pos, id) -> (pos, id, text) for each, repeats included; numbers stand for author URIs."""
     named = ids.withColumn("author", F.when(F.col("id").cast("string").rlike("^[0-9]+$"), kg.uri("author", F.col("id"), base)).otherwise(F.col("id").cast("string")))
     return named.join(texts(g, named, least), "author", "left").select("pos", "id", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def summaries(g: DataFrame, authors: DataFrame, least: int = 1) -> DataFrame:
+    """(author, name, orgs, papers, subtopics, main_topics, coauthors, role): one record per author, lists sorted by URI, coauthors by count.
+
+    A hub's lists are as long as its papers and coauthors are many; they are gathered only for the authors asked for.
+    """
+    wanted = authors.select("author").distinct()
+    titles = kg.entity_names(g, "uri").withColumnRenamed("uri_title", "title")
+    links = kg.objects(g, "ex:hasAuthor", "author").withColumnRenamed("s", "paper")
+    own = links.join(wanted, "author", "left_semi")
+
+    def listed(rows: DataFrame, name: str) -> DataFrame:
+        named = rows.join(wanted, "author", "left_semi").distinct().join(titles, "uri", "left")
+        return named.groupBy("author").agg(F.sort_array(F.collect_list(F.struct("uri", "title"))).alias(name))
+
+    shared = own.join(links.withColumnRenamed("author", "uri"), "paper").where("uri <> author").groupBy("author", "uri").agg(F.countDistinct("paper").alias("count")).where(F.col("count") >= least)
+    co = shared.join(titles, "uri", "left").groupBy("author").agg(F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("o"), "uri", "title", "count"))).alias("c"))
+    co = co.select("author", F.transform("c", lambda x: F.struct(x["uri"].alias("uri"), x["title"].alias("name"), x["count"].alias("count"))).alias("coauthors"))
+    probs = [f"prob_{r}" for r in kg.ROLE_LABELS]
+    label = F.initcap("dominant_role")
+    for r, text in kg.ROLE_LABELS.items():
+        label = F.when(F.col("dominant_role") == r, text).otherwise(label)
+    role = kg.roles(g).select(F.col("s").alias("author"), F.struct("dominant_role", label.alias("label"), *probs).alias("role"))
+    out = wanted.join(titles.select(F.col("uri").alias("author"), F.col("title").alias("name")), "author", "left")
+    parts = {
+        "orgs": kg.objects(g, "ex:affiliatedWith", "uri").withColumnRenamed("s", "author"), "papers": own.withColumnRenamed("paper", "uri"),
+        "subtopics": kg.subtopics(g).withColumnRenamed("subtopic", "uri"), "main_topics": kg.main_topics(g).withColumnRenamed("main_topic", "uri"),
+    }
+    for name, rows in parts.items():
+        out = out.join(listed(rows, name), "author", "left")
+    return out.join(co, "author", "left").join(role.join(wanted, "author", "left_semi"), "author", "left")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.functions import scorers
 from tessella.functions import text as T
 from tessella.functions import vectors as V
 from tessella.operators import career, diversity, kg, rag, recency, retrieval, roles, tensor, trajectory
@@ -138,6 +139,31 @@ class Expert(fx.Fixtures):
         return V.centroid(joined, "source", "embedding")
 
 
+RELEVANCE_PROMPT = "Say in one JSON object with the fields relevance and evidence why this author is an expert on the topic.\nTopic: %s\nMatched papers: %s\n%s"
+ROLE_PROMPT = "Say in one JSON object with the fields role and reason what stage this author's career is at.\nCareer span: %s years, role: %s, recency: %.3f\n%s"
+
+
+def explained_authors(e: Expert, model: Callable[[], scorers.Answerer] = scorers.Lexical, k: int = 3) -> DataFrame:
+    """(author_id, rank, n_matched, relevance, relevance_raw, career, career_raw) for the first k of the ranking.
+
+    Two prompts per author go to the model; an answer that is a JSON object is parsed, any other kept raw.
+    """
+    top = e.ranking().where(F.col("rank") <= k)
+    facts = e.roled().select("author_id", "career_span", "dominant_role", "recency_ratio")
+    wanted = top.join(facts, "author_id", "left").join(retrieval.matched_papers(e.ranked_papers(), e.authorship()), "author_id", "left").withColumn("author", kg.uri("author", F.col("author_id")))
+    rows = wanted.join(rag.texts(e.store(), wanted.select("author")), "author", "left")
+    asked = rows.select(
+        "author_id", F.format_string(RELEVANCE_PROMPT, F.lit(fx.QUERY_TEXT), F.col("n_matched").cast("string"), F.col("text")).alias("p1"),
+        F.format_string(ROLE_PROMPT, F.col("career_span").cast("string"), F.col("dominant_role"), F.col("recency_ratio"), F.col("text")).alias("p2"),
+    )
+    out = rows.select("author_id", "rank", "n_matched")
+    for prompt, name in (("p1", "relevance"), ("p2", "career")):
+        parsed, raw = T.json_or_raw(F.col("answer"), "map<string,string>")
+        answers = scorers.generated(asked, model, prompt, "author_id").select("author_id", parsed.alias(name), raw.alias(f"{name}_raw"))
+        out = out.join(answers, "author_id")
+    return out
+
+
 def explanation(e: Expert, pipeline: str = "proposed", k: int = 10) -> DataFrame:
     """One row, one JSON object: the query, its papers, and the trace of how the first candidates were ranked.
 

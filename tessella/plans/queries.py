@@ -12,7 +12,7 @@ from tessella.functions import text as T
 from tessella.functions import vectors as V
 from tessella.operators import career, diversity, evaluate, kg, rag, recency, retrieval, roles, tensor, trajectory
 from tessella.plans import oracle as o
-from tessella.plans.expert import Expert, explanation
+from tessella.plans.expert import Expert, explained_authors, explanation
 from tessella.sources import fixtures as fx
 from tessella.sources import rdf
 
@@ -731,6 +731,20 @@ def pairwise_rerank(e):
     return scorers.pairwise(e.plain_docs().join(F.broadcast(e.retrieved().select("doc_id")), "doc_id", "left_semi"), _KW, 15)
 
 
+@query()
+def explain_authors(e):
+    found = explained_authors(e)
+    return found.withColumns({c: F.to_json(c) for c in ("relevance", "career")})
+
+
+@query()
+def author_summaries(e):
+    """A JSON record for each author of the graph."""
+    g = e.store()
+    found = rag.summaries(g, kg.subjects(g, "rdf:type", "ex:Author").withColumnRenamed("s", "author"), 2)
+    return found.select("author", F.to_json(F.struct("*")).alias("summary"))
+
+
 @query()
 def explain_json(e):
     return explanation(e, "proposed").unionByName(explanation(e, "baseline"))

@@ -1 +1 @@
-
+"""Empty on purpose: nothing that this engine computes is a stream."""
