@@ -143,8 +143,14 @@ def edit_probe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # As many ids as partitions: where the ranges are cut, and the least id that each of them holds.
     quantiles = ids.agg(F.percentile_approx("id", [i / n for i in range(1, n)] or [0.5], 10_000).alias("q")).first()["q"] or []
     cuts = np.unique(np.array(quantiles, np.int64))
-    ranged = F.size(F.filter(F.array(*[F.lit(int(c)).cast("long") for c in cuts]).cast("array<long>"), lambda c: c <= F.col("id")))
-    least = {r["r"]: r["least"] for r in ids.groupBy(ranged.alias("r")).agg(F.min("id").alias("least")).collect()}
+
+    def first_of_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.sort(batch.column(0).to_numpy())
+            r, first = np.unique(np.searchsorted(cuts, found, side="right"), return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(r.astype(np.int32)), pa.array(found[first])], names=["r", "id"])
+
+    least = {x["r"]: x["least"] for x in ids.mapInArrow(first_of_ranges, "r int, id long").groupBy("r").agg(F.min("id").alias("least")).collect()}
     held = sorted(least)
     before = {least[r]: held[i - 1] for i, r in enumerate(held)}
 
