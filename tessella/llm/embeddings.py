@@ -45,17 +45,17 @@ def _close(home: np.ndarray, others: np.ndarray, least: float, step: int = 2048)
 
 
 def near_duplicates(
-    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, cells: int | None = None, margin: float = 0.2, sample: int = 8192, block: int = 1024
+    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, cells: int | None = None, margin: float = 0.15, sample: int = 8192, block: int = 1024
 ) -> DataFrame:
     """One row per vector: (`id_col`, n_links, component_id, kept).
 
     Equal vectors are one node with a count. A node lives in the cell of its nearest centroid and also
     visits each earlier cell whose centroid it is nearly as close to: the two dot products differ by at
-    most `margin` times the centroids' distance (0.2 is over three standard deviations of what two vectors
-    at cosine 0.9 differ by in one direction of 64). All pairs of a cell, visitors included, are compared
+    most `margin` times the centroids' distance (0.15 is 2.7 standard deviations of what two vectors at
+    cosine 0.9 differ by in one direction of 64, and 3.8 at 0.95). All pairs of a cell, visitors included, are compared
     in blocks of double-precision products; only pairs of cosine `least` or more count. The centroids are fit
     on at most `sample` nodes, those of least hash; every row is indexed. Unless given, their number is one
-    for 128 nodes, and at most one for 8 of the sample: the more there are, the fewer a node is near to.
+    for 256 nodes, and at most one for 8 of the sample: the more there are, the fewer a node is near to.
 
     n_links counts other rows, copies included; component_id is the smallest id reachable and kept says
     that it is the row's own. Vectors that are null, empty, zero or hold null or non-finite components
@@ -64,9 +64,11 @@ def near_duplicates(
     are rows of their own. An empty table gives an empty result; extra columns are not read.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"  # half the bytes, and exact in double
+    kind = "array<float>" if single else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("v"))
     usable = F.coalesce(
-        F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False)
+        F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False)
     )
     rows = written(rows.withColumn("ok", usable), "vectors")
     distinct = written(rows.where("ok").groupBy("v").agg(F.min("id").alias("least"), F.count("*").alias("copies")).withColumn("dim", F.size("v")), "distinct")
@@ -78,8 +80,8 @@ def near_duplicates(
     fitted: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # centroids, and how much farther than the nearest a cell may be
     picked = nodes.orderBy("node").limit(sample).select("node", "dim", "v").toPandas().sort_values("node")
     for dim, part in picked.groupby("dim"):
-        x = np.stack(part["v"].to_numpy())
-        centroids = spherical_kmeans(x / np.linalg.norm(x, axis=1)[:, None], cells or max(1, min(len(x) // 8, n_nodes // 128)))
+        x = np.stack(part["v"].to_numpy()).astype(np.float64)
+        centroids = spherical_kmeans(x / np.linalg.norm(x, axis=1)[:, None], cells or max(1, min(len(x) // 8, n_nodes // 256)))
         fitted[int(dim)] = centroids, margin * np.sqrt(np.maximum(0, 2 - 2 * centroids @ centroids.T))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +102,7 @@ def near_duplicates(
                     names=["dim", "cell", "home", "node", "copies", "v"],
                 )
 
-    placed = nodes.select("dim", "node", "copies", "v").mapInArrow(place, "dim int, cell int, home int, node long, copies long, v array<double>")
+    placed = nodes.select("dim", "node", "copies", "v").mapInArrow(place, f"dim int, cell int, home int, node long, copies long, v {kind}")
     placed = written(placed, "placed")
     blocks = placed.where("home = 1").groupBy("dim", "cell").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
     spread = (
