@@ -15,8 +15,9 @@ STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "he
 
 
 def tokens(text: Column) -> Column:
-    """Lower-cased runs of non-space; none for null."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda x: x != "")
+    """Lower-cased runs of non-space; none for null. Trimming first leaves split no empty token, so no lambda is needed."""
+    t = F.btrim(F.lower(F.coalesce(text, F.lit(""))), F.lit(" \t\n\x0b\f\r"))
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, r"\s+"))
 
 
 def jaccard(a: Column, b: Column) -> Column:

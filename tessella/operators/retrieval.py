@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text as T
 from tessella.functions import vectors as V
+from tessella.sources.store import written
 
 
 def cosine_scores(docs: DataFrame, query: list[float], vector: str = "embedding") -> DataFrame:
@@ -58,14 +59,16 @@ def bm25_terms(docs: DataFrame, text: str = "text") -> DataFrame:
 def bm25(docs: DataFrame, query: str, k: int | None = 25, k1: float = 1.5, b: float = 0.75, text: str = "text") -> DataFrame:
     """(doc_id, score) of documents that share a term with the query; a term counts as often as the query has it.
 
-    Lengths come from a scan of their own; the explosion keeps query terms only, so frequencies of other
-    words are never shuffled.
+    One scan of the texts explodes all words inside generated code and keeps the query's, so other words
+    are never shuffled; lengths come from a second, without an explosion.
     """
     asked = [t for t in query.lower().split() if t]
-    lengths = docs.select("doc_id", F.size(T.tokens(F.col(text))).alias("dl"))
-    one = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    hits = docs.select("doc_id", F.size(T.tokens(F.col(text))).alias("dl"), F.explode(F.filter(T.tokens(F.col(text)), lambda x: x.isin(*asked))).alias("term"))
-    tf = hits.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    if not asked:
+        return docs.select("doc_id", F.lit(0.0).alias("score")).where(F.lit(False))
+    one = docs.select(F.size(T.tokens(F.col(text))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    split = docs.select("doc_id", T.tokens(F.col(text)).alias("words"))
+    hits = split.select("doc_id", F.size("words").alias("dl"), F.explode("words").alias("term")).where(F.col("term").isin(*asked))
+    tf = written(hits.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")), "term_counts")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     times = F.create_map(*[F.lit(x) for t in dict.fromkeys(asked) for x in (t, float(asked.count(t)))])[F.col("term")]
     rows = tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(one))  # df: at most the query's terms

@@ -74,14 +74,18 @@ class Expert(fx.Fixtures):
     def roled(self) -> DataFrame:
         return self.once("roled", lambda: roles.probabilities(self.scored()))
 
-    def graph(self, with_roles: bool = False) -> DataFrame:
-        """The whole bibliography as triples. Branches whose predicate a query excludes are pruned from its plan."""
+    def graph(self, with_roles: bool = False, whole: bool = False) -> DataFrame:
+        """The whole bibliography as triples. Branches whose predicate a query excludes are pruned from its plan.
+
+        With `whole` all branches are wanted, so what several of them read is written first.
+        """
+        shared = self.once if whole else lambda name, df: df()
         uri = kg.uri
         author, paper = uri("author", F.col("author_id")), uri("paper", F.col("paper_id"))
-        a, p, h, links = self.authors(), self.papers(), self.hierarchy(), self.links()
-        t2, t3 = self.topics(2), self.topics(3)
+        a, p, h, links = self.authors(), self.papers(), self.hierarchy(), shared("links", self.links)
+        t2, t3 = self.topics(2), shared("topics", lambda: self.topics(3))
         topic, sub, main = uri("topic", F.col("topic")), uri("topic", F.col("subtopic")), uri("topic", F.col("main_topic"))
-        profiles = self.profiles().join(a.select("author_id", F.floor("n_citation").alias("total_cit")), "author_id")
+        profiles = shared("profiles", lambda: self.profiles().join(a.select("author_id", F.floor("n_citation").alias("total_cit")), "author_id"))
         orgs, subs, mains = a.select("org").distinct(), h.select("subtopic").distinct(), h.select("main_topic").distinct()
         g = kg.together(
             kg.typed(a, author, "ex:Author"), kg.literals(a, author, "dcterms:title", F.col("name")), kg.links(a, author, "ex:affiliatedWith", uri("org", F.col("org"))),
@@ -89,13 +93,13 @@ class Expert(fx.Fixtures):
             kg.typed(p, paper, "ex:Paper"), kg.literals(p, paper, "dcterms:title", F.concat(F.lit("Day "), F.col("paper_id").cast("string"))), kg.literals(p, paper, "ex:publicationYear", F.col("year"), "xsd:gYear"),
             kg.links(links, paper, "ex:hasAuthor", author), kg.links(t2, paper, "ex:hasSecondOrderTopic", topic), kg.links(t3, paper, "ex:hasThirdOrderTopic", topic), kg.links(t3, paper, "ex:hasSubTopic", topic),
             kg.links(h, main, "ex:hasSubTopic", sub), kg.typed(mains, main, "ex:Topic"), kg.literals(mains, main, "dcterms:title", F.col("main_topic")), kg.literals(subs, sub, "dcterms:title", F.col("subtopic")),
-            kg.career_triples(profiles), kg.authorship_triples(self.authorship()),
+            kg.career_triples(profiles), kg.authorship_triples(shared("authorship", self.authorship)),
         )
         return kg.together(g, kg.role_triples(self.roled())) if with_roles else g
 
     def store(self) -> DataFrame:
         """The graph with roles as a table partitioned by predicate, for queries of many patterns."""
-        return self.once("graph", lambda: self.graph(with_roles=True), "p")
+        return self.once("graph", lambda: self.graph(with_roles=True, whole=True), "p")
 
     def plain_docs(self) -> DataFrame:
         return self.docs().withColumn("text", T.ascii_only(F.col("text")))

@@ -272,6 +272,7 @@ def test_bm25_counts_repeated_query_terms(spark):
     part = lambda tf, dl: tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / 3))
     got = {r.doc_id: r.score for r in retrieval.bm25(docs, "a b A").collect()}
     assert abs(got[1] - (2 * idf(1) * part(2, 3) + idf(2) * part(1, 3))) < 1e-12 and abs(got[2] - idf(2) * part(1, 2)) < 1e-12 and 3 not in got
+    assert retrieval.bm25(docs, " ").count() == 0
 
 
 def test_union_and_first_places(spark):
