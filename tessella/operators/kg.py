@@ -191,9 +191,15 @@ def subtopics(g: DataFrame) -> DataFrame:
 
 
 def main_topics(g: DataFrame) -> DataFrame:
-    """(author, main_topic): those of type ex:Topic above the author's subtopics."""
-    above = objects(g, "ex:hasSubTopic", "subtopic").join(subjects(g, "rdf:type", "ex:Topic"), "s", "left_semi").withColumnRenamed("s", "main_topic")
-    return subtopics(g).join(above, "subtopic").select("author", "main_topic").distinct()
+    """(author, main_topic): those of type ex:Topic above the subtopics of the author or of its papers.
+
+    Subtopics are rolled up before authors are joined, so a paper brings its few main topics to each author.
+    """
+    sub = objects(g, "ex:hasSubTopic", "subtopic")
+    above = sub.join(subjects(g, "rdf:type", "ex:Topic"), "s", "left_semi").withColumnRenamed("s", "main_topic")
+    rolled = sub.join(above, "subtopic").select("s", "main_topic").distinct()
+    own = rolled.join(subjects(g, "rdf:type", "ex:Author"), "s", "left_semi").withColumnRenamed("s", "author")
+    return objects(g, "ex:hasAuthor", "author").join(rolled, "s").select("author", "main_topic").unionByName(own.select("author", "main_topic")).distinct()
 
 
 def coauthors(papers: DataFrame, least: int = 2) -> DataFrame:

@@ -74,12 +74,12 @@ class Expert(fx.Fixtures):
     def roled(self) -> DataFrame:
         return self.once("roled", lambda: roles.probabilities(self.scored()))
 
-    def graph(self, with_roles: bool = False, whole: bool = False) -> DataFrame:
+    def graph(self, with_roles: bool = False, share: tuple[str, ...] = ()) -> DataFrame:
         """The whole bibliography as triples. Branches whose predicate a query excludes are pruned from its plan.
 
-        With `whole` all branches are wanted, so what several of them read is written first.
+        What `share` names is read by several branches or several times, so it is written first.
         """
-        shared = self.once if whole else lambda name, df: df()
+        shared = lambda name, df: self.once(name, df) if name in share else df()
         uri = kg.uri
         author, paper = uri("author", F.col("author_id")), uri("paper", F.col("paper_id"))
         a, p, h, links = self.authors(), self.papers(), self.hierarchy(), shared("links", self.links)
@@ -99,7 +99,7 @@ class Expert(fx.Fixtures):
 
     def store(self) -> DataFrame:
         """The graph with roles as a table partitioned by predicate, for queries of many patterns."""
-        return self.once("graph", lambda: self.graph(with_roles=True, whole=True), "p")
+        return self.once("graph", lambda: self.graph(True, ("links", "topics", "profiles", "authorship")), "p")
 
     def plain_docs(self) -> DataFrame:
         return self.docs().withColumn("text", T.ascii_only(F.col("text")))

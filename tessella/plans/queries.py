@@ -439,12 +439,12 @@ def author_orgs(e):
 
 @query("SELECT DISTINCT 'http://example.org/author/' || a.author_id AS author, 'http://example.org/topic/' || t.topic AS subtopic FROM fx_authorship a JOIN fx_t3 t USING (paper_id)")
 def author_subtopics(e):
-    return kg.subtopics(e.graph())
+    return kg.subtopics(e.graph(share=("links", "topics")))
 
 
 @query("SELECT DISTINCT 'http://example.org/author/' || x.author_id AS author, 'http://example.org/topic/' || p.main_topic AS main_topic FROM (SELECT DISTINCT a.author_id, t.topic FROM fx_authorship a JOIN fx_t3 t USING (paper_id)) x JOIN fx_parent p ON p.subtopic = x.topic")
 def author_main_topics(e):
-    return kg.main_topics(e.graph())
+    return kg.main_topics(e.graph(share=("links", "topics")))
 
 
 @query("SELECT a.author_id AS author, b.author_id AS coauthor, COUNT(*) AS n_shared FROM fx_authorship a JOIN fx_authorship b ON b.paper_id = a.paper_id AND b.author_id <> a.author_id GROUP BY 1, 2 HAVING COUNT(*) >= 2")
