@@ -1,0 +1,206 @@
+"""Near-duplicates by the Jaccard similarity of word shingles, exact by prefix filtering."""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessella.llm.common import binary, partitions, written
+from tessella.llm.components import connected_components
+
+SMALL = 32  # a group of up to so many compares all its pairs at once
+_EPS = 1e-9
+
+
+def shingles(text: bytes, width: int = 5, seed: int = 42) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of `width` words (A-Z lower-cased, ASCII white space between words).
+
+    Shorter texts have one shingle of all their words, texts without words none.
+    """
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.int64)
+    joined = [b" ".join(words)] if len(words) <= width else map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
+    return np.unique(np.array([xxhash.xxh64_intdigest(s, seed) for s in joined], np.uint64).view(np.int64))
+
+
+def _named(found: np.ndarray) -> int:
+    """A set's name: the hash of all that is in it, as a signed long."""
+    h = xxhash.xxh64_intdigest(found.tobytes(), 7)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _common(shaped: DataFrame, width: int, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, ranks) of shingles that many documents have. They only order the shingles, so a share of the documents will do."""
+    n = shaped.count()
+    share = max(1, min(16, n // 4096))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(t, width) for t in binary(batch.column(0))] or [np.zeros(0, np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], names=["h"])
+
+    picked = shaped.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0) if share > 1 else shaped
+    counted = picked.select("text").mapInArrow(run, "h long").groupBy("h").count().where("count > 2")
+    top = counted.orderBy(F.desc("count"), "h").limit(most).toPandas().sort_values(["count", "h"])
+    h = top["h"].to_numpy(np.int64)
+    order = np.argsort(h)
+    return h[order], order
+
+
+def near_pairs(classes: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
+    """classes(node, least, n, prefix) -> edges (u, v), both of which are sets of Jaccard `least` or more, that connect all such sets.
+
+    Two such sets share an element of their prefixes, so all that shares one is a candidate. A group of more
+    than SMALL is first compared with its first member, and then only across the components so found.
+    """
+    spark = docs.sparkSession
+    n = partitions(spark)
+
+    def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prefixes = batch.column("prefix").to_pylist()
+            times = [len(x) // 8 for x in prefixes]
+            h = np.frombuffer(b"".join(prefixes), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.repeat(batch.column("node").to_numpy(), times)), pa.array(np.repeat(batch.column("n").to_numpy(), times))], names=["h", "node", "n"])
+
+    def crossing(node: np.ndarray, size: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
+        step = max(1, (1 << 20) // len(node))
+        for a in range(0, len(node), step):
+            fits = np.minimum(size[a : a + step, None], size[None]) >= least * np.maximum(size[a : a + step, None], size[None]) - _EPS
+            i, j = np.nonzero(fits & (group[a : a + step, None] != group[None]) & (node[a : a + step, None] < node[None]))
+            yield pairs(node[i + a], node[j])
+
+    def pairs(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    def runs(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[np.ndarray]]:
+        """The rows of each first column's value that has several, in order; the input is sorted by it."""
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            got = [batch.column(i).to_numpy() for i in range(columns)]
+            held = got if held is None else [np.concatenate(p) for p in zip(held, got, strict=True)]
+            if not len(held[0]):
+                continue
+            edges = np.flatnonzero(held[0][1:] != held[0][:-1]) + 1
+            if not len(edges):
+                continue
+            starts = np.concatenate([[0], edges])
+            for k in np.flatnonzero(np.diff(starts) > 1):
+                yield [x[starts[k] : starts[k + 1]] for x in held]
+            held = [x[edges[-1] :] for x in held]
+        if held is not None and len(held[0]) > 1:
+            yield held
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, node, size in runs(batches, 3):
+            if len(node) <= SMALL:
+                yield from crossing(node, size, node)
+            else:
+                fits = np.minimum(size, size[0]) >= least * np.maximum(size, size[0]) - _EPS
+                fits[0] = False
+                yield pairs(np.minimum(node[0], node[fits]), np.maximum(node[0], node[fits]))
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, node, size, group in runs(batches, 4):
+            yield from crossing(node, size, group)
+
+    postings = written(classes.select("node", "n", "prefix").mapInArrow(posted, "h long, node long, n int"), "postings")
+    spread = postings.repartition(n, "h").sortWithinPartitions("h")
+    found = written(spread.mapInArrow(first, "u long, v long").distinct(), "candidates")
+    good = verified(found, classes, docs, width, least)
+    big = postings.groupBy("h").count().where(F.col("count") > SMALL).select("h")
+    members = written(postings.join(big, "h"), "members")
+    if members.isEmpty():
+        return good
+    groups = connected_components(good)
+    labelled = members.join(groups, "node", "left").select("h", "node", "n", F.coalesce("component", "node").alias("component"))
+    # A group of one component has nothing left to find.
+    open_ = labelled.groupBy("h").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("h")
+    rest = labelled.join(open_, "h").repartition(n, "h").sortWithinPartitions("h").mapInArrow(again, "u long, v long").distinct()
+    return good.unionByName(verified(written(rest.join(found, ["u", "v"], "left_anti"), "crossing"), classes, docs, width, least))
+
+
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
+    """The pairs (u, v) whose sets have Jaccard `least` or more. The sets are made anew from one document each."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [shingles(t, width) for t in binary(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([pa.array(map(_named, made), pa.int64()), pa.array([x.tobytes() for x in made], pa.binary())], names=["node", "elements"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (batch.column(c).to_pylist() for c in ("x", "y"))
+            keep = np.zeros(len(x), bool)
+            for k, (a, b) in enumerate(zip(x, y, strict=True)):
+                shared = len(np.intersect1d(np.frombuffer(a, np.int64), np.frombuffer(b, np.int64), assume_unique=True))
+                keep[k] = shared >= least * ((len(a) + len(b)) // 8 - shared) - _EPS
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(keep))
+
+    wanted = written(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct().join(classes, "node").select("node", "least"), "wanted")
+    ids = wanted.select(F.col("least").alias("wanted_id")).distinct()
+    ids = F.broadcast(ids) if wanted.count() < 2_000_000 else ids
+    texts = docs.join(ids, F.col("id").eqNullSafe(F.col("wanted_id")), "left_semi")
+    made = texts.mapInArrow(sets, "node long, elements binary").join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("elements").alias("elements"))
+    made = written(made, "sets")
+    u = made.select(F.col("node").alias("u"), F.col("elements").alias("x"))
+    v = made.select(F.col("node").alias("v"), F.col("elements").alias("y"))
+    return written(pairs.join(u, "u").join(v, "v").mapInArrow(check, "u long, v long"), "verified")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
+    """The rows of `docs`, all columns, of which one stays for each group of near-duplicates: that of the smallest id.
+
+    Documents link when the sets of their shingles of `width` words have Jaccard `least` or more; groups are
+    what links connect. Nothing is missed: shingles are put in one order, those of many documents last, and
+    two sets that are near share one of the first n - ceil(least * n) + 1 of their n. Null or empty texts are
+    copies of each other and near to nothing else. What stays is chosen by id and shingle set, so rows of one
+    id whose texts differ are judged apart; a row with a null id stays only where its group has no other id.
+    An empty table gives an empty result.
+    """
+    shaped = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    common, rank = _common(shaped, width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, sizes, prefixes = [], [], []
+            for t in binary(batch.column(1)):
+                s = shingles(t, width)
+                nodes.append(_named(s))
+                sizes.append(len(s))
+                taken = len(s) - math.ceil(least * len(s) - _EPS) + 1 if len(s) else 0
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+                    s = s[np.argsort(np.where(common[at] == s, rank[at], -1), kind="stable")]
+                prefixes.append(s[:taken].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.binary())], names=["id", "node", "n", "prefix"])
+
+    rows = written(shaped.mapInArrow(run, "id long, node long, n int, prefix binary"), "shingled")
+    classes = written(rows.groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "classes")
+    groups = connected_components(near_pairs(classes, shaped, width, least))
+    named = written(rows.select("id", "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")), "named")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node"))
+    chosen = named.groupBy("component").agg(first.alias("s")).select("component", F.col("s.id").alias("kept_id"), F.col("s.node").alias("kept_node"))
+    judged = named.join(chosen, "component")
+    gone = ~(F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("node") == F.col("kept_node")))
+    dropped = written(judged.where(gone).select("id", "node").distinct(), "dropped")
+    if rows.groupBy("id").count().where("count > 1 or id is null").isEmpty():
+        return docs.join(dropped.select(F.col("id").alias("_id")), F.col(id_col).cast("long") == F.col("_id"), "left_anti")
+
+    @F.pandas_udf("long")
+    def node(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in parts:
+            yield s.map(lambda t: _named(shingles((t or "").encode(), width))).astype("int64")
+
+    named_docs = docs.withColumn("_node", node(F.col(text_col).cast("string"))).withColumn("_id", F.col(id_col).cast("long"))
+    gone_too = dropped.select(F.col("id").alias("_gid"), F.col("node").alias("_gnode"))
+    kept = named_docs.join(gone_too, F.col("_id").eqNullSafe(F.col("_gid")) & (F.col("_node") == F.col("_gnode")), "left_anti")
+    return kept.dropDuplicates(["_id", "_node"]).drop("_id", "_node")
