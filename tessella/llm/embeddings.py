@@ -45,17 +45,19 @@ def _close(home: np.ndarray, others: np.ndarray, least: float, step: int = 2048)
 
 
 def near_duplicates(
-    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, cells: int | None = None, margin: float = 0.15, sample: int = 8192, block: int = 1024
+    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, cells: int | None = None, margin: float | None = None, sample: int = 8192, block: int = 1024
 ) -> DataFrame:
     """One row per vector: (`id_col`, n_links, component_id, kept).
 
     Equal vectors are one node with a count. A node lives in the cell of its nearest centroid and also
     visits each earlier cell whose centroid it is nearly as close to: the two dot products differ by at
-    most `margin` times the centroids' distance (0.15 is 2.7 standard deviations of what two vectors at
-    cosine 0.9 differ by in one direction of 64, and 3.8 at 0.95). All pairs of a cell, visitors included, are compared
-    in blocks of double-precision products; only pairs of cosine `least` or more count. The centroids are fit
-    on at most `sample` nodes, those of least hash; every row is indexed. Unless given, their number is one
-    for 256 nodes, and at most one for 8 of the sample: the more there are, the fewer a node is near to.
+    most `margin` times the centroids' distance. Unless given, that is the farthest apart that unit vectors of
+    cosine `least` are, sqrt(2 - 2 * least), and nothing is missed: of two that differ by less, the one nearer to
+    its own centroid by more than this could not have the other beyond the plane between the two. A smaller
+    margin misses pairs. All pairs of a cell, visitors included, are compared in blocks of double-precision
+    products; only pairs of cosine `least` or more count. The centroids are fit on at most `sample` nodes, those
+    of least hash; every row is indexed. Unless given, their number is one for 1024 nodes, and at most one for 8
+    of the sample. Vectors without clusters are near to half of all cells, whatever their number.
 
     n_links counts other rows, copies included; component_id is the smallest id reachable and kept says
     that it is the row's own. Vectors that are null, empty, zero or hold null or non-finite components
@@ -77,12 +79,13 @@ def near_duplicates(
         seed += 1
     nodes = distinct.withColumn("node", F.xxhash64("v", F.lit(seed)))
     n_nodes = distinct.count()
+    margin = np.sqrt(max(0, 2 - 2 * least)) if margin is None else margin
     fitted: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # centroids, and how much farther than the nearest a cell may be
     picked = nodes.orderBy("node").limit(sample).select("node", "dim", "v").toPandas().sort_values("node")
     for dim, part in picked.groupby("dim"):
         x = np.stack(part["v"].to_numpy()).astype(np.float64)
-        centroids = spherical_kmeans(x / np.linalg.norm(x, axis=1)[:, None], cells or max(1, min(len(x) // 8, n_nodes // 256)))
-        fitted[int(dim)] = centroids, margin * np.sqrt(np.maximum(0, 2 - 2 * centroids @ centroids.T))
+        centroids = spherical_kmeans(x / np.linalg.norm(x, axis=1)[:, None], cells or max(1, min(len(x) // 8, n_nodes // 1024)))
+        fitted[int(dim)] = centroids, margin * np.sqrt(np.maximum(0, 2 - 2 * centroids @ centroids.T)) + 1e-9  # rounding
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -60,3 +60,18 @@ def test_hot_groups_blocks_and_edge_rows(spark):
         got = sorted(map(tuple, embeddings.near_duplicates(df, cells=6, margin=3.0, block=block).collect()), key=str)
         assert got == [(a, b, c, True if a is None else d) for a, b, c, d in brute(ids, vectors)]
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_planted_links_of_few_directions_at_the_defaults(spark):
+    rng = np.random.default_rng(11)
+    frame = np.linalg.qr(rng.normal(size=(64, 8)))[0].T
+    base = rng.normal(size=(2300, 8))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    aside = rng.normal(size=base.shape)
+    aside -= (aside * base).sum(axis=1)[:, None] * base
+    aside /= np.linalg.norm(aside, axis=1)[:, None]
+    cosine = rng.uniform(0.9001, 0.95, size=(len(base), 1))
+    vectors = (np.concatenate([base, cosine * base + np.sqrt(1 - cosine**2) * aside]) @ frame).tolist()
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, embeddings.near_duplicates(df).collect()), key=str)
+    assert got == brute(list(range(len(vectors))), vectors)
