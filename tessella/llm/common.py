@@ -6,17 +6,45 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessella.sources.store import new_path, written
 
-__all__ = ["binary", "new_path", "partitions", "streamed_groups", "written"]
+__all__ = ["binary", "free_names", "join_hot", "new_path", "partitions", "quoted", "streamed_groups", "written"]
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark reads it, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def free_names(df: DataFrame, n: int) -> list[str]:
+    """Names that no column of `df` has, in any case."""
+    taken, out, i = {c.lower() for c in df.columns}, [], 0
+    while len(out) < n:
+        if f"__{i}" not in taken:
+            out.append(f"__{i}")
+        i += 1
+    return out
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, key: str, copies: str, share: int = 1000) -> DataFrame:
+    """rows joined with keyed on `key`, of which `keyed` has one row per value, with its number of rows in `copies` (dropped).
+
+    Values that hold a `share`-th of all rows or more, of which there are no more than `share`, are broadcast
+    to the rows, which stay where they are; only the other rows are shuffled. Both tables are read twice.
+    """
+    least = max(2, -(-(keyed.agg(F.sum(copies)).first()[0] or 0) // share))
+    hot = F.broadcast(keyed.where(F.col(copies) >= least).drop(copies))
+    rest = rows.join(hot.select(key), key, "left_anti").join(keyed.where(F.col(copies) < least).drop(copies), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def binary(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
