@@ -2,12 +2,31 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import written
 
 
+def merged_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels (each row's root, the smallest index it is joined to) once the rows a and b are joined too."""
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return label
+        a, b = a[apart], b[apart]
+        root = np.arange(len(label))
+        np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+        label = root[label]
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges(u long, v long) -> (node, component): component is the smallest node reachable.
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import binary, free_names, join_hot, partitions, quoted, streamed_groups, written
-from tessella.llm.components import connected_components
+from tessella.llm.components import connected_components, merged_labels
 
 WORDS = 4  # a fingerprint of 64 bits is read as this many words of 16 bits
 BITS = 16
@@ -88,24 +88,6 @@ def _within(x: np.ndarray, y: np.ndarray, radius: int) -> tuple[np.ndarray, np.n
     return i, j
 
 
-def _join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Labels (each row's root, the smallest index it is joined to) once the rows a and b are joined too."""
-    while True:
-        x, y = label[a], label[b]
-        apart = x != y
-        if not apart.any():
-            return label
-        a, b = a[apart], b[apart]
-        root = np.arange(len(label))
-        np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
-        while True:
-            up = root[root]
-            if (up == root).all():
-                break
-            root = up
-        label = root[label]
-
-
 def _tile_labels(x: np.ndarray, split: int | None, radius: int, step: int = 512) -> np.ndarray:
     """Labels that join the rows of x within `radius`: all of them, or where `split` is given those before it with those after.
 
@@ -125,7 +107,7 @@ def _tile_labels(x: np.ndarray, split: int | None, radius: int, step: int = 512)
             if count[p[0]] - count[q[-1]] > radius:
                 continue
             i, j = _within(x[p], x[q], radius)
-            label = _join(label, p[i], q[j])
+            label = merged_labels(label, p[i], q[j])
     return label
 
 
@@ -306,7 +288,9 @@ def _verified(x: np.ndarray, sets: list[np.ndarray], home: np.ndarray | None, le
         p, q = p[fits], q[fits]
         order = np.lexsort((np.bitwise_count(x[p] ^ x[q]).sum(axis=1, dtype=np.int64), p))  # of each set's partners the nearest first
         p, q = p[order], q[order]
-        edges = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]])) if len(p) else np.zeros(0, int)
+        if not len(p):
+            continue
+        edges = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
         for s, e in zip(edges, [*edges[1:], len(p)], strict=True):
             one, rest, take = int(p[s]), q[s:e], 1
             while len(rest := rest[label[rest] != label[one]]):
