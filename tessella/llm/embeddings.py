@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import partitions, streamed_groups, written
-from tessella.llm.components import connected_components
+from tessella.llm.common import join_hot, partitions, quoted, written
+from tessella.llm.components import connected_components, merged_labels
 
 
 def spherical_kmeans(x: np.ndarray, cells: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
@@ -18,9 +18,9 @@ def spherical_kmeans(x: np.ndarray, cells: int, rounds: int = 8, seed: int = 7)
     rng = np.random.default_rng(seed)
     centroids = x[np.sort(rng.choice(len(x), min(cells, len(x)), replace=False))].copy()
     for _ in range(rounds):
-        dots = x @ centroids.T
-        nearest = dots.argmax(axis=1)
-        worst = np.argsort(dots.max(axis=1), kind="stable")
+        parts = (x[a : a + 4096] @ centroids.T for a in range(0, len(x), 4096))
+        nearest, best = (np.concatenate(found) for found in zip(*((d.argmax(axis=1), d.max(axis=1)) for d in parts), strict=True))
+        worst = np.argsort(best, kind="stable")
         order = np.argsort(nearest, kind="stable")
         edges = np.searchsorted(nearest[order], np.arange(len(centroids) + 1))
         for c in range(len(centroids)):
@@ -32,20 +32,63 @@ def spherical_kmeans(x: np.ndarray, cells: int, rounds: int = 8, seed: int = 7)
     return centroids
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows, none of them zero, as unit vectors: first over their largest component, so that no norm under- or overflows."""
+    x = x / np.abs(x).max(axis=1)[:, None]
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
 def _unit(column: pa.Array) -> np.ndarray:
-    """Rows of a list column of one length, as unit vectors in double precision."""
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
-    return flat / np.linalg.norm(flat, axis=1)[:, None]
+    """Rows of a list column of one length as unit vectors in double precision."""
+    return _scaled(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1))
+
+
+class _Block:
+    """One block of a cell: its own vectors, compared with each other, and then visitors as they come.
+
+    Holds the block and a strip of products, never all visitors.
+    """
+
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], least: float, strip: int = 1 << 22):
+        self.node, self.copies, self.x = (np.concatenate(p) for p in zip(*parts, strict=True))
+        self.least, self.step = least, max(1, strip // len(self.node))
+        self.links = np.zeros(len(self.node))
+        self.label = np.arange(len(self.node))
+        for a in range(0, len(self.node), self.step):
+            close = self.x[a : a + self.step] @ self.x.T >= least
+            i = np.arange(len(close))
+            close[i, a + i] = False
+            self.links[a : a + len(close)] = close @ self.copies
+            i, j = np.nonzero(close & (self.label[a : a + len(close), None] != self.label[None]))
+            self.label = merged_labels(self.label, i + a, j)
+
+    def meet(self, node: np.ndarray, copies: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(node), self.step):
+            close = x[a : a + self.step] @ self.x.T >= self.least
+            found = np.flatnonzero(close.any(axis=1))
+            if not len(found):
+                continue
+            close = close[found]
+            self.links += copies[a + found] @ close
+            yield _found(node[a + found], close @ self.copies)
+            i, j = np.nonzero(close)
+            i, j = np.unique(np.stack([found[i], self.label[j]]), axis=1)
+            yield _found(node[a + i], np.zeros(len(i)), self.node[j])
 
+    def close(self) -> Iterator[pa.RecordBatch]:
+        linked = np.flatnonzero(self.links)
+        yield _found(self.node[linked], self.links[linked])
+        moved = np.flatnonzero(self.label != np.arange(len(self.label)))
+        yield _found(self.node[moved], np.zeros(len(moved)), self.node[self.label[moved]])
 
-def _close(home: np.ndarray, others: np.ndarray, least: float, step: int = 2048) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for a in range(0, len(others), step):
-        i, j = np.nonzero(home @ others[a : a + step].T >= least)
-        yield i, j + a
+
+def _found(node: np.ndarray, links: np.ndarray, peer: np.ndarray | None = None) -> pa.RecordBatch:
+    other = pa.nulls(len(node), pa.int64()) if peer is None else pa.array(peer)
+    return pa.RecordBatch.from_arrays([pa.array(node), pa.array(links.astype(np.int64)), other], names=["node", "links", "peer"])
 
 
 def near_duplicates(
-    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, cells: int | None = None, margin: float | None = None, sample: int = 8192, block: int = 1024
+    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, cells: int | None = None, margin: float | None = None, sample: int = 1 << 15, block: int = 8192
 ) -> DataFrame:
     """One row per vector: (`id_col`, n_links, component_id, kept).
 
@@ -56,8 +99,10 @@ def near_duplicates(
     its own centroid by more than this could not have the other beyond the plane between the two. A smaller
     margin misses pairs. All pairs of a cell, visitors included, are compared in blocks of double-precision
     products; only pairs of cosine `least` or more count. The centroids are fit on at most `sample` nodes, those
-    of least hash; every row is indexed. Unless given, their number is one for 1024 nodes, and at most one for 8
-    of the sample. Vectors without clusters are near to half of all cells, whatever their number.
+    of least hash; every row is indexed. Unless given, their number is one for 4096 nodes, 16 at least (of 1024
+    nodes or more) and at most one for 8 of the sample; a cell of more than `block` nodes is cut into blocks.
+    A task holds one block and streams the visitors past it. Vectors without clusters are near to half of all
+    cells, whatever their number.
 
     n_links counts other rows, copies included; component_id is the smallest id reachable and kept says
     that it is the row's own. Vectors that are null, empty, zero or hold null or non-finite components
@@ -68,7 +113,8 @@ def near_duplicates(
     spark = vectors.sparkSession
     single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"  # half the bytes, and exact in double
     kind = "array<float>" if single else "array<double>"
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("v"))
+    # Adding zero turns a negative zero into the one that it equals.
+    rows = vectors.select(F.col(quoted(id_col)).cast("long").alias("id"), F.transform(F.col(quoted(vector_col)).cast(kind), lambda x: x + F.lit(0).cast("float" if single else "double")).alias("v"))
     usable = F.coalesce(
         F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False)
     )
@@ -84,7 +130,7 @@ def near_duplicates(
     picked = nodes.orderBy("node").limit(sample).select("node", "dim", "v").toPandas().sort_values("node")
     for dim, part in picked.groupby("dim"):
         x = np.stack(part["v"].to_numpy()).astype(np.float64)
-        centroids = spherical_kmeans(x / np.linalg.norm(x, axis=1)[:, None], cells or max(1, min(len(x) // 8, n_nodes // 1024)))
+        centroids = spherical_kmeans(_scaled(x), cells or max(1, min(len(x) // 8, max(n_nodes // 4096, min(16, n_nodes // 64)))))
         fitted[int(dim)] = centroids, margin * np.sqrt(np.maximum(0, 2 - 2 * centroids @ centroids.T)) + 1e-9  # rounding
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,52 +158,37 @@ def near_duplicates(
         placed.join(blocks, ["dim", "cell"])
         .withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("blk", F.explode(F.sequence(F.lit(0), F.when(F.col("home") == 1, F.col("mine")).otherwise(F.col("blocks") - 1))))
-        .select("dim", "cell", "blk", ((F.col("home") == 1) & (F.col("blk") == F.col("mine"))).cast("int").alias("home"), "node", "copies", "v")
+        .select("dim", "cell", "blk", ((F.col("home") == 0) | (F.col("blk") != F.col("mine"))).cast("int").alias("visits"), "node", "copies", "v")
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, group in streamed_groups(batches, 3):
-            group = group.combine_chunks()
-            x = _unit(group.column("v").chunk(0))
-            node, copies = group.column("node").to_numpy(), group.column("copies").to_numpy()
-            home = np.flatnonzero(group.column("home").to_numpy() == 1)
-            other = np.flatnonzero(group.column("home").to_numpy() != 1)
-            if not len(home):
-                continue
-            links = np.zeros(len(node), np.int64)
-            close = x[home] @ x[home].T >= least
-            np.fill_diagonal(close, False)
-            links[home] += close @ copies[home]
-            label = np.arange(len(home))
-            while True:
-                best = np.minimum(label, np.where(close, label[None, :], len(home)).min(axis=1))
-                best = best[best]
-                if (best == label).all():
-                    break
-                label = best
-            moved = np.flatnonzero(label != np.arange(len(home)))
-            u, v = [home[moved]], [home[label[moved]]]
-            for i, j in _close(x[home], x[other], least):
-                np.add.at(links, home[i], copies[other[j]])
-                np.add.at(links, other[j], copies[home[i]])
-                pairs = np.unique(np.stack([label[i], j]), axis=1)
-                u.append(other[pairs[1]])
-                v.append(home[pairs[0]])
-            linked = np.flatnonzero(links)
-            a, b = np.concatenate(u), np.concatenate(v)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([node[linked], node[a]])), pa.array(np.concatenate([links[linked], np.zeros(len(a), np.int64)])), pa.concat_arrays([pa.nulls(len(linked), pa.int64()), pa.array(node[b])])],
-                names=["node", "links", "peer"],
-            )
+        current, own, met = None, [], None
+        for batch in (b for b in batches if b.num_rows):
+            keys = np.stack([batch.column(i).to_numpy() for i in range(4)], axis=1)  # dim, cell, block and whether it visits
+            starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
+            for a, b in zip(starts, [*starts[1:], len(keys)], strict=True):
+                part, key = batch.slice(a, b - a), tuple(keys[a, :3])
+                if key != current:
+                    if own or met:
+                        yield from (met or _Block(own, least)).close()
+                    current, own, met = key, [], None
+                held = part.column("node").to_numpy(), part.column("copies").to_numpy().astype(np.float64), _unit(part.column("v"))
+                if keys[a, 3] == 0:
+                    own.append(held)
+                elif own or met:
+                    met, own = met or _Block(own, least), []
+                    yield from met.meet(*held)
+        if own or met:
+            yield from (met or _Block(own, least)).close()
 
     key = ["dim", "cell", "blk"]
-    found = written(spread.repartition(partitions(spark), *key).sortWithinPartitions(*key).mapInArrow(compare, "node long, links long, peer long"), "found")
+    found = written(spread.repartition(partitions(spark), *key).sortWithinPartitions(*key, "visits").mapInArrow(compare, "node long, links long, peer long"), "found")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     groups = connected_components(found.where("peer is not null").select(F.col("node").alias("u"), F.col("peer").alias("v")))
-    judged = nodes.select("v", "node", "least", "copies").join(links, "node", "left").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    judged = nodes.select("node", "least", "copies").join(links, "node", "left").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     judged = written(judged, "judged")
     smallest = judged.groupBy("component").agg(F.min("least").alias("component_id"))
-    judged = judged.join(smallest, "component").select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    judged = judged.join(smallest, "component").select("node", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     alone = rows.where(~F.col("ok")).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    linked = rows.where("ok").select("id", "v").join(judged, "v").select("id", "n_links", "component_id")
+    linked = join_hot(rows.where("ok").select("id", F.xxhash64("v", F.lit(seed)).alias("node")), written(judged, "components"), "node", "copies").select("id", "n_links", "component_id")
     return linked.unionByName(alone).select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

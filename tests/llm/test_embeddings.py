@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pytest
 
 from tessella.llm import embeddings
 from tessella.llm.queries import op4_embeddings
@@ -57,21 +58,55 @@ def test_hot_groups_blocks_and_edge_rows(spark):
     vectors.append(base[0].tolist())
     df = spark.createDataFrame(list(zip(ids, vectors, [1] * len(ids), strict=True)), "vec_id long, embedding array<double>, n_links int")
     for block in (8, 512):
-        got = sorted(map(tuple, embeddings.near_duplicates(df, cells=6, margin=3.0, block=block).collect()), key=str)
+        got = sorted(map(tuple, embeddings.near_duplicates(df, cells=6, block=block).collect()), key=str)
         assert got == [(a, b, c, True if a is None else d) for a, b, c, d in brute(ids, vectors)]
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_planted_links_of_few_directions_at_the_defaults(spark):
-    rng = np.random.default_rng(11)
-    frame = np.linalg.qr(rng.normal(size=(64, 8)))[0].T
-    base = rng.normal(size=(2300, 8))
+def planted(rng, n, dim, rank, least=0.9001, most=0.95):
+    """n pairs of unit vectors of a cosine just over 0.9, all in `rank` directions."""
+    frame = np.linalg.qr(rng.normal(size=(dim, rank)))[0].T
+    base = rng.normal(size=(n, rank))
     base /= np.linalg.norm(base, axis=1)[:, None]
     aside = rng.normal(size=base.shape)
     aside -= (aside * base).sum(axis=1)[:, None] * base
     aside /= np.linalg.norm(aside, axis=1)[:, None]
-    cosine = rng.uniform(0.9001, 0.95, size=(len(base), 1))
-    vectors = (np.concatenate([base, cosine * base + np.sqrt(1 - cosine**2) * aside]) @ frame).tolist()
+    cosine = rng.uniform(least, most, size=(n, 1))
+    return (np.concatenate([base, cosine * base + np.sqrt(1 - cosine**2) * aside]) @ frame).tolist()
+
+
+@pytest.mark.parametrize(("dim", "rank", "cells"), [(8, 8, None), (16, 16, 40), (64, 8, 40), (64, 64, None), (768, 768, 12)])
+def test_planted_links_at_the_default_margin(spark, dim, rank, cells):
+    vectors = planted(np.random.default_rng(dim + rank), 1500 if dim < 100 else 500, dim, rank, 0.9001, 0.92)
     df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
-    got = sorted(map(tuple, embeddings.near_duplicates(df).collect()), key=str)
-    assert got == brute(list(range(len(vectors))), vectors)
+    got = sorted(map(tuple, embeddings.near_duplicates(df, cells=cells, block=256).collect()), key=str)
+    want = brute(list(range(len(vectors))), vectors)
+    assert sum(r[1] for r in want) >= len(vectors)
+    assert got == want
+
+
+def test_tiny_and_huge_vectors_change_no_other_row(spark):
+    vectors = planted(np.random.default_rng(2), 700, 16, 16)
+    rows = list(enumerate(vectors))
+    odd = [[1e-200 * (k + 1) for k in range(16)], [1e200 * (k + 1) for k in range(16)], [5e-324] * 16, [1.7e308] * 16]
+    both = spark.createDataFrame([*rows, *((9000 + i, v) for i, v in enumerate(odd))], "vec_id long, embedding array<double>")
+    got = {r.vec_id: tuple(r) for r in embeddings.near_duplicates(both, cells=8).collect()}
+    want = {r[0]: r for r in brute(list(range(len(vectors))), vectors)}
+    assert {i: got[i] for i in want} == want
+    assert [got[9000 + i][1:3] for i in range(4)] == [(1, 9000), (1, 9000), (1, 9002), (1, 9002)]
+
+
+def test_query_with_links_planted_in_its_table(spark, tmp_path):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").collect()
+    rng = np.random.default_rng(5)
+    x = np.array([r.embedding for r in rows], np.float64)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    aside = rng.normal(size=x.shape)
+    aside -= (aside * x).sum(axis=1)[:, None] * x
+    aside /= np.linalg.norm(aside, axis=1)[:, None]
+    cosine = rng.uniform(0.9001, 0.92, size=(len(x), 1))
+    vectors = [v.tolist() for v in np.concatenate([x, cosine * x + np.sqrt(1 - cosine**2) * aside]).astype(np.float32)]
+    spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    want = brute(list(range(len(vectors))), vectors)
+    assert sum(r[1] for r in want) >= len(vectors)
+    assert sorted(map(tuple, op4_embeddings(spark, str(tmp_path)).collect()), key=str) == want
