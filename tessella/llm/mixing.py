@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import written
+from tessella.llm.common import quoted, written
 
-DIGIT = 12  # bits of the key told apart in one pass
-KEY_BITS = 48
+#: Bits told apart in one pass: of the key, and then of the id, for rows of one key.
+DIGITS = (17, 15, 15, 15)
+KEY_BITS = sum(DIGITS)
+ID_DIGITS = (16, 16, 16, 16)
+FEW = 1000  # rows of a source that are put in order as a list
 
 
 def words(text: Column) -> Column:
@@ -50,42 +53,43 @@ def _same(a: DataFrame, b: DataFrame, how: str = "left") -> DataFrame:
     return a.join(b, F.col("source").eqNullSafe(F.col("__source")), how).drop("__source")
 
 
-def _plan(slim: DataFrame, weights: tuple[int, ...], cap: float) -> DataFrame:
-    """slim(id, source, size, key) -> one row per source: its size, target, complete epochs and what the last, partial epoch takes.
+def _plan(slim: DataFrame, weights: tuple[int, ...], cap: float, few: int = FEW) -> DataFrame:
+    """slim(id, source, size, key) -> one row per source: its size, target, complete epochs and the cut of its last, partial epoch.
 
-    The partial epoch takes documents in ascending order of key while their sizes add up to the budget.
-    Its cut is found without sorting a source: sizes are summed by the key's next digit (one row per
+    The partial epoch takes documents in ascending order of key, then of id, while their sizes add up to the
+    budget. Its cut is found without sorting a source: sizes are summed by the key's next digit (one row per
     source and digit, combined before the shuffle), the digit in which the running sum passes the budget
-    is chosen, and only its documents go on. `cut` is the document at which the budget ends and what is left for it.
+    is chosen, and only its documents go on, until no source has more than `few`; after the key's digits
+    come the id's, so a list is never longer. `cut` is the document at which the budget ends and what is left
+    for it, null where all fit. There is one row per source, and one task puts these in order.
     """
     sizes = written(slim.groupBy("source").agg(F.sum("size").alias("source_size")), "sizes")
     state = (
         targets(sizes, weights, cap)
         .withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
         .withColumn("left", F.col("target") - F.col("epochs") * F.col("source_size"))
-        .withColumn("prefix", F.lit(0).cast("long"))
+        .withColumns({"digit": F.lit(0).cast("long"), "held": F.lit(few + 1).cast("long")})
     )
     state = written(state, "state")
-    shift = KEY_BITS
-    for _ in range(2):
-        shift -= DIGIT
-        inside = _same(slim, state.select("source", "prefix"), "inner").where(F.shiftright("key", shift + DIGIT) == F.col("prefix"))
-        digits = inside.groupBy("source", F.shiftright("key", shift).alias("digit")).agg(F.sum("size").alias("size"))
-        lists = digits.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("digit", "size"))).alias("digits"))
+    inside = slim.withColumn("place", F.col("id").bitwiseXOR(F.lit(-(1 << 63))))  # ids in the order of unsigned numbers
+    order = [("key", KEY_BITS - sum(DIGITS[: i + 1]), d) for i, d in enumerate(DIGITS)] + [("place", 64 - sum(ID_DIGITS[: i + 1]), d) for i, d in enumerate(ID_DIGITS)]
+    for column, shift, bits in order:
+        if state.where(F.col("held") > few).isEmpty():
+            break
+        digit = F.shiftrightunsigned(column, shift).bitwiseAND(F.lit((1 << bits) - 1))
+        digits = inside.groupBy("source", digit.alias("digit")).agg(F.sum("size").alias("size"), F.count("*").alias("rows"))
+        lists = digits.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("digit", "size", "rows"))).alias("digits"))
+        walk = "struct<left:double,digit:bigint,held:bigint>"
         walked = F.aggregate(
-            "digits",
-            F.struct(F.col("left").alias("left"), F.lit(None).cast("long").alias("digit")),
-            lambda acc, d: F.when(acc["digit"].isNotNull(), acc).when(d["size"] <= acc["left"], F.struct((acc["left"] - d["size"]).alias("left"), acc["digit"].alias("digit"))).otherwise(F.struct(acc["left"].alias("left"), d["digit"].alias("digit"))),
-        )
-        # A source whose every digit fits has no digit to go into: its next prefix lies past all keys.
+            "digits", F.struct(F.col("left"), F.lit(None).cast("long"), F.lit(0).cast("long")).cast(walk),
+            lambda acc, d: F.when(acc["digit"].isNotNull(), acc).when(d["size"] <= acc["left"], F.struct(acc["left"] - d["size"], acc["digit"], acc["held"]).cast(walk)).otherwise(F.struct(acc["left"], d["digit"], d["rows"]).cast(walk)),
+        )
+        # A source whose every digit fits has no digit to go into, and none of its rows go on.
         state = written(
-            _same(state, lists)
-            .withColumn("walked", walked)
-            .select("source", "source_size", "target", "epochs", F.coalesce("walked.left", "left").alias("left"), F.coalesce("walked.digit", F.lit(1 << (KEY_BITS - shift)).cast("long")).alias("prefix")),
+            _same(state.drop("digit", "held"), lists).withColumn("walked", walked).select("source", "source_size", "target", "epochs", F.coalesce("walked.left", "left").alias("left"), "walked.digit", F.coalesce("walked.held", F.lit(0)).alias("held")),
             "state",
         )
-    # Few documents share the 24 bits of a source's cut; rows of one key and id are summed to one.
-    inside = _same(slim, state.select("source", "prefix"), "inner").where(F.shiftright("key", shift) == F.col("prefix"))
+        inside = written(_same(inside, state.where("digit is not null").select("source", F.col("digit").alias("at")), "inner").where(digit == F.col("at")).drop("at"), "inside")
     last = inside.groupBy("source", "key", "id").agg(F.sum("size").alias("size"))
     lists = last.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("key", "id", "size"))).alias("docs"))
     walk = "struct<left:double,cut:struct<key:bigint,id:bigint,size:bigint>>"
@@ -95,25 +99,36 @@ def _plan(slim: DataFrame, weights: tuple[int, ...], cap: float) -> DataFrame:
     )
     state = _same(state, lists).withColumn("walked", F.coalesce(walked, start))
     cut = F.struct("walked.left", "walked.cut.key", "walked.cut.id", "walked.cut.size")
-    return written(state.select("source", "source_size", "target", "epochs", "prefix", cut.alias("cut")), "plan")
+    return written(state.select("source", "source_size", "target", "epochs", cut.alias("cut")), "plan")
 
 
 def _place() -> Column:
     """-1 for a document that comes before the cut of its source's partial epoch, 0 for the one at the cut, else 1."""
     before = (F.col("key") < F.col("cut.key")) | ((F.col("key") == F.col("cut.key")) & (F.col("id") < F.col("cut.id")))
     at = (F.col("key") == F.col("cut.key")) & (F.col("id") == F.col("cut.id"))
-    uncut = F.shiftright("key", KEY_BITS - 2 * DIGIT) <= F.col("prefix")
-    return F.when(F.col("cut.key").isNull(), F.when(uncut, -1).otherwise(1)).when(before, -1).when(at, 0).otherwise(1)
+    return F.when(F.col("cut.key").isNull() | before, -1).when(at, 0).otherwise(1)
+
+
+def exponential(identity: Column, weight: Column, seed: int) -> Column:
+    """The sampling key -ln(u) / weight, u uniform by the hash of the id: the least keys are sampled."""
+    v = (F.shiftrightunsigned(F.xxhash64(identity, F.lit(seed)), 1) + 0.5) / F.lit(float(1 << 63))  # u is 1 - v, so small keys are exact
+    return -F.log1p(-F.least(v, F.lit(1 - 2.0**-53))) / weight
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight: Column | None, seed: int) -> DataFrame:
-    """docs with __id, __source, __size and __key. Equal ids and seeds give equal keys in any run."""
-    text = F.col(text_col).cast("string")
-    docs = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)).cast("long")), "__source": F.col(source_col).cast("string"), "__size": words(text)})
-    w = F.greatest(F.coalesce(weight if weight is not None else quality_weight(text, F.col("__size")), F.lit(1.0)), F.lit(1e-6))
-    u = (F.shiftrightunsigned(F.xxhash64("__id", F.lit(seed)), 11) + 0.5) / F.lit(float(1 << 53))
-    # The exponential key -ln(u)/w, as 1 - exp(-key) in whole steps: the same order, within a fixed range.
-    return docs.withColumn("__key", F.least(F.floor((1 - F.pow(u, 1 / w)) * (1 << KEY_BITS)), F.lit((1 << KEY_BITS) - 1)).cast("long"))
+def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight: Column | None, seed: int) -> tuple[DataFrame, list[str]]:
+    """(id, source, size, key and the columns of docs by number; their names so). Equal ids and seeds give equal keys in any run.
+
+    The key is the logarithm of the exponential one in steps of 2^-52: the same order, for any weight.
+    """
+    text = F.col(quoted(text_col)).cast("string")
+    own = [F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    identity = F.coalesce(F.col(quoted(id_col)).cast("long"), F.lit(-(1 << 63)).cast("long"))
+    rows = docs.select(*own, identity.alias("id"), F.col(quoted(source_col)).cast("string").alias("source"), words(text).alias("size"), (F.lit(None) if weight is None else weight).cast("double").alias("weight"))
+    if weight is None:
+        rows = rows.withColumn("weight", quality_weight(F.col(f"c{docs.columns.index(text_col)}"), F.col("size")))
+    usable = F.when(F.isnan("weight") | F.col("weight").isNull(), 1.0).otherwise(F.greatest(F.lit(1e-150), F.least(F.lit(1e150), "weight")))
+    key = F.floor((F.ln(exponential(F.col("id"), usable, seed)) + 512) * F.lit(float(1 << (KEY_BITS - 10)))).cast("long")
+    return rows.withColumn("key", key).drop("weight"), [f"c{i}" for i in range(len(docs.columns))]
 
 
 def mix(
@@ -124,12 +139,13 @@ def mix(
     Each source's target is met by complete epochs of all its documents and then by a weighted sample
     without replacement; of the one document at which the budget ends, what is left of it is taken, so
     sources meet their targets to the word and no size is taken over `cap` times. `weight` is a document's
-    quality weight (more is likelier; null counts as 1). Null text has size 0; a null source is one of its
-    own, last in order; rows that repeat an id share its fate, and so do all rows with a null id; an empty
-    table gives an empty result; extra columns are not read.
+    quality weight: more is likelier; null and NaN count as 1, what lies outside 1e-150 to 1e150, zero and
+    negative weights included, as the nearer bound, so a document of weight zero comes after all others.
+    Null text has size 0; a null source is one of its own, last in order; rows that repeat an id share its
+    fate, and so do all rows with a null id; an empty table gives an empty result; extra columns are not read.
     """
-    slim = _keyed(docs, id_col, text_col, source_col, weight, seed).select(F.col(id_col).alias("raw_id"), F.col("__id").alias("id"), F.col("__source").alias("source"), F.col("__size").alias("size"), F.col("__key").alias("key"))
-    slim = written(slim, "slim")
+    keyed, names = _keyed(docs, id_col, text_col, source_col, weight, seed)
+    slim = written(keyed.select(F.col(names[docs.columns.index(id_col)]).alias("raw_id"), "id", "source", "size", "key"), "slim")
     part = F.when(_place() < 0, F.col("size")).when(_place() == 0, F.floor(F.col("cut.left") * F.col("size") / F.greatest("cut.size", F.lit(1)))).otherwise(0)
     return _same(slim, _plan(slim.drop("raw_id"), weights, cap)).select(
         F.col("raw_id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("epochs") + part).cast("long").alias("taken")
@@ -143,15 +159,11 @@ def mixed(
 
     Documents stay whole: the one at which a source's budget ends is taken if at least half of it fits.
     Texts never move: the plan has one row per source and meets the documents where they are. Documents
-    without words have nothing to take and go.
+    without words have nothing to take and go. Columns of any name pass through.
     """
-    keyed = _keyed(docs, id_col, text_col, source_col, weight, seed)
-    slim = written(keyed.select(F.col("__id").alias("id"), F.col("__source").alias("source"), F.col("__size").alias("size"), F.col("__key").alias("key")), "slim")
-    plan = _plan(slim, weights, cap)
-    inner = {"id": "__id", "source": "__source", "size": "__size", "key": "__key"}
-    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    moved = keyed.select(*[F.col(c).alias(n) for c, n in names.items()], *[F.col(v).alias(k) for k, v in inner.items()])
+    keyed, names = _keyed(docs, id_col, text_col, source_col, weight, seed)
+    plan = _plan(written(keyed.select("id", "source", "size", "key"), "slim"), weights, cap)
     last = (_place() < 0) | ((_place() == 0) & (2 * F.col("cut.left") >= F.col("cut.size")))
     copies = F.col("epochs") + last.cast("int")
-    taken = _same(moved, plan, "inner").withColumn("n", F.when(F.col("size") > 0, copies).otherwise(0)).where("n > 0")
-    return taken.withColumn("n", F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int")))).select(*[F.col(n).alias(c) for c, n in names.items()])
+    taken = _same(keyed, plan, "inner").withColumn("n", F.when(F.col("size") > 0, copies).otherwise(0)).where("n > 0")
+    return taken.withColumn("n", F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int")))).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])

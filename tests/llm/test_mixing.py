@@ -2,6 +2,9 @@ from __future__ import annotations
 
 import re
 
+import pytest
+from pyspark.sql import functions as F
+
 from tessella.llm import mixing
 from tessella.llm.queries import op6_mixing
 
@@ -36,7 +39,7 @@ def check(rows, docs):
         s = source_of[r.doc_id]
         assert r.size == size_of[r.doc_id] and r.source_size == sizes[s]
         assert abs(r.target - want[s]) < 1e-6 * max(1, want[s])
-        assert 0 <= r.taken <= 3 * r.size 
+        assert 0 <= r.taken <= 3 * r.size
         taken[s] = taken.get(s, 0) + r.taken
     return {s: (taken[s], want[s]) for s in taken}
 
@@ -67,9 +70,37 @@ def test_capped_sources_null_source_and_edge_rows(spark):
 
 
 def test_heavier_documents_are_likelier(spark):
-    from pyspark.sql import functions as F
-
     df = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("word " * 3).alias("text"), (F.col("id") % 2).cast("string").alias("source"), (F.when(F.col("id") % 4 < 2, 5.0).otherwise(0.5)).alias("q"))
     rows = mixing.mix(df, weights=(1, 3), weight=F.col("q")).where("target < source_size").groupBy((F.col("doc_id") % 4 < 2).alias("heavy")).agg(F.avg((F.col("taken") > 0).cast("int")).alias("share"))
     share = {r.heavy: r.share for r in rows.collect()}
     assert share[True] > 1.5 * share[False]
+
+
+@pytest.mark.parametrize("few", [1, 50, 1000])
+@pytest.mark.parametrize("weight", ["1", "0.02", "0.001", "1e-6", "1e-6 + doc_id % 7", "case when doc_id % 3 = 0 then 1e-6 else 1 end"])
+def test_the_sample_is_that_of_sorted_exponential_keys(spark, monkeypatch, weight, few):
+    whole = mixing._plan
+    monkeypatch.setattr(mixing, "_plan", lambda *a: whole(*a, few=few))
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.array_join(F.array_repeat(F.lit("w"), (F.col("id") % 5 + 1).cast("int")), " ").alias("text"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("source"))
+    rows = mixing.mix(df, weights=(1, 3), weight=F.expr(weight)).collect()
+    key = {r.doc_id: r.key for r in df.select("doc_id", mixing.exponential(F.col("doc_id"), F.expr(weight), 1).alias("key")).collect()}
+    for source in (0, 1):
+        mine = sorted((r for r in rows if r.doc_id % 2 == source), key=lambda r: key[r.doc_id])
+        left = mine[0].target - mine[0].target // mine[0].source_size * mine[0].source_size
+        for r in mine:
+            take = min(r.size, int(left))
+            assert r.taken == take + r.size * (r.target // r.source_size)
+            left = left - take if take == r.size else 0
+
+
+def test_odd_weights_and_names(spark):
+    q = [None, float("nan"), 0.0, -1.0, float("inf"), 1.0]
+    df = spark.createDataFrame([(i, "w " * 10, "s", q[i % 6], i, f"v{i}", -i) for i in range(60)], "doc_id long, text string, source string, q double, __key long, `a.b` string, c0 long")
+    rows = mixing.mix(df, weights=(1,), weight=F.col("q")).collect()
+    assert sum(r.taken for r in rows) == 600
+    kept = mixing.mixed(df, weight=F.col("q"))
+    assert kept.columns == df.columns and sorted(map(str, kept.collect())) == sorted(map(str, df.collect()))
+    more = df.unionByName(df.limit(0).unionByName(spark.createDataFrame([(900 + i, "w " * 10, "t", q[i % 6], i, "x", i) for i in range(600)], df.schema)))
+    rows = mixing.mix(more, weights=(1, 1), weight=F.col("q")).where("doc_id >= 900").collect()
+    taken = [[r.taken for r in rows if r.doc_id % 6 == k] for k in range(6)]
+    assert [sum(taken[k]) for k in (0, 1, 4, 5)] == [1000] * 4 and sum(taken[2]) + sum(taken[3]) == 800  # 4800 in all
