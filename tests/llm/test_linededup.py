@@ -13,7 +13,7 @@ def test_lines_over_the_ratio_go_and_all_else_stays(spark):
     assert got[20] == "Menu\nown" and got[21] is None and got[22] == "Menu\nMenu\nfoot" and got[23] == "" and got[24] == ""
     assert linededup.drop_boilerplate(docs).columns == docs.columns
     assert linededup.drop_boilerplate(docs.limit(0)).count() == 0
-    stats = {r["doc_id"]: (r[-2], r[-1]) for r in linededup.drop_boilerplate(docs, ratio=0.3, stats=True).collect()}
+    stats = {r["doc_id"]: (r.n_lines, r.n_dropped) for r in linededup.drop_boilerplate(docs, ratio=0.3, stats=True).collect()}
     assert stats[0] == (4, 2) and stats[21] == (0, 0) and stats[24] == (2, 2)
 
 
@@ -25,6 +25,17 @@ def test_a_line_counts_once_a_page_and_copies_are_one_page(spark):
     assert got[10] == "1" and got[11] == "2" and got[12] == ""
 
 
+def test_columns_of_any_name_pass(spark):
+    rows = [(i, "h", f"Menu\nown {i}", f"p{i}", f"q{i}", f"r{i}", i, f"s{i}") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, __lines string, __host string, __kept string, c0 long, `a.b` string")
+    for limit in (0, 1 << 20):
+        got = linededup.drop_boilerplate(docs, broadcast_bytes=limit)
+        assert got.columns == docs.columns
+        assert sorted(map(tuple, got.collect())) == [(*r[:2], f"own {r[0]}", *r[3:]) for r in rows]
+    named = docs.withColumnRenamed("text", "a text").withColumnRenamed("source", "common")
+    assert {r[2] for r in linededup.drop_boilerplate(named, "common", "a text").collect()} == {f"own {i}" for i in range(5)}
+
+
 def test_query_against_sql(spark):
     import duckdb
 
