@@ -114,58 +114,60 @@ def _tile_labels(x: np.ndarray, split: int | None, radius: int, step: int = 512)
 def near_pairs(tiled: DataFrame, moves: list[tuple[int, Column | None]], radius: int, block: int) -> DataFrame:
     """tiled(node long, w0 long, w1 ..., tile long) -> edges (u, v) that connect all nodes whose words differ by `radius` bits or less.
 
-    `moves` are the non-positive differences of tile numbers that may hold such nodes, 0 among them, each with
-    a condition on the tile. Tiles are cut into blocks of about `block` nodes, each packed in one row, and
-    every pair of blocks meets once, in a task that holds no more than two. What is emitted is a spanning
-    forest of a pair of blocks, not all its pairs. The number of tiles must be bounded, for it is broadcast.
+    Without a column node, w0 is the node. `moves` are the non-positive differences of tile numbers that may
+    hold near nodes, 0 among them, each with a condition on the tile it starts from. Tiles are cut into
+    blocks of about `block` nodes, each packed in one row. Every pair of blocks meets once: the visitors of a
+    block are streamed past it, about as many at a time as it may hold itself. What is emitted is a spanning
+    forest of what met, not all its pairs. The number of tiles must be bounded, for it is broadcast.
     """
     n = partitions(tiled.sparkSession)
     words = [c for c in tiled.columns if c.startswith("w")]
+    packed = [c for c in tiled.columns if c != "tile"]
     tiles = tiled.groupBy("tile").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
     tiles = F.broadcast(written(tiles, "tiles"))
-    held = F.collect_list(F.struct("node", *words))
-    cut = tiled.join(tiles, "tile").withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).groupBy("tile", "blk").agg(held.alias("held"))
-    cut = written(cut, "blocks")
-    other = tiles.select(F.col("tile").alias("other"), "blocks")
-    offsets = F.array_compact(F.array(*[F.when(F.lit(True) if fits is None else fits, F.lit(s)) for s, fits in moves]))
-    # As home a block meets those of its tile and of the tiles before, as visitor those of the tiles after.
-    home = cut.withColumn("s", F.explode(offsets)).withColumn("other", F.col("tile") + F.col("s")).join(other, "other")
-    home = home.withColumn("b", F.explode(F.sequence(F.lit(0), F.when(F.col("s") == 0, F.col("blk")).otherwise(F.col("blocks") - 1))))
-    home = home.select("tile", "blk", "other", "b", F.lit(0).alias("visits"), "held")
-    visitor = cut.withColumn("s", F.explode(F.array(*[F.lit(s) for s, _ in moves]))).withColumn("other", F.col("tile") - F.col("s")).join(other, "other")
-    after = F.when(F.col("s") == 0, F.sequence(F.col("blk") + 1, F.col("blocks") - 1, F.lit(1))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-    fits = F.lit(False)
+    cut = tiled.join(tiles, "tile").withColumn("blk", F.pmod(F.xxhash64("w0"), F.col("blocks")).cast("int"))
+    cut = written(cut.groupBy("tile", "blk").agg(F.collect_list(F.struct(*packed)).alias("held")), "blocks")
+    # Of two blocks of one tile the home is that from which the other is less than half way round.
+    ahead = F.pmod(F.col("b") - F.col("blk"), F.col("blocks"))
+    half = (2 * ahead < F.col("blocks")) | ((2 * ahead == F.col("blocks")) & (F.col("b") > F.col("blk")))
+    fits = F.col("s") == 0
     for s, condition in moves:
-        fits |= (F.col("s") == s) & (F.lit(True) if condition is None else condition)
-    visitor = visitor.where((F.col("s") != 0) | (F.col("blk") + 1 < F.col("blocks"))).withColumn("b", F.explode(after)).withColumnsRenamed({"tile": "mine", "other": "tile"})
-    visitor = visitor.where(fits).select("tile", F.col("b").alias("blk"), F.col("mine").alias("other"), F.col("blk").alias("b"), F.lit(1).alias("visits"), "held")
+        if s:
+            fits |= (F.col("s") == s) & (F.lit(True) if condition is None else condition)
+    home = cut.select("tile", "blk", F.lit(0).alias("visits"), "held")
+    visitor = cut.withColumn("s", F.explode(F.array(*[F.lit(s) for s, _ in moves]))).withColumn("tile", F.col("tile") - F.col("s")).where(fits).join(tiles, "tile")
+    visitor = visitor.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where((F.col("s") != 0) | ((F.col("b") != F.col("blk")) & half))
+    visitor = visitor.select("tile", F.col("b").alias("blk"), F.lit(1).alias("visits"), "held")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: tuple = ()
+        def edges(node: np.ndarray, x: np.ndarray, split: int | None) -> Iterator[pa.RecordBatch]:
+            label = _tile_labels(x, split, radius)
+            moved = np.flatnonzero(label != np.arange(len(label)))
+            if len(moved):
+                yield pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[label[moved]])], names=["u", "v"])
+
+        def met() -> Iterator[pa.RecordBatch]:
+            if len(held) > 1:
+                yield from edges(*(np.concatenate(p) for p in zip(*held, strict=True)), len(held[0][0]))
+                del held[1:]
+
+        current, held = None, []
         for batch in batches:
-            lists, keys = batch.column("held"), list(zip(*(batch.column(c).to_pylist() for c in ("tile", "blk", "other", "b")), strict=True))
-            for k, (key, visits) in enumerate(zip(keys, batch.column("visits").to_pylist(), strict=True)):
-                flat = lists.slice(k, 1).flatten()
-                node, *x = (flat.field(c).to_numpy(zero_copy_only=False) for c in range(len(words) + 1))
-                x = np.stack(x, axis=1).view(np.uint64)
-                if not visits and key[:2] == key[2:]:
-                    label = _tile_labels(x, None, radius)
-                elif not visits:
-                    waiting = key, node, x
-                    continue
-                elif waiting and waiting[0] == key:
-                    split = len(waiting[1])
-                    node = np.concatenate([waiting[1], node])
-                    label = _tile_labels(np.concatenate([waiting[2], x]), split, radius)
-                else:
-                    continue
-                moved = np.flatnonzero(label != np.arange(len(label)))
-                if len(moved):
-                    yield pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[label[moved]])], names=["u", "v"])
-
-    key = ["tile", "blk", "other", "b"]
-    met = home.unionByName(visitor).repartition(n, *key).sortWithinPartitions(*key, "visits")
-    return met.mapInArrow(run, "u long, v long")
+            for k, (tile, blk, visits) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("tile", "blk", "visits")), strict=True)):
+                flat = batch.column("held").slice(k, 1).flatten()
+                columns = {c: flat.field(i).to_numpy(zero_copy_only=False) for i, c in enumerate(packed)}
+                node, x = columns.get("node", columns["w0"]), np.stack([columns[w] for w in words], axis=1).view(np.uint64)
+                if not visits:
+                    yield from met()
+                    current, held = (tile, blk), [(node, x)]
+                    yield from edges(node, x, None)
+                elif current == (tile, blk):
+                    held.append((node, x))
+                    if sum(len(h[0]) for h in held[1:]) >= block:
+                        yield from met()
+        yield from met()
+
+    return home.unionByName(visitor).repartition(n, "tile", "blk").sortWithinPartitions("tile", "blk", "visits").mapInArrow(run, "u long, v long")
 
 
 def close_fingerprints(distinct: DataFrame, radius: int = 2, block: int = 1 << 15) -> DataFrame:
@@ -190,7 +192,7 @@ def close_fingerprints(distinct: DataFrame, radius: int = 2, block: int = 1 << 1
                     inside &= (F.floor(F.col("tile") / w) % side + x).between(0, BITS)
             moves.append((s, inside))
     # At most 17^4 tiles, whatever the input.
-    return near_pairs(distinct.select(F.col("fp").alias("node"), F.col("fp").alias("w0"), tile.alias("tile")), moves, radius, block)
+    return near_pairs(distinct.select(F.col("fp").alias("w0"), tile.alias("tile")), moves, radius, block)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
