@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import inspect
 import zlib
 
 import numpy as np
@@ -39,6 +40,21 @@ def test_spliced_counts_are_whole_counts(text, chunk, overlap):
     assert tokens.spliced_count(text, ENC, chunk, overlap) == len(ids(text))
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["word ", "x", " ", "\n", "é", "ß", "\u00a0", "\x1c", "<|endoftext|>", "!!", "12", "'s", "–"]), max_size=200).map("".join))
+def test_fast_offsets_are_the_librarys(text):
+    ids_, begun = ENC.starts(text)
+    e = PLAIN.encode(text, add_special_tokens=False)
+    assert ENC._plain(text) and ids_.tolist() == e.ids and begun.tolist() == [a for a, _ in e.offsets]
+
+
+def test_long_documents_of_every_scale_are_spliced(spark):
+    for sf in ("sf0.001", "sf0.01", "sf0.1"):
+        texts = [r.text for r in spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").where(f"length(text) > {inspect.signature(tokens.count_tokens).parameters['huge'].default}").collect()]
+        assert texts, sf
+        assert [tokens.spliced_count(t, ENC) for t in texts] == [len(ids(t)) for t in texts]
+
+
 def test_splicing_widens_where_no_space_helps():
     for text in ("a" * 5000, "ab " * 10 + "x1" * 3000 + " end " * 40, " " * 4000, "漢" * 3000):
         assert tokens.spliced_count(text, ENC, 256, 8) == len(ids(text))
