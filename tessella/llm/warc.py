@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import new_path
+from tessella.llm.common import binary, new_path, quoted, written
 
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 
@@ -21,32 +26,51 @@ def _line(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"{name}: "), safe, F.lit("\r\n")), F.lit(""))
 
 
+def _hashed(pages: DataFrame, id_col: str, url_col: str, payload_col: str) -> DataFrame:
+    """(page_id, url, sha256, sha1, size, zstd, row): each payload hashed and compressed once, each row numbered."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 512):
+                part = batch.slice(a, 512)
+                data = binary(part.column("payload"))
+                columns = [[hashlib.sha256(d).hexdigest() for d in data], [hashlib.sha1(d).hexdigest() for d in data], [len(d) for d in data], [packer.compress(d) for d in data]]
+                types = (pa.string(), pa.string(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names=["page_id", "url", "sha256", "sha1", "size", "zstd"])
+
+    rows = pages.select(F.col(quoted(id_col)).cast("long").alias("page_id"), F.col(quoted(url_col)).cast("string").alias("url"), F.col(quoted(payload_col)).cast("string").alias("payload"))
+    hashed = rows.mapInArrow(run, "page_id long, url string, sha256 string, sha1 string, size long, zstd binary")
+    return written(hashed.withColumn("row", F.monotonically_increasing_id()), "hashed")
+
+
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 1000, date: str = "2024-01-01T00:00:00Z") -> None:
-    """Writes `path`/payloads (sha256, payload) and `path`/records (header, sha256).
+    """Writes `path`/payloads (sha256, zstd: the payload compressed) and `path`/records (header, sha256).
 
     A header holds every byte of a record before its payload: the WARC fields, an empty line and, for a
     response, the HTTP head. Among records of equal payloads of at least `least` bytes that of the largest
     id is the response and the others revisit it; smaller ones are all responses. Rows that repeat the
     largest id are responses too; a row with a null id revisits, unless all ids of its payload are null.
-    A null payload is empty, a null URL has no target line. Each distinct payload is stored once: equal
-    ones are combined before they are shuffled, so a page with countless copies moves once per task.
+    Every row is a record with an id of its own. A null payload is empty, a null URL has no target line.
+    Each distinct payload is stored once: payloads are hashed and compressed in one pass, and equal ones are
+    combined before they are shuffled, so a page with countless copies moves once per task.
     """
-    payload = F.coalesce(F.encode(F.col(payload_col).cast("string"), "UTF-8"), F.lit(b""))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload")).withColumn("sha256", F.sha2("payload", 256))
-    rows.select("sha256", "payload").dropDuplicates(["sha256"]).write.option("compression", "zstd").parquet(f"{path}/payloads")
-    slim = rows.select("page_id", "url", "sha256", F.sha1("payload").alias("sha1"), F.length("payload").cast("long").alias("size"))
-    largest = slim.where(F.col("size") >= least).groupBy("sha256").agg(F.max("page_id").alias("of"))
+    rows = _hashed(pages, id_col, url_col, payload_col)
+    rows.select("sha256", "zstd").dropDuplicates(["sha256"]).write.option("compression", "none").parquet(f"{path}/payloads")
+    slim = rows.drop("zstd")
+    largest = slim.where(F.col("size") >= least).groupBy("sha256").agg(F.max(F.struct("page_id", (-F.col("row")).alias("back"))).alias("last"))
+    largest = largest.select("sha256", F.col("last.page_id").alias("of"), (-F.col("last.back")).alias("of_row"))
     slim = slim.join(largest, "sha256", "left").withColumn("revisit", F.coalesce(F.col("of") != F.col("page_id"), F.col("of").isNotNull()))
-    record_id = lambda c: F.concat(F.lit("<urn:uuid:"), _uuid(F.coalesce(F.col(c).cast("string"), F.lit("null")), F.col("sha256")), F.lit(">"))
+    record_id = lambda row: F.concat(F.lit("<urn:uuid:"), _uuid(F.col(row).cast("string"), F.col("sha256")), F.lit(">"))
     http = F.concat(F.lit(HTTP + "Content-Length: "), F.col("size").cast("string"), F.lit("\r\n\r\n"))
     header = F.concat(
         F.lit("WARC/1.1\r\n"),
         _line("WARC-Type", F.when(F.col("revisit"), "revisit").otherwise("response")),
-        _line("WARC-Record-ID", record_id("page_id")),
+        _line("WARC-Record-ID", record_id("row")),
         _line("WARC-Date", F.lit(date)),
         _line("WARC-Target-URI", F.col("url")),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
-        _line("WARC-Refers-To", F.when(F.col("revisit"), record_id("of"))),
+        _line("WARC-Refers-To", F.when(F.col("revisit"), record_id("of_row"))),
         F.when(F.col("revisit"), F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n")).otherwise(F.lit("")),
         _line("X-Page-ID", F.col("page_id").cast("string")),
         _line("X-Refers-To-Page", F.when(F.col("revisit"), F.col("of").cast("string"))),
@@ -58,8 +82,9 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     slim.select(F.encode(header, "UTF-8").alias("header"), "sha256").write.option("compression", "zstd").parquet(f"{path}/records")
 
 
-def _field(name: str) -> Column:
-    return F.regexp_extract(F.decode("header", "UTF-8"), rf"\r\n{name}: ([^\r]*)\r\n", 1)
+def _fields(header: bytes) -> dict[str, str]:
+    """The lines of the WARC header, which an empty line ends."""
+    return dict(x.split(": ", 1) for x in header.partition(b"\r\n\r\n")[0].decode().split("\r\n")[1:])
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -67,49 +92,48 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     `record` is the record's bytes as a WARC file holds them: header, the payload if it is a response, and
     the two closing line ends. `payload` is the full one, a revisit's too. A stored payload that does not
-    have the digest it is filed under raises an error.
+    have the digest it is filed under or that its header states, and a record of another length than its
+    header states, raise an error.
     """
-    payloads = spark.read.parquet(f"{path}/payloads")
-    sound = F.when(F.sha2("payload", 256) == F.col("sha256"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("payload does not match its digest "), F.col("sha256"))))
-    records = spark.read.parquet(f"{path}/records").join(payloads.select("sha256", sound.alias("payload")), "sha256", "left")
-    records = _parsed(records).withColumn("body", F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.col("payload")))
-    return records.select("page_id", "record_type", "refers_to", "header", "payload", F.concat("header", "body", F.lit(b"\r\n\r\n")).alias("record"))
-
-
-def _parsed(records: DataFrame) -> DataFrame:
-    return records.withColumns(
-        {
-            "page_id": F.when(_field("X-Page-ID") != "", _field("X-Page-ID")).cast("long"),
-            "record_type": _field("WARC-Type"),
-            "refers_to": F.when(_field("X-Refers-To-Page") != "", _field("X-Refers-To-Page")).cast("long"),
-            "stated": F.regexp_extract(F.decode("header", "UTF-8"), "\r\nWARC-Payload-Digest: sha1:([0-9a-f]*)\r\n", 1),
-        }
-    )
-
-
-def inventory(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record of an archive: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
-    Length and digests are those of the stored payload, taken once for each distinct one and checked
-    against the digest it is filed under and the one in the record's header; a difference raises an error.
-    """
-    stored = spark.read.parquet(f"{path}/payloads").select(
-        "sha256", F.length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), (F.sha2("payload", 256) == F.col("sha256")).alias("sound")
-    )
-    records = _parsed(spark.read.parquet(f"{path}/records")).drop("header").join(stored, "sha256", "left")
-    good = F.col("sound") & (F.col("stated") == F.col("payload_digest"))
-    checked = F.when(good, F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("payload does not match its digest "), F.col("sha256"))))
-    return records.select("page_id", "payload_bytes", checked.alias("payload_digest"), "record_type", "refers_to")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpacker = zstandard.ZstdDecompressor()
+        schema = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("header", pa.binary()), ("payload", pa.binary()), ("record", pa.binary())])
+        for batch in batches:
+            out: list[tuple] = []
+            size = 0
+            for header, sha256, packed in zip(*(batch.column(c).to_pylist() for c in ("header", "sha256", "zstd")), strict=True):
+                fields = _fields(header)
+                payload = b"" if packed is None else unpacker.decompress(packed)
+                if hashlib.sha256(payload).hexdigest() != sha256 or "sha1:" + hashlib.sha1(payload).hexdigest() != fields["WARC-Payload-Digest"]:
+                    raise ValueError(f"payload does not match its digest {sha256}")
+                head = header.partition(b"\r\n\r\n")[2]
+                body = b"" if fields["WARC-Type"] == "revisit" else payload
+                if len(head) + len(body) != int(fields["Content-Length"]):
+                    raise ValueError(f"record {fields['WARC-Record-ID']} is not as long as it says")
+                page, of = (int(fields[n]) if n in fields else None for n in ("X-Page-ID", "X-Refers-To-Page"))
+                out.append((page, fields["WARC-Type"], of, header, payload, header + body + b"\r\n\r\n"))
+                size += len(payload)
+                if size > 1 << 23:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+                    out, size = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+
+    records = spark.read.parquet(f"{path}/records").join(spark.read.parquet(f"{path}/payloads"), "sha256", "left")
+    return records.select("header", "sha256", "zstd").mapInArrow(run, "page_id long, record_type string, refers_to long, header binary, payload binary, record binary")
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 1000) -> DataFrame:
-    """Writes an archive of `pages` into the shared folder and returns its inventory, read back from it.
+    """Writes an archive of `pages` into the shared folder, rebuilds its records and returns one row for each:
+    (`id_col`, payload_bytes, payload_digest, record_type, refers_to).
 
     Repeated rows are records of their own; an empty table gives an empty archive; extra columns are not read.
     """
     path = new_path(pages.sparkSession, "archive")
     write(pages, path, id_col, url_col, payload_col, least)
-    return inventory(pages.sparkSession, path).withColumnRenamed("page_id", id_col)
+    rebuilt = read(pages.sparkSession, path)
+    return rebuilt.select(F.col("page_id").alias(id_col), F.length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), "record_type", "refers_to")
 
 
 SQL = """

@@ -4,6 +4,7 @@ import hashlib
 
 import duckdb
 import pytest
+import zstandard
 
 from tessella.llm import urls, warc
 from tessella.llm.common import new_path
@@ -36,7 +37,7 @@ def test_archive_round_trip_of_edge_rows(spark):
     path = new_path(spark, "archive")
     warc.write(pages, path)
     assert spark.read.parquet(f"{path}/payloads").count() == len({r[2] or "" for r in ROWS})
-    seen = 0
+    named, refers = [], set()
     for r in warc.read(spark, path).collect():
         record = bytes(r.record)
         head, _, rest = record.partition(b"\r\n\r\n")
@@ -47,18 +48,24 @@ def test_archive_round_trip_of_edge_rows(spark):
         body = block.partition(b"\r\n\r\n")[2]
         assert body == (b"" if r.record_type == "revisit" else bytes(r.payload))
         assert fields["WARC-Payload-Digest"] == "sha1:" + hashlib.sha1(bytes(r.payload)).hexdigest()
-        seen += 1
-    assert seen == len(ROWS)
+        named.append((fields["WARC-Record-ID"], r.page_id))
+        refers |= {(fields["WARC-Refers-To"], r.refers_to)} if "WARC-Refers-To" in fields else set()
+    assert len(dict(named)) == len(ROWS) and refers <= set(named)
 
 
 def test_a_wrong_payload_is_noticed(spark):
     path = new_path(spark, "archive")
     pages = spark.createDataFrame([(1, "u", "a" * 2000), (2, "u", "b" * 2000)], "page_id long, url string, html string")
     warc.write(pages, path)
-    broken = spark.createDataFrame([(r.sha256, bytearray(b"x")) for r in spark.read.parquet(f"{path}/payloads").collect()], "sha256 string, payload binary")
+    broken = spark.createDataFrame([(r.sha256, bytearray(zstandard.compress(b"x"))) for r in spark.read.parquet(f"{path}/payloads").collect()], "sha256 string, zstd binary")
     broken.write.mode("overwrite").parquet(f"{path}/payloads")
     with pytest.raises(Exception, match="does not match its digest"):
-        warc.inventory(spark, path).collect()
+        warc.read(spark, path).collect()
+    warc.write(pages, f"{path}/2")
+    cut = [(bytearray(bytes(r.header).replace(b"Content-Length: 2", b"Content-Length: 1")), r.sha256) for r in spark.read.parquet(f"{path}/2/records").collect()]
+    spark.createDataFrame(cut, "header binary, sha256 string").write.mode("overwrite").parquet(f"{path}/2/records")
+    with pytest.raises(Exception, match="not as long as it says"):
+        warc.read(spark, f"{path}/2").collect()
 
 
 @pytest.mark.parametrize("query", [op9_warc, op10_urls])
