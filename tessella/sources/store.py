@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_RUN = uuid.uuid4().hex
+_USED: dict[str, Callable[[], object]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,8 +36,26 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[spark.sparkContext.applicationId]
 
 
+def clear() -> None:
+    """Removes all that this process has written into the shared folder. What it has returned must have been read by then."""
+    while _USED:
+        _USED.popitem()[1]()
+
+
+def _clear_at_exit() -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone; the folder is then left to its owner
+        clear()
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tessella-{uuid.uuid4().hex}/{name}"
+    """A path of its own in the shared folder, under one folder for the process, which is removed when it ends."""
+    run = f"{shared_dir(spark)}/tessella-{_RUN}"
+    if run not in _USED:
+        path, conf = spark._jvm.org.apache.hadoop.fs.Path(run), spark._jsc.hadoopConfiguration()
+        _USED[run] = lambda: path.getFileSystem(conf).delete(path, True)
+        atexit.unregister(_clear_at_exit)
+        atexit.register(_clear_at_exit)
+    return f"{run}/{uuid.uuid4().hex}/{name}"
 
 
 def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
