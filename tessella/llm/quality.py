@@ -117,7 +117,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Learns from at most `sample` labelled documents (a documented bound of this fit alone): those of least hash.
 
     Labels of held-out ids, null labels or ids, labels other than 0 and 1, and ids with both labels are
-    left out; of rows that repeat an id one is used. No usable label gives a model that says 1/2.
+    left out; of rows that repeat an id that of the least text hash is used. No usable label gives a model that says 1/2.
     """
     chosen = (
         labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col))
@@ -133,9 +133,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = [statistics(t) for t in binary(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64())), batch.column(2)], names=["id", "x", "y"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64())), *batch.columns[2:]], names=["id", "x", "y", "h"])
 
-    rows = picked.select("id", "text", "y").mapInArrow(run, "id long, x array<double>, y int").dropDuplicates(["id"]).toPandas().sort_values("id")
+    rows = picked.select("id", "text", "y", F.xxhash64("text").alias("h")).mapInArrow(run, "id long, x array<double>, y int, h long")
+    rows = rows.groupBy("id").agg(F.min(F.struct("h", "x", "y")).alias("r")).select("id", "r.x", "r.y").toPandas().sort_values("id")
     x = np.stack(rows["x"].to_numpy()) if len(rows) else np.zeros((0, len(FEATURES)))
     return fit(x, rows["y"].to_numpy(np.float64))
 
