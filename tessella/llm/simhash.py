@@ -221,7 +221,7 @@ def _name(found: np.ndarray) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def similar_sets(classes: DataFrame, docs: DataFrame, width: int, least: float, radius: int, block: int = 1 << 14, room: int = 1 << 21, most: int = 1 << 13) -> DataFrame:
+def similar_sets(classes: DataFrame, docs: DataFrame, width: int, least: float, radius: int, block: int = 1 << 14, room: int = 1 << 21, most: int = 1 << 11) -> DataFrame:
     """classes(node, id, n, w0, ...), docs(id, text) -> edges (u, v) of Jaccard `least` or more that connect all sets so similar within `radius` bits.
 
     Tiles are classes of set size a factor of `least` apart, so a set is compared with its own tile and the
