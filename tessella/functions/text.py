@@ -10,8 +10,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Our own short list of English function words.
-STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "he", "in", "is", "it", "of", "on", "or", "she", "that", "the", "this", "to", "was", "what", "which", "with")
+#: Our own list of English function words: articles, pronouns, prepositions, conjunctions, auxiliaries and plain adverbs.
+STOPWORDS = tuple(
+    """
+    a an the this that these those some any no none each every either neither both all few many much more most several such other another own same
+    i me my mine myself you your yours yourself yourselves he him his himself she her hers herself it its itself we us our ours ourselves
+    they them their theirs themselves who whom whose which what whoever whatever whichever one ones
+    of in on at by for from to into onto with without within about above across after against along among around as before behind below beneath
+    beside besides between beyond but despite down during except inside like near off out outside over past per since than through throughout
+    till toward towards under underneath until up upon via
+    and or nor so yet if unless because although though while whereas whether when whenever where wherever why how
+    am is are was were be been being have has had having do does did doing done will would shall should can could may might must ought
+    not only also too very just even still again ever never always often then there here now once quite rather almost
+    aren't can't couldn't didn't doesn't don't hadn't hasn't haven't isn't mustn't shan't shouldn't wasn't weren't won't wouldn't
+    i'm i've i'll i'd you're you've you'll you'd he's he'll he'd she's she'll she'd it's it'll we're we've we'll we'd they're they've they'll they'd
+    that's there's here's what's who's let's
+    """.split()
+)
 
 
 def tokens(text: Column) -> Column:
@@ -34,27 +49,25 @@ def levenshtein_similarity(a: Column, b: Column) -> Column:
     return F.when((x == "") | (y == ""), 0.0).otherwise(1 - F.levenshtein(x, y) / longest)
 
 
-def ascii_only(text: Column) -> Column:
-    return F.regexp_replace(text, r"[^\x00-\x7F]", "")
-
-
 @F.pandas_udf(StringType())
 def _nfkc(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in parts:
         yield s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
-def normalize(text: Column, nfkc: bool = True) -> Column:
-    """A tag for comparison: compatibility form, plain quotes and dashes, lower case, only a-z, 0-9, dash and single spaces.
+#: What two tags are compared without. Quotes vanish, long dashes become plain ones, and any run of
+#: characters outside the alphabet of tags is one space.
+QUOTES, DASHES, NO_TAG = "‘’'", "–—", "[^0-9a-z-]+"
+
 
-    Null becomes empty. Only with `nfkc` does non-ASCII text pass through Python.
+def normalize(text: Column) -> Column:
+    """A tag for comparison: compatibility form, plain dashes, no quotes, lower case, only a-z, 0-9, dash and single spaces.
+
+    Null becomes empty. Only non-ASCII text passes through Python.
     """
     s = F.coalesce(text, F.lit(""))
-    if nfkc:
-        s = F.when(s.rlike(r"[^\x00-\x7F]"), _nfkc(s)).otherwise(s)
-    s = F.regexp_replace(F.regexp_replace(s, "[‘’]", ""), "[–—]", "-")
-    s = F.regexp_replace(F.trim(F.lower(s)), "'", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(s, r"[^0-9a-z\- ]+", " "), r"\s+", " "))
+    s = F.lower(F.when(s.rlike(r"[^\x00-\x7F]"), _nfkc(s)).otherwise(s))
+    return F.trim(F.regexp_replace(F.translate(s, DASHES + QUOTES, "-" * len(DASHES)), NO_TAG, " "))
 
 
 def is_stopword(word: Column) -> Column:
@@ -72,9 +85,13 @@ def sentences(text: Column) -> Column:
     return F.split(text, r"(?<=[.!?])\s+(?=[A-Z])")
 
 
+#: Fixed value: the form of a score in an answer, 0 to 100 with or without decimals.
+SCORE = r"\b(100(?:\.0+)?|[1-9]?\d(?:\.\d+)?)\b"
+
+
 def number_0_100(text: Column) -> Column:
     """The first stand-alone number from 0 to 100, else null."""
-    found = F.regexp_extract(text, r"\b(100(?:\.0+)?|[1-9]?\d(?:\.\d+)?)\b", 1)
+    found = F.regexp_extract(text, SCORE, 1)
     return F.when(found != "", found).try_cast("double")
 
 

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from tessella.functions.text import normalize
 
 
-def ground_truth(authors: DataFrame, tag: str, match: str = "equals", nfkc: bool = True) -> DataFrame:
+def ground_truth(authors: DataFrame, tag: str, match: str = "equals") -> DataFrame:
     """(author_id, n_citation), most cited first: authors whose normalized tag equals the query's, or with match='contained' lies in it.
 
     Ties by id. Authors without a tag are left out.
     """
-    mine, asked = normalize(F.col("tag"), nfkc), normalize(F.lit(tag), nfkc)
+    mine, asked = normalize(F.col("tag")), normalize(F.lit(tag))
     fits = mine == asked if match == "equals" else F.instr(asked, mine) > 0
     kept = authors.where(F.col("tag").isNotNull() & fits)
     return kept.select("author_id", "n_citation").orderBy(F.desc("n_citation"), "author_id")

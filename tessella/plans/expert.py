@@ -101,12 +101,9 @@ class Expert(fx.Fixtures):
         """The graph with roles as a table partitioned by predicate, for queries of many patterns."""
         return self.once("graph", lambda: self.graph(True, ("links", "topics", "profiles", "authorship")), "p")
 
-    def plain_docs(self) -> DataFrame:
-        return self.docs().withColumn("text", T.ascii_only(F.col("text")))
-
     def retrieved(self) -> DataFrame:
         """(doc_id, score) of the hybrid retrieval for the fixed query."""
-        return self.once("retrieved", lambda: retrieval.hybrid(self.plain_docs().select("doc_id", "text", "embedding"), self.query_vector(), fx.QUERY_TEXT))
+        return self.once("retrieved", lambda: retrieval.hybrid(self.docs().select("doc_id", "text", "embedding"), self.query_vector(), fx.QUERY_TEXT))
 
     def ranked_papers(self) -> DataFrame:
         """(paper_id, rank): the retrieved documents' papers, best first."""

@@ -31,7 +31,8 @@ def n(cond: str) -> str:
 
 
 B = "'http://example.org/"
-ASCII = r"regexp_replace({x}, '[^\x00-\x7F]', '', 'g')"
+#: Edit distances count bytes in DuckDB, so each other code point stands as one sign that the query's words don't have.
+PLAIN = r"regexp_replace({x}, '[^\x00-\x7F]', '#', 'g')"
 
 CTES = {
     "fx_authorship": """SELECT paper_id, author_id, CAST(ROW_NUMBER() OVER (PARTITION BY paper_id ORDER BY k) AS INTEGER) AS pos, COUNT(*) OVER (PARTITION BY paper_id) AS n_authors
@@ -41,7 +42,7 @@ CTES = {
     "fx_t3": "SELECT DISTINCT CAST(o.o_orderdate AS DATE) AS paper_id, p.p_brand AS topic FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey JOIN part p ON p.p_partkey = l.l_partkey",
     "fx_parent": "SELECT DISTINCT p_brand AS subtopic, p_type AS main_topic FROM part",
     "fx_author": "SELECT c_custkey AS author_id, c_name AS name, n_name AS org, c_mktsegment AS tag, c_acctbal AS n_citation FROM customer JOIN nation ON n_nationkey = c_nationkey",
-    "fx_doc": f"""SELECT d.doc_id, {ASCII.format(x='d.text')} AS text, d.text AS full_text, d.lang, e.embedding, p.paper_id
+    "fx_doc": """SELECT d.doc_id, d.text, d.lang, e.embedding, p.paper_id
         FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id
         JOIN (SELECT paper_id, ROW_NUMBER() OVER (ORDER BY paper_id) - 1 AS day_no, COUNT(*) OVER () AS n_days FROM fx_paper) p ON p.day_no = d.doc_id % p.n_days""",
     "t2": "SELECT a.author_id, p.year, t.topic AS topic_id, t.topic AS topic_name, COUNT(*) AS frequency FROM fx_paper p JOIN fx_t2 t USING (paper_id) JOIN fx_authorship a USING (paper_id) WHERE p.year BETWEEN 1950 AND 2019 GROUP BY ALL",
@@ -143,7 +144,7 @@ CTES = {
     "titles": "SELECT s, MIN(o) AS title FROM g WHERE p = 'dcterms:title' GROUP BY s",
     "cos": f"SELECT doc_id, text, list_cosine_similarity(CAST(embedding AS DOUBLE[]), {V}) AS c FROM fx_doc",
     "cand": "SELECT * FROM cos ORDER BY round(c, 12) DESC, doc_id LIMIT 75",
-    "lexi": f"SELECT doc_id, {jac(KW, 'text')} AS j, {lev(KW, 'text')} AS l FROM cand",
+    "lexi": f"SELECT doc_id, {jac(KW, 'text')} AS j, {lev(KW, 't')} AS l FROM (SELECT *, {PLAIN.format(x='text')} AS t FROM cand) x",
     "fusein": "SELECT c.doc_id, c.c, COALESCE(x.j, 0.0) AS j, COALESCE(x.l, 0.0) AS l FROM cos c LEFT JOIN lexi x USING (doc_id)",
     "bounds": "SELECT MIN(c) AS c0, MAX(c) AS c1, MIN(j) AS j0, MAX(j) AS j1, MIN(l) AS l0, MAX(l) AS l1 FROM fusein",
     "scaled": "SELECT doc_id, "

@@ -143,12 +143,12 @@ def year_coverage(e):
     return career.coverage_by_regime(e.regime_map())
 
 
-_HALF = "CASE WHEN tensor_total = 0 THEN 'none' WHEN CAST(tensor_total AS DOUBLE) / total_pubs < 1.02 THEN 'partial' ELSE 'full' END"
+_HALF = "CASE WHEN tensor_total = 0 THEN 'none' WHEN CAST(tensor_total AS DOUBLE) / total_pubs < 2.5 THEN 'partial' ELSE 'full' END"
 
 
 @query(f"SELECT author_id, name, total_pubs, tensor_total FROM (SELECT *, {_HALF} AS cov FROM rmap) x WHERE cov = 'partial' ORDER BY total_pubs DESC, author_id LIMIT 10")
 def partial_coverage_topn(e):
-    return career.partial_top(career.regimes(e.authors(), e.profiles(), e.tensor(), fx.END_YEAR, fx.WINDOW, partial_below=1.02))
+    return career.partial_top(career.regimes(e.authors(), e.profiles(), e.tensor(), fx.END_YEAR, fx.WINDOW, partial_below=2.5))
 
 
 _S, _R, _A = "career_span", "recency_ratio", "avg_pubs_per_slice"
@@ -379,12 +379,12 @@ def kg_exists_semi(e):
     return kg.exists(asked, "s", e.graph(), "rdf:type", "ex:Author").select("c_custkey", "s")
 
 
-@query("SELECT p, COUNT(*) AS n FROM gr WHERE p LIKE 'ex:prob%' OR p = 'ex:dominantRole' GROUP BY 1")
+@query("SELECT s, p, o FROM gr WHERE p LIKE 'ex:prob%' OR p = 'ex:dominantRole'")
 def kg_upsert_roles(e):
     new = kg.role_triples(e.roled())
     g = kg.upsert(e.graph(), kg.ROLE_PREDICATES, new)
     twice = kg.upsert(g, kg.ROLE_PREDICATES, new)
-    return twice.where(F.col("p").isin(*kg.ROLE_PREDICATES)).groupBy("p").agg(F.count("*").alias("n"))
+    return twice.where(F.col("p").isin(*kg.ROLE_PREDICATES)).select("s", "p", "o")
 
 
 @query("SELECT 'http://example.org/author/' || author_id AS s, prob_emerging, prob_collaborating, prob_supervising, dominant_role FROM roled WHERE author_id IN (SELECT author_id FROM cands)")
@@ -477,18 +477,15 @@ def rag_enrich_role(e):
     return rag.enrich(plain, e.roled().withColumn("s", kg.uri("author", F.col("author_id"))))
 
 
-@query()
+@query("SELECT s, p, o FROM g")
 def kg_ntriples_roundtrip(e):
-    """Triples written as N-Triples lines and read back: all of them, unchanged."""
-    g = e.graph()
-    back = rdf.parse_ntriples(rdf.ntriples(g))
-    both = g.withColumn("a", F.lit(1)).withColumn("b", F.lit(0)).unionByName(back.withColumn("a", F.lit(0)).withColumn("b", F.lit(1)))
-    return both.groupBy(*kg.COLUMNS).agg(F.sum("a").alias("a"), F.sum("b").alias("b")).groupBy("p").agg(F.sum("a").alias("n_written"), F.sum("b").alias("n_read"), F.sum((F.col("a") != F.col("b")).cast("int")).alias("n_changed"))
+    """Triples written as N-Triples lines and read back."""
+    return rdf.parse_ntriples(rdf.ntriples(e.graph())).select("s", "p", "o")
 
 
 # Parsing and text
 
-@query()
+@query("SELECT paper_id, pos, CAST(n_authors AS INTEGER) AS n_authors, CAST(author_id AS VARCHAR) AS author_id, CAST(NULL AS VARCHAR) AS name FROM fx_authorship")
 def parse_pyliteral(e):
     """Author lists as Python literals, one row per author: a list per paper, made from the authorship."""
     entry = F.concat(F.lit("{'id': '"), F.col("author_id").cast("string"), F.lit("', 'name': None}"))
@@ -521,17 +518,20 @@ def jaccard_similarity(e):
     return e.table("documents").select("doc_id", T.jaccard(F.lit(_KW), F.col("text")).alias("jaccard"))
 
 
-@query(f"SELECT doc_id, round({o.lev(o.KW, 't')}, 6) AS levenshtein FROM (SELECT doc_id, {o.ASCII.format(x='text')} AS t FROM documents) x")
+@query(f"SELECT doc_id, round({o.lev(o.KW, 't')}, 6) AS levenshtein FROM (SELECT doc_id, {o.PLAIN.format(x='text')} AS t FROM documents) x")
 def levenshtein_similarity(e):
-    return e.table("documents").select("doc_id", T.levenshtein_similarity(F.lit(_KW), T.ascii_only(F.col("text"))).alias("levenshtein"))
+    return e.table("documents").select("doc_id", T.levenshtein_similarity(F.lit(_KW), F.col("text")).alias("levenshtein"))
+
 
+_QUOTES = T.QUOTES.replace("'", "''")
 
-@query("SELECT doc_id, trim(regexp_replace(regexp_replace(replace(trim(lower(t)), '''', ''), '[^0-9a-z\\- ]+', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM (SELECT doc_id, " + o.ASCII.format(x="text") + " AS t FROM documents) x")
+
+@query(f"SELECT doc_id, trim(regexp_replace(translate(lower(text), '{T.DASHES}{_QUOTES}', '--'), '{T.NO_TAG}', ' ', 'g')) AS text FROM documents")
 def normalize_text(e):
-    return e.table("documents").select("doc_id", T.normalize(T.ascii_only(F.col("text")), nfkc=False).alias("text"))
+    return e.table("documents").select("doc_id", T.normalize(F.col("text")).alias("text"))
 
 
-_STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
+_STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in T.STOPWORDS)
 
 
 @query(f"SELECT doc_id, COALESCE(array_to_string(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '' AND lower(w) NOT IN ({_STOP})), ' '), '') AS text FROM documents")
@@ -545,9 +545,13 @@ def sentence_split(e):
     return e.table("documents").select("doc_id", F.size(s).alias("n_sentences"), F.element_at(s, 1).alias("first"), F.element_at(s, -1).alias("last"))
 
 
-@query("SELECT doc_id, TRY_CAST(regexp_extract(" + o.ASCII.format(x="text") + ", '\\b(100(?:\\.0+)?|[1-9]?\\d(?:\\.\\d+)?)\\b', 1) AS DOUBLE) AS score FROM documents")
+# Word borders know only ASCII in DuckDB, so other letters stand as x and other signs as spaces.
+_BORDERS = r"regexp_replace(regexp_replace(text, '[^\x00-\x7F\pL\pN]', ' ', 'g'), '[^\x00-\x7F]', 'x', 'g')"
+
+
+@query(f"SELECT doc_id, TRY_CAST(regexp_extract({_BORDERS}, '{T.SCORE}', 1) AS DOUBLE) AS score FROM documents")
 def extract_score(e):
-    return e.table("documents").select("doc_id", T.number_0_100(T.ascii_only(F.col("text"))).alias("score"))
+    return e.table("documents").select("doc_id", T.number_0_100(F.col("text")).alias("score"))
 
 
 @query("SELECT p_partkey, CASE WHEN hi - lo < 1e-8 THEN 0.0 ELSE round((p_retailprice - lo) / (hi - lo + 1e-8), 6) END AS scaled FROM part CROSS JOIN (SELECT MIN(p_retailprice) AS lo, MAX(p_retailprice) AS hi FROM part) x")
@@ -560,7 +564,7 @@ def embedding_centroid(e):
     return e.centroids().select("source", F.posexplode("centroid").alias("i", "x"))
 
 
-@query()
+@query("""SELECT event_id, CASE WHEN event_id % 3 < 2 THEN regexp_replace(props, ': ([0-9]+)', ':"\\1"', 'g') END AS parsed, CASE WHEN event_id % 3 = 2 THEN 'Sorry: ' || props END AS raw FROM events""")
 def json_fallback(e):
     """Answers as a model may give them: bare JSON, fenced JSON, and text that is none."""
     props = F.col("props")
@@ -604,17 +608,13 @@ def rank_documents(e):
     return retrieval.rank_documents(e.table("documents").select("doc_id", F.col("n_chars").alias("n_citation")))
 
 
-_TITLE = "trim(substr(text, 1, 40))"
-
-
 @query(f"""SELECT title, MIN(doc_id) AS doc_id, concat_ws(',', CASE WHEN MAX(CASE WHEN b = 0 THEN 1 END) = 1 THEN 'cosine' END, CASE WHEN MAX(CASE WHEN b = 1 THEN 1 END) = 1 THEN 'llm' END) AS selected_by FROM (
-    SELECT trim(substr(d.full_text, 1, 40)) AS title, d.doc_id, 0 AS b FROM cand c JOIN fx_doc d USING (doc_id) UNION ALL
-    SELECT trim(substr(full_text, 1, 40)), doc_id, 1 FROM (SELECT doc_id, full_text, {o.jac(o.KW, 'full_text')} AS j FROM fx_doc) y WHERE j > 0.1) x GROUP BY title""")
+    SELECT md5(text) AS title, doc_id, 0 AS b FROM cand UNION ALL SELECT md5(text), doc_id, 1 FROM documents WHERE {o.jac(o.KW, 'text')} > 0.1) x GROUP BY title""")
 def union_provenance(e):
-    docs = e.docs().withColumn("title", F.substring("text", 1, 40))
-    first = retrieval.hybrid_candidates(e.docs(), e.query_vector()).join(docs, "doc_id")
-    second = docs.where(T.jaccard(F.lit(_KW), F.col("text")) > 0.1)
-    return retrieval.union_by_title(first, second)
+    """The fixture's title is a digest of the whole text, so only equal texts are one document."""
+    titled = lambda docs: docs.select("doc_id", F.md5("text").alias("title"))
+    first = titled(e.texts().join(F.broadcast(retrieval.hybrid_candidates(e.docs(), e.query_vector()).select("doc_id")), "doc_id"))
+    return retrieval.union_by_title(first, titled(e.texts().where(T.jaccard(F.lit(_KW), F.col("text")) > 0.1)))
 
 
 @query("SELECT author_id, CAST(ROW_NUMBER() OVER (ORDER BY f, author_id) - 1 AS INTEGER) AS pos FROM (SELECT a.author_id, MIN(r.rank * 1000 + a.pos) AS f FROM rpapers r JOIN fx_authorship a USING (paper_id) GROUP BY 1) x")
@@ -712,23 +712,24 @@ def eval_summary(e):
 
 @query(f"SELECT doc_id, round({o.jac(o.KW, 'text')}, 6) AS score FROM (SELECT h.doc_id, d.text FROM hyb h JOIN fx_doc d USING (doc_id)) x ORDER BY round({o.jac(o.KW, 'text')}, 9) DESC, doc_id LIMIT 15")
 def rerank_documents(e):
-    return scorers.rerank(e.plain_docs().join(F.broadcast(e.retrieved().select("doc_id")), "doc_id", "left_semi"), scorers.identity(_KW), 15)
+    return scorers.rerank(e.docs().join(F.broadcast(e.retrieved().select("doc_id")), "doc_id", "left_semi"), scorers.identity(_KW), 15)
 
 
-@query(f"SELECT doc_id, round({o.jac(o.KW, 'text')}, 6) AS score FROM fx_doc WHERE {o.jac(o.KW, 'text')} > 0.3")
+@query(f"SELECT doc_id, round({o.jac(o.KW, 'text')}, 6) AS score FROM documents WHERE {o.jac(o.KW, 'text')} > 0.05")
 def binary_relevance(e):
-    return scorers.relevant(e.plain_docs(), _KW)
+    """The lexical stand-in scores lower than a model would, so the threshold is lower than its default."""
+    return scorers.relevant(e.table("documents"), _KW, 0.05)
 
 
-@query(f"SELECT doc_id, CAST(floor(100 * {o.jac(o.KW, 'text')}) AS BIGINT) AS score FROM fx_doc WHERE floor(100 * {o.jac(o.KW, 'text')}) >= 20")
+@query(f"SELECT doc_id, CAST(floor(100 * {o.jac(o.KW, 'text')}) AS BIGINT) AS score FROM documents WHERE floor(100 * {o.jac(o.KW, 'text')}) >= 5")
 def score_threshold(e):
     said = F.concat(F.lit("Score: "), F.floor(100 * T.jaccard(F.lit(_KW), F.col("text"))).cast("string"), F.lit("."))
-    return scorers.scored_by_answer(e.plain_docs().select("doc_id", said.alias("answer")), threshold=20).select("doc_id", "score")
+    return scorers.scored_by_answer(e.table("documents").select("doc_id", said.alias("answer")), threshold=5).select("doc_id", "score")
 
 
 @query()
 def pairwise_rerank(e):
-    return scorers.pairwise(e.plain_docs().join(F.broadcast(e.retrieved().select("doc_id")), "doc_id", "left_semi"), _KW, 15)
+    return scorers.pairwise(e.docs().join(F.broadcast(e.retrieved().select("doc_id")), "doc_id", "left_semi"), _KW, 15)
 
 
 @query()

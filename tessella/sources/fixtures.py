@@ -56,14 +56,17 @@ class Fixtures:
         customer = self.table("customer").withColumnRenamed("c_nationkey", "n_nationkey")
         return customer.join(nation, "n_nationkey").select(F.col("c_custkey").alias("author_id"), F.col("c_name").alias("name"), "org", F.col("c_mktsegment").alias("tag"), F.col("c_acctbal").alias("n_citation"))
 
-    def docs(self) -> DataFrame:
-        """(doc_id, text, lang, embedding, paper_id): documents that have a vector, dealt to the days in order."""
-        days = self.papers().select("paper_id")
-        numbered = days.select("paper_id", (F.row_number().over(Window.orderBy("paper_id")) - 1).alias("day_no"), F.count("*").over(Window.partitionBy()).alias("n_days"))
+    def texts(self) -> DataFrame:
+        """(doc_id, text, lang, paper_id): all documents, dealt to the days in order."""
+        days = self.papers().select("paper_id")  # few: one row a day
+        numbered = days.select("paper_id", (F.row_number().over(Window.orderBy("paper_id")) - 1).alias("day_no"))
         n = days.agg(F.count("*").alias("n"))  # one row
-        docs = self.table("documents").join(self.table("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id").crossJoin(F.broadcast(n))
-        docs = docs.withColumn("day_no", F.pmod(F.col("doc_id"), F.col("n")))
-        return docs.join(numbered.select("paper_id", "day_no"), "day_no").select("doc_id", "text", "lang", "embedding", "paper_id")
+        docs = self.table("documents").crossJoin(F.broadcast(n)).withColumn("day_no", F.pmod(F.col("doc_id"), F.col("n")))
+        return docs.join(numbered, "day_no").select("doc_id", "text", "lang", "paper_id")
+
+    def docs(self) -> DataFrame:
+        """(doc_id, text, lang, paper_id, embedding): the documents that have a vector, for what needs a cosine."""
+        return self.texts().join(self.table("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
 
     def query_vector(self) -> list[float]:
         """One row of the vectors, as a literal for the plans."""

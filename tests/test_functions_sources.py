@@ -103,7 +103,7 @@ def test_tables(spark, tmp_path):
     tables.write_parquet(papers, str(tmp_path / "q"), ["topics"])
     assert tables.read_parquet(spark, str(tmp_path / "q")).count() == 1
     tables.write_json(papers.select("abstract"), str(tmp_path / "j"))
-    assert "é" in next((tmp_path / "j").glob("part-*")).read_text()
+    assert "".join(p.read_text() for p in (tmp_path / "j").glob("part-*")) == '{"abstract":"é"}\n'
     (tmp_path / "s.json").write_text('{"a": [1, 2]}')
     assert tables.read_settings(str(tmp_path / "s.json")) == {"a": [1, 2]} and tables.read_json(spark, str(tmp_path / "s.json")).first().a == [1, 2]
     (tmp_path / "ids.txt").write_text(" 1 \n\n2\n")
