@@ -7,6 +7,8 @@ figures got with the stand-ins say nothing of a model's quality.
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -46,7 +48,19 @@ class Lexical:
         return [self._one(query, a) > self._one(query, b) for a, b in pairs]
 
     def answer(self, prompts: list[str]) -> list[str]:
-        return [p.splitlines()[-1] if p else "" for p in prompts]
+        """What each prompt asks for, made of its own lines: an object of two fields, yes or no, or its last line."""
+        return [self._said(p.splitlines() or [""]) for p in prompts]
+
+    def _said(self, lines: list[str]) -> str:
+        asked = lines[0]
+        if fields := re.search(r"fields (\w+) and (\w+)", asked):
+            return json.dumps(dict(zip(fields.groups(), (lines[1], lines[-1]), strict=True)), ensure_ascii=False)
+        if "yes or no" in asked:
+            query, rest = (set(re.findall(r"[^\s,;]+", x.lower())) for x in (lines[1].removeprefix("Query:"), " ".join(lines[2:])))
+            return "Answer: yes" if query & rest else "Answer: no"
+        if lines[-1] == "OUTPUT:":
+            return "\n".join([*lines, " ".join(lines[1:-1]), "", "And that is all."])
+        return lines[-1]
 
 
 def prompt(query: str, text: str) -> str:
@@ -54,15 +68,24 @@ def prompt(query: str, text: str) -> str:
     return f"Does the document answer the query? Reply yes or no.\nQuery: {query}\nDocument: {text}"
 
 
-def identity(query: str) -> str:
-    """The default query expansion."""
-    return query
+VALIDATION = "Is this author an expert on the query? Reply yes or no, after the word Answer and a colon.\nQuery: %s\nPapers: %s\nTopics: %s"
+EXPANSION = "Put the search query between the lines in other words, in one paragraph.\n%s\nOUTPUT:"
+
 
+def validated(authors: DataFrame, query: str, model: Callable[[], Answerer] | None = None, key: str = "author") -> DataFrame:
+    """The rows of authors(key, papers and topics: arrays of titles) that a model takes for experts on the query."""
+    listed = lambda c: F.coalesce(F.nullif(F.array_join(c, ", "), F.lit("")), F.lit("None"))
+    asked = authors.select(key, F.format_string(VALIDATION, F.lit(query), listed("papers"), listed("topics")).alias("prompt"))
+    said = generated(asked, model or Lexical, key=key)
+    return authors.join(said.where(T.says_yes(F.col("answer"))).select(key), key, "left_semi")
 
-def keywords(query: str) -> str:
-    """The default keyword extraction: the query without brackets and stop words."""
-    bare = query.replace("[", " ").replace("]", " ")
-    return " ".join(w for w in bare.split() if w.lower() not in T.STOPWORDS)
+
+def expanded(queries: DataFrame, text: str = "text", key: str = "key", model: Callable[[], Answerer] | None = None) -> DataFrame:
+    """(key, expanded): each query in a model's words; the query itself without a model or where it says nothing."""
+    if model is None:
+        return queries.select(key, F.col(text).alias("expanded"))
+    said = generated(queries.select(key, F.format_string(EXPANSION, text).alias("prompt")), model, key=key)
+    return queries.join(said, key, "left").select(key, F.coalesce(F.nullif(T.expansion(F.col("answer")), F.lit("")), text).alias("expanded"))
 
 
 def rerank(docs: DataFrame, query: str, k: int | None = None, text: str = "text", key: str = "doc_id", scorer: Callable[[], PointScorer] | None = None) -> DataFrame:
@@ -92,6 +115,53 @@ def scored_by_answer(answers: DataFrame, column: str = "answer", threshold: floa
     return answers.withColumn("score", F.floor(T.number_0_100(F.col(column)))).where(F.col("score") >= threshold)
 
 
+def _inserted(items: list, better: Callable) -> list:
+    """Each item goes before the first of those in place that it beats, else to the end."""
+    out: list = []
+    for x in items:
+        out.insert(next((i for i, y in enumerate(out) if better(x, y)), len(out)), x)
+    return out
+
+
+def _merged(items: list, better: Callable) -> list:
+    """Merge sort by halves; of two heads the left one goes first only if it is the better."""
+    if len(items) < 2:
+        return items
+    half = len(items) // 2
+    left, right, out = _merged(items[:half], better)[::-1], _merged(items[half:], better)[::-1], []
+    while left and right:
+        out.append((left if better(left[-1], right[-1]) else right).pop())
+    return out + left[::-1] + right[::-1]
+
+
+def ordered(
+    docs: DataFrame, query: str, by: list, k: int | None = None, method: str = "insertion", batch: int = 50, most: int = 75, text: str = "text", key: str = "doc_id", judge: Callable[[], PairJudge] = Lexical
+) -> DataFrame:
+    """(key, rank): the first k rows by the columns `by`, put in order by a judge of two.
+
+    method "insertion" puts each row before the first that it beats; "merge" sorts batches of `batch` by
+    merging and then, by merging again, all of them. A judge need not be consistent, so the result is that of
+    this very sequence of comparisons. It runs in one task, on a list of at most `most`; a longer one is an error.
+    """
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(parts)).sort_values("at")
+        if len(rows) > most:
+            raise ValueError(f"more than {most} texts to put in order")
+        model, items = judge(), list(zip(rows[key], rows["t"], strict=True))
+        better = lambda a, b: model.prefers(query, [(a[1], b[1])])[0]
+        if method == "insertion":
+            items = _inserted(items, better)
+        else:
+            items = _merged([x for a in range(0, len(items), batch) for x in _merged(items[a : a + batch], better)], better)
+        yield pd.DataFrame({key: [i for i, _ in items], "rank": range(1, len(items) + 1)})
+
+    short = docs.orderBy(*by).limit(most + 1 if k is None else k)  # a short list: one task numbers and compares it
+    numbered = short.select(key, F.coalesce(text, F.lit("")).alias("t"), F.row_number().over(Window.orderBy(*by)).alias("at"))
+    return numbered.coalesce(1).mapInPandas(run, f"{key} {kind}, rank int")
+
+
 def pairwise(docs: DataFrame, query: str, k: int | None = None, most: int = 75, text: str = "text", key: str = "doc_id", judge: Callable[[], PairJudge] = Lexical) -> DataFrame:
     """(key, wins, rank): each of a short list against each other, ranked by wins, then by key.
 

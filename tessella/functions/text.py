@@ -80,6 +80,23 @@ def without_stopwords(text: Column) -> Column:
     return F.array_join(words, " ")
 
 
+def keywords(query: Column) -> Column:
+    """A query, or a model's keywords for it, without square brackets and stop words."""
+    return without_stopwords(F.translate(query, "[]", ""))
+
+
+def says_yes(answer: Column) -> Column:
+    """Whether an answer says so; an unclear one doesn't, nor does none."""
+    return F.coalesce(F.lower(answer).contains("answer: yes"), F.lit(False))
+
+
+def expansion(generated: Column, instruction: str = "") -> Column:
+    """The wording that a model gave: the first paragraph after its last mark of output, without the instruction."""
+    said = F.element_at(F.split(generated, "OUTPUT:"), -1)
+    said = F.replace(said, F.lit(instruction), F.lit("")) if instruction else said
+    return F.trim(F.element_at(F.split(F.regexp_replace(said, r"^\s+", ""), r"\n\n"), 1))
+
+
 def sentences(text: Column) -> Column:
     """Split after . ! or ? where white space and a capital A-Z follow."""
     return F.split(text, r"(?<=[.!?])\s+(?=[A-Z])")

@@ -36,3 +36,8 @@ def centroid(df: DataFrame, key: str, vector: str) -> DataFrame:
     """(key, centroid): element-wise means of a key's vectors. Sums combine before the shuffle, one row per key and position."""
     parts = df.select(key, F.posexplode(vector).alias("i", "x")).groupBy(key, "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
     return parts.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("v")).select(key, F.transform("v", lambda s: s["x"]).alias("centroid"))
+
+
+def with_title(title: Column, mean: Column) -> Column:
+    """The mean of a title's vector and the mean vector of the sentences below it, which is zero where there are none."""
+    return F.transform(title.cast("array<double>"), lambda x, i: (x + F.coalesce(F.get(mean, i).cast("double"), F.lit(0.0))) / 2)

@@ -1,4 +1,7 @@
-"""Role-diverse rankings: quotas per role as set operations, without a loop."""
+"""Role-diverse rankings: quotas per role as set operations, without a loop.
+
+A pool is one query's candidates, the authors of a few dozen papers, so one task numbers it as a whole.
+"""
 
 from __future__ import annotations
 
@@ -31,6 +34,11 @@ def role_pool(candidates: DataFrame, roled: DataFrame, missing_role: str = "coll
     return rows.withColumn("rn", F.row_number().over(Window.partitionBy("role").orderBy(F.desc("prob"), "pos")))
 
 
+def tagged(candidates: DataFrame, authors: DataFrame) -> DataFrame:
+    """The candidates whose author has a tag, as the citation baseline takes them."""
+    return candidates.join(authors.where("tag is not null").select("author_id"), "author_id", "left_semi")
+
+
 def _sizes(pool: DataFrame) -> DataFrame:
     """(role, ord, size) for all three roles: three rows."""
     spark = pool.sparkSession

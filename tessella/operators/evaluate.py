@@ -62,14 +62,16 @@ def recall(rows: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def summary(predicted: DataFrame, truth: DataFrame) -> DataFrame:
-    """One row: means over the queries of MAP@10, MRR@10, MP@5, MP@10, NDCG@5 and NDCG@10."""
-    rows = judged(predicted, truth)
-    parts = {
-        "map_10": average_precision(rows, 10), "mrr_10": reciprocal_rank(rows, 10), "mp_5": precision(rows, 5), "mp_10": precision(rows, 10),
-        "ndcg_5": ndcg(rows, truth, 5), "ndcg_10": ndcg(rows, truth, 10),
-    }
-    out = None
-    for name, part in parts.items():
-        part = part.withColumnRenamed("value", name)
-        out = part if out is None else out.join(part, "query")
-    return out.agg(*[F.avg(n).alias(n) for n in parts])
+    """One row: means over the queries of MAP@10, MRR@10, MP@5, MP@10, NDCG@5 and NDCG@10, from one pass over the judged rows."""
+    rows = judged(predicted.where(F.col("rank") <= 10), truth)
+    hits = F.sum("rel").over(Window.partitionBy("query").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumns({"hits": hits, "gain": F.col("rel") / F.log2(F.col("rank") + 1)})
+    hit, early = F.col("rel") == 1, F.col("rank") <= 5
+    by = rows.groupBy("query").agg(
+        F.coalesce(F.try_divide(F.sum(F.when(hit, F.col("hits") / F.col("rank"))), F.sum("rel")), F.lit(0.0)).alias("map_10"),
+        F.coalesce(1 / F.min(F.when(hit, F.col("rank"))), F.lit(0.0)).alias("mrr_10"),
+        F.avg(F.when(early, F.col("rel"))).alias("mp_5"), F.avg("rel").alias("mp_10"), F.sum(F.when(early, F.col("gain"))).alias("g5"), F.sum("gain").alias("g10"),
+    ).join(truth.groupBy("query").agg(F.countDistinct("id").alias("n")), "query", "left")
+    best = lambda k: F.aggregate(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
+    ndcg_at = lambda c, k: F.when(F.col("n") > 0, F.col(c) / best(k)).otherwise(0.0)
+    return by.agg(*[F.avg(c).alias(c) for c in ("map_10", "mrr_10", "mp_5", "mp_10")], F.avg(ndcg_at("g5", 5)).alias("ndcg_5"), F.avg(ndcg_at("g10", 10)).alias("ndcg_10"))

@@ -10,6 +10,7 @@ from tessella.operators import kg
 CAP = 10
 
 
+#: The lines of a context text and the names of roles in them (kg.ROLE_LABELS).
 def role_lines(prefix: str = "") -> Column:
     """Two lines on the role of columns prob_*, dominant_role; null without a role. Probabilities have 3 decimals."""
     role = F.col(f"{prefix}dominant_role")
@@ -46,12 +47,12 @@ def texts(g: DataFrame, authors: DataFrame, least: int = 2, with_role: bool = Tr
     wanted = authors.select("author").distinct()
     titles = kg.entity_names(g, "x")
     title = F.coalesce("x_title", "x")
-    links = kg.objects(g, "ex:hasAuthor", "author").withColumnRenamed("s", "paper")
+    links = kg.objects(g, "ex:hasAuthor", "author").withColumnRenamed("s", "paper").distinct()  # so pairs need no distinct
     own = links.join(wanted, "author", "left_semi")
     papers = _joined(own.withColumnRenamed("paper", "x").join(titles, "x", "left"), title, [F.col("x")], "; ", "papers", CAP)
     subs = kg.subtopics(g).join(wanted, "author", "left_semi").withColumnRenamed("subtopic", "x").join(titles, "x", "left")
     subs = _joined(subs, title, [F.col("x")], ", ", "subtopics")
-    shared = own.join(links.withColumnRenamed("author", "x"), "paper").where("x <> author").groupBy("author", "x").agg(F.countDistinct("paper").alias("n")).where(F.col("n") >= least)
+    shared = own.join(links.withColumnRenamed("author", "x"), "paper").where("x <> author").groupBy("author", "x").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     co = _joined(shared.join(titles, "x", "left"), F.concat(title, F.lit(" ("), F.col("n").cast("string"), F.lit(")")), [F.desc("n"), F.col("x")], ", ", "coauthors", CAP)
     rows = wanted.join(titles.select(F.col("x").alias("author"), F.col("x_title").alias("name")), "author", "left").join(papers, "author", "left").join(subs, "author", "left").join(co, "author", "left")
     line = lambda head, c: F.concat(F.lit(head), F.when(F.col(c) != "", F.col(c)))
@@ -76,14 +77,14 @@ def summaries(g: DataFrame, authors: DataFrame, least: int = 1) -> DataFrame:
     """
     wanted = authors.select("author").distinct()
     titles = kg.entity_names(g, "uri").withColumnRenamed("uri_title", "title")
-    links = kg.objects(g, "ex:hasAuthor", "author").withColumnRenamed("s", "paper")
+    links = kg.objects(g, "ex:hasAuthor", "author").withColumnRenamed("s", "paper").distinct()  # so pairs need no distinct
     own = links.join(wanted, "author", "left_semi")
 
     def listed(rows: DataFrame, name: str) -> DataFrame:
         named = rows.join(wanted, "author", "left_semi").distinct().join(titles, "uri", "left")
         return named.groupBy("author").agg(F.sort_array(F.collect_list(F.struct("uri", "title"))).alias(name))
 
-    shared = own.join(links.withColumnRenamed("author", "uri"), "paper").where("uri <> author").groupBy("author", "uri").agg(F.countDistinct("paper").alias("count")).where(F.col("count") >= least)
+    shared = own.join(links.withColumnRenamed("author", "uri"), "paper").where("uri <> author").groupBy("author", "uri").agg(F.count("*").alias("count")).where(F.col("count") >= least)
     co = shared.join(titles, "uri", "left").groupBy("author").agg(F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("o"), "uri", "title", "count"))).alias("c"))
     co = co.select("author", F.transform("c", lambda x: F.struct(x["uri"].alias("uri"), x["title"].alias("name"), x["count"].alias("count"))).alias("coauthors"))
     probs = [f"prob_{r}" for r in kg.ROLE_LABELS]

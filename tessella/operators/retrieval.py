@@ -51,11 +51,6 @@ def hybrid(
     return kept.orderBy(F.desc("score"), "doc_id").limit(k)
 
 
-def bm25_terms(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, term, tf)"""
-    return docs.select("doc_id", F.explode(T.tokens(F.col(text))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-
-
 def bm25(docs: DataFrame, query: str, k: int | None = 25, k1: float = 1.5, b: float = 0.75, text: str = "text") -> DataFrame:
     """(doc_id, score) of documents that share a term with the query; a term counts as often as the query has it.
 
@@ -94,7 +89,7 @@ def union_by_title(first: DataFrame, second: DataFrame, names: tuple[str, str] =
 
 
 def keep_first(df: DataFrame, key: str, order: str) -> DataFrame:
-    """(key, pos): each key once, in order of its first place, numbered from 0."""
+    """(key, pos): each key once, in order of its first place, numbered from 0. For one query's list: one task numbers it."""
 
     first = df.groupBy(key).agg(F.min(order).alias("first"))
     return first.select(key, (F.row_number().over(Window.orderBy("first", key)) - 1).alias("pos"))
@@ -117,7 +112,7 @@ def matched_papers(ranked: DataFrame, authorship: DataFrame) -> DataFrame:
 
 
 def rank_by_citations(wanted: DataFrame, authors: DataFrame) -> DataFrame:
-    """(author_id, n_citation, rank) of wanted(author_id) that have a tag, most cited first; ties by id."""
+    """(author_id, n_citation, rank) of wanted(author_id), one query's candidates, that have a tag, most cited first; ties by id."""
 
     kept = authors.where("tag is not null").join(wanted.select("author_id").distinct(), "author_id", "left_semi")
     return kept.select("author_id", "n_citation", F.row_number().over(Window.orderBy(F.desc("n_citation"), "author_id")).alias("rank"))

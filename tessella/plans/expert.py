@@ -12,20 +12,20 @@ from tessella.functions import text as T
 from tessella.functions import vectors as V
 from tessella.operators import career, diversity, kg, rag, recency, retrieval, roles, tensor, trajectory
 from tessella.sources import fixtures as fx
-from tessella.sources.store import written
+from tessella.sources.store import kept, stamp
 
 
 class Expert(fx.Fixtures):
-    """The steps hand each other written tables, each made once for a query that needs it: plans stay small."""
+    """The steps hand each other written tables, each made once for a session and a state of the input: plans stay small."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, query: str = fx.QUERY_TEXT):
         super().__init__(spark, sf_dir)
-        self._made: dict[str, DataFrame] = {}
+        self.query = query
+        self._state: tuple | None = None
 
     def once(self, name: str, df: Callable[[], DataFrame], partition_by: str | None = None) -> DataFrame:
-        if name not in self._made:
-            self._made[name] = written(df(), name, partition_by)
-        return self._made[name]
+        self._state = self._state or (self.dir, self.query, stamp(self.spark, self.dir))
+        return kept(self.spark, self._state, name, df, partition_by)
 
     def tensor(self, level: int = 2) -> DataFrame:
         return tensor.tensor(self.papers(), self.links(), self.topics(level))
@@ -103,7 +103,7 @@ class Expert(fx.Fixtures):
 
     def retrieved(self) -> DataFrame:
         """(doc_id, score) of the hybrid retrieval for the fixed query."""
-        return self.once("retrieved", lambda: retrieval.hybrid(self.docs().select("doc_id", "text", "embedding"), self.query_vector(), fx.QUERY_TEXT))
+        return self.once("retrieved", lambda: retrieval.hybrid(self.docs().select("doc_id", "text", "embedding"), self.query_vector(), self.query))
 
     def ranked_papers(self) -> DataFrame:
         """(paper_id, rank): the retrieved documents' papers, best first."""
@@ -116,24 +116,35 @@ class Expert(fx.Fixtures):
     def candidates(self) -> DataFrame:
         return self.once("candidates", lambda: retrieval.candidates(self.ranked_papers(), self.authorship()))
 
-    def pool(self, missing_role: str = "collaborating", missing_prob: float = 0.333) -> DataFrame:
-        return diversity.role_pool(self.candidates(), self.roled(), missing_role, missing_prob)
+    def pool(self, missing_role: str = "collaborating", missing_prob: float = 0.333, any_author: bool = False) -> DataFrame:
+        """The candidates by role: those with a tag, or with `any_author` all of them."""
+        candidates = self.candidates() if any_author else diversity.tagged(self.candidates(), self.authors())
+        return diversity.role_pool(candidates, self.roled(), missing_role, missing_prob)
+
+    def explained_pool(self) -> DataFrame:
+        """The pool as the explanation takes it."""
+        return self.pool("supervising", 0.0, any_author=True)
 
     def ranking(self) -> DataFrame:
         return self.once("ranking", lambda: diversity.role_diverse(self.pool()))
 
-    def predicted(self) -> DataFrame:
-        """(query, id, rank): the ranking of candidates, judged against each author tag as a query of its own."""
-        tags = self.authors().select(F.col("tag").alias("query")).distinct()
-        return self.ranking().select(F.col("author_id").alias("id"), "rank").crossJoin(F.broadcast(tags))
+    def predicted(self, k: int = 100) -> DataFrame:
+        """(query, id, rank): the first k of the ranking, judged against each author tag as a query of its own."""
+        top = self.ranking().where(F.col("rank") <= k).select(F.col("author_id").alias("id"), "rank")
+        return self.authors().where("tag is not null").select(F.col("tag").alias("query")).distinct().crossJoin(F.broadcast(top))
 
     def truth(self) -> DataFrame:
-        return self.authors().select(F.col("tag").alias("query"), F.col("author_id").alias("id"))
+        return self.authors().where("tag is not null").select(F.col("tag").alias("query"), F.col("author_id").alias("id"))
 
-    def contexts(self) -> DataFrame:
-        """(author, text) for every author."""
+    def contexts(self, wanted: DataFrame | None = None) -> DataFrame:
+        """(author, text) for wanted(author), or for every author."""
         g = self.store()
-        return rag.texts(g, kg.subjects(g, "rdf:type", "ex:Author").withColumnRenamed("s", "author"))
+        return rag.texts(g, kg.subjects(g, "rdf:type", "ex:Author").withColumnRenamed("s", "author") if wanted is None else wanted)
+
+    def first_contexts(self, k: int = 25) -> DataFrame:
+        """(author, rank, text) of the first k of the ranking."""
+        top = self.ranking().where(F.col("rank") <= k).select(kg.uri("author", F.col("author_id")).alias("author"), "rank")
+        return top.join(self.contexts(top), "author")
 
     def centroids(self) -> DataFrame:
         joined = self.table("documents").select("doc_id", "source").join(self.table("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
@@ -154,7 +165,7 @@ def explained_authors(e: Expert, model: Callable[[], scorers.Answerer] = scorers
     wanted = top.join(facts, "author_id", "left").join(retrieval.matched_papers(e.ranked_papers(), e.authorship()), "author_id", "left").withColumn("author", kg.uri("author", F.col("author_id")))
     rows = wanted.join(rag.texts(e.store(), wanted.select("author")), "author", "left")
     asked = rows.select(
-        "author_id", F.format_string(RELEVANCE_PROMPT, F.lit(fx.QUERY_TEXT), F.col("n_matched").cast("string"), F.col("text")).alias("p1"),
+        "author_id", F.format_string(RELEVANCE_PROMPT, F.lit(e.query), F.col("n_matched").cast("string"), F.col("text")).alias("p1"),
         F.format_string(ROLE_PROMPT, F.col("career_span").cast("string"), F.col("dominant_role"), F.col("recency_ratio"), F.col("text")).alias("p2"),
     )
     out = rows.select("author_id", "rank", "n_matched")
@@ -165,19 +176,47 @@ def explained_authors(e: Expert, model: Callable[[], scorers.Answerer] = scorers
     return out
 
 
-def explanation(e: Expert, pipeline: str = "proposed", k: int = 10) -> DataFrame:
-    """One row, one JSON object: the query, its papers, and the trace of how the first candidates were ranked.
+METHODS = {
+    "baseline": ("citation_count", "Candidates that have a tag, most cited first."),
+    "proposed": (
+        "equal_quota_role_diverse",
+        "Candidates fall into three pools by their dominant role, each in order of that role's probability. A pool gives a third of the number of candidates, "
+        "rounded down; what small pools lack is given by the others. Emerging authors come first, then collaborating, then supervising ones.",
+    ),
+}
+TRACE = "rank int, author_id long, name string, career_span int, total_citations double, dominant_role string, prob_emerging double, prob_collaborating double, prob_supervising double"
+EXPLANATION = (
+    "query string, expanded_query string, pipeline string, ranking_method string, explanation string, n_candidates long, n_ranked long, quota_per_role long, "
+    "pool_role_distribution map<string,long>, role_groups_detail map<string,array<struct<author_id:long,role_prob:double>>>, "
+    f"retrieved_papers array<struct<rank:int,paper_id:date>>, top_candidates array<struct<{TRACE.replace(' ', ':').replace(',:', ',')}>>"
+)
+
+
+def explanation(e: Expert, pipeline: str = "proposed", k: int = 10, expand: Callable[[str], str] | None = None) -> DataFrame:
+    """One row, one JSON object (of the fields EXPLANATION): the query, its papers, and the trace of how the first candidates were ranked.
 
-    pipeline "baseline" ranks by citations, "proposed" by equal quotas of roles.
+    pipeline "baseline" ranks by citations, "proposed" by equal quotas of roles; only the latter has a pool
+    to show. All of it is one query's candidates, the authors of a few dozen papers.
     """
+    one = e.candidates().agg(F.count("*").alias("n_candidates"))
     if pipeline == "baseline":
         ranked = retrieval.rank_by_citations(e.candidates(), e.authors()).select("author_id", "rank")
+        pool = one.select(F.lit(None).cast("map<string,long>").alias("pool_role_distribution"), F.lit(None).cast("map<string,array<struct<author_id:long,role_prob:double>>>").alias("role_groups_detail"))
     else:
-        ranked = diversity.equal_quota(e.pool("supervising", 0.0)).select("author_id", "rank")
-    facts = e.roled().select("author_id", "name", "career_span", "total_cit", "dominant_role", "prob_emerging", "prob_collaborating", "prob_supervising")
-    top = ranked.where(F.col("rank") <= k).join(facts, "author_id", "left")
-    trace = top.agg(F.sort_array(F.collect_list(F.struct("rank", *[c for c in top.columns if c != "rank"]))).alias("top_candidates"))
+        ranked = diversity.equal_quota(e.explained_pool()).select("author_id", "rank")
+        members = F.sort_array(F.collect_list(F.struct("rn", F.col("author_id").cast("long").alias("author_id"), F.round("prob", 4).alias("role_prob"))))
+        groups = e.explained_pool().groupBy("role").agg(F.count("*").alias("n"), F.transform(members, lambda m: m.dropFields("rn")).alias("members"))
+        entries = lambda c: F.map_from_entries(F.sort_array(F.collect_list(F.struct("role", c))))
+        pool = groups.agg(entries("n").alias("pool_role_distribution"), entries("members").alias("role_groups_detail"))
+    facts = e.roled().select("author_id", "name", "career_span", F.col("total_cit").alias("total_citations"), "dominant_role", *[f"prob_{r}" for r in roles.ROLES])
+    top = ranked.where(F.col("rank") <= k).join(facts, "author_id", "left").select("rank", *[c for c in ("author_id", *facts.columns[1:])])
+    trace = top.agg(F.sort_array(F.collect_list(F.struct(*top.columns))).alias("top_candidates"))
     n = ranked.agg(F.count("*").alias("n_ranked"))
     papers = e.ranked_papers().agg(F.sort_array(F.collect_list(F.struct("rank", "paper_id"))).alias("retrieved_papers"))
-    whole = trace.crossJoin(n).crossJoin(papers).select(F.lit(fx.QUERY_TEXT).alias("query"), F.lit(fx.QUERY_TEXT).alias("expanded_query"), F.lit(pipeline).alias("pipeline"), "n_ranked", "retrieved_papers", "top_candidates")
-    return whole.select(F.to_json(F.struct("*")).alias("explanation"))
+    method, why = METHODS[pipeline]
+    whole = one.crossJoin(n).crossJoin(pool).crossJoin(papers).crossJoin(trace)
+    quota = F.floor(F.col("n_candidates") / len(roles.ROLES)) if pipeline == "proposed" else F.lit(None).cast("long")
+    said = {"query": F.lit(e.query), "expanded_query": F.lit(expand(e.query) if expand else e.query), "pipeline": F.lit(pipeline), "ranking_method": F.lit(method), "explanation": F.lit(why), "quota_per_role": quota}
+    fields = [f.split()[0] for f in EXPLANATION.split("array<struct<rank")[0].split(", ")[:8]]
+    named = [*(said[f].alias(f) if f in said else F.col(f) for f in fields), "pool_role_distribution", "role_groups_detail", "retrieved_papers", "top_candidates"]
+    return whole.select(F.to_json(F.struct(*named)).alias("explanation"))

@@ -41,7 +41,7 @@ CTES = {
     "fx_t2": "SELECT DISTINCT CAST(o_orderdate AS DATE) AS paper_id, o_orderpriority AS topic FROM orders",
     "fx_t3": "SELECT DISTINCT CAST(o.o_orderdate AS DATE) AS paper_id, p.p_brand AS topic FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey JOIN part p ON p.p_partkey = l.l_partkey",
     "fx_parent": "SELECT DISTINCT p_brand AS subtopic, p_type AS main_topic FROM part",
-    "fx_author": "SELECT c_custkey AS author_id, c_name AS name, n_name AS org, c_mktsegment AS tag, c_acctbal AS n_citation FROM customer JOIN nation ON n_nationkey = c_nationkey",
+    "fx_author": "SELECT c_custkey AS author_id, c_name AS name, n_name AS org, NULLIF(c_mktsegment, 'MACHINERY') AS tag, c_acctbal AS n_citation FROM customer JOIN nation ON n_nationkey = c_nationkey",
     "fx_doc": """SELECT d.doc_id, d.text, d.lang, e.embedding, p.paper_id
         FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id
         JOIN (SELECT paper_id, ROW_NUMBER() OVER (ORDER BY paper_id) - 1 AS day_no, COUNT(*) OVER () AS n_days FROM fx_paper) p ON p.day_no = d.doc_id % p.n_days""",
@@ -154,9 +154,10 @@ CTES = {
     "hyb": "SELECT doc_id, score FROM fused WHERE score >= 0.3 OR (SELECT MAX(score) FROM fused) < 0.3 ORDER BY score DESC, doc_id LIMIT 25",
     "rpapers": "SELECT paper_id, CAST(ROW_NUMBER() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM (SELECT d.paper_id, h.score, h.doc_id, ROW_NUMBER() OVER (PARTITION BY d.paper_id ORDER BY h.score DESC, h.doc_id) AS k FROM hyb h JOIN fx_doc d USING (doc_id)) x WHERE k = 1",
     "cands": "SELECT author_id, CAST(ROW_NUMBER() OVER (ORDER BY rank, pos, author_id) - 1 AS INTEGER) AS pos FROM (SELECT a.author_id, r.rank, a.pos, ROW_NUMBER() OVER (PARTITION BY a.author_id ORDER BY r.rank, a.pos) AS k FROM rpapers r JOIN fx_authorship a USING (paper_id)) x WHERE k = 1",
+    "tcands": "SELECT * FROM cands WHERE author_id IN (SELECT author_id FROM fx_author WHERE tag IS NOT NULL)",
     "pool": """SELECT author_id, pos, role, prob, CAST(ROW_NUMBER() OVER (PARTITION BY role ORDER BY prob DESC, pos) AS INTEGER) AS rn FROM (
         SELECT c.author_id, c.pos, COALESCE(r.dominant_role, '{role}') AS role, CASE r.dominant_role WHEN 'emerging' THEN prob_emerging WHEN 'collaborating' THEN prob_collaborating WHEN 'supervising' THEN prob_supervising ELSE {prob} END AS prob
-        FROM cands c LEFT JOIN roled r USING (author_id)) x""",
+        FROM {who} c LEFT JOIN roled r USING (author_id)) x""",
     "sizes": "SELECT v.role, v.ord, COUNT(p.author_id) AS size FROM (VALUES ('emerging', 0), ('collaborating', 1), ('supervising', 2)) v(role, ord) LEFT JOIN pool p ON p.role = v.role GROUP BY 1, 2",
     "quotas": """SELECT *, SUM(need) OVER (ORDER BY ord) AS hi, SUM(need) OVER (ORDER BY ord) - need AS lo FROM (SELECT *, greatest(quota - size, 0) AS need FROM (
         SELECT *, (SELECT SUM(size) FROM sizes) // 3 + CASE WHEN ROW_NUMBER() OVER (ORDER BY size DESC, ord) <= (SELECT SUM(size) FROM sizes) % 3 THEN 1 ELSE 0 END AS quota FROM sizes) a) b""",
@@ -164,9 +165,12 @@ CTES = {
         SELECT p.author_id, p.role, p.prob, q.ord AS seg, 0 AS extra, p.rn AS place FROM pool p JOIN quotas q USING (role) WHERE p.rn <= q.quota
         UNION ALL SELECT s.author_id, s.role, s.prob, q.ord, 1, s.e FROM (SELECT p.*, ROW_NUMBER() OVER (ORDER BY q.ord, p.rn) - 1 AS e FROM pool p JOIN quotas q USING (role) WHERE p.rn > q.quota) s
         JOIN quotas q ON q.need > 0 AND s.e >= q.lo AND s.e < q.hi) x""",
-    "pred": "SELECT t.tag AS query, r.author_id AS id, r.rank FROM ranking r CROSS JOIN (SELECT DISTINCT tag FROM fx_author) t",
+    "quotaed": """SELECT author_id, role, prob, CAST(ROW_NUMBER() OVER (ORDER BY ord, rn) AS INTEGER) AS rank FROM pool JOIN (
+    SELECT *, take + greatest(0, least(size - take, shortfall - before)) AS lim FROM (SELECT *, SUM(quota - take) OVER () AS shortfall, SUM(size - take) OVER (ORDER BY ord) - (size - take) AS before FROM (
+    SELECT *, least(size, quota) AS take FROM (SELECT *, (SELECT SUM(size) FROM sizes) // 3 AS quota FROM sizes) a) b) c) q USING (role) WHERE rn <= lim""",
+    "pred": "SELECT t.tag AS query, r.author_id AS id, r.rank FROM ranking r CROSS JOIN (SELECT DISTINCT tag FROM fx_author WHERE tag IS NOT NULL) t WHERE r.rank <= 100",
     "rel": "SELECT p.query, p.rank, CASE WHEN a.author_id IS NULL THEN 0 ELSE 1 END AS rel FROM pred p LEFT JOIN fx_author a ON a.author_id = p.id AND a.tag = p.query",
-    "ngt": "SELECT tag AS query, COUNT(*) AS n FROM fx_author GROUP BY 1",
+    "ngt": "SELECT tag AS query, COUNT(*) AS n FROM fx_author WHERE tag IS NOT NULL GROUP BY 1",
     "ap": "SELECT query, CASE WHEN SUM(rel) > 0 THEN SUM(CASE WHEN rel = 1 THEN CAST(h AS DOUBLE) / rank ELSE 0.0 END) / SUM(rel) ELSE 0.0 END AS value FROM (SELECT *, SUM(rel) OVER (PARTITION BY query ORDER BY rank) AS h FROM rel WHERE rank <= 10) x GROUP BY 1",
     "rr": "SELECT query, COALESCE(CAST(1 AS DOUBLE) / MIN(CASE WHEN rel = 1 THEN rank END), 0.0) AS value FROM rel WHERE rank <= 10 GROUP BY 1",
     "p5": "SELECT query, avg(rel) AS value FROM rel WHERE rank <= 5 GROUP BY 1",
@@ -176,6 +180,23 @@ CTES = {
 }
 
 
+P3 = "printf('%.3f', round({}, 4) + 1e-9)"
+ROLE = (
+    "'Expert Role: ' || CASE dominant_role WHEN 'emerging' THEN 'Emerging Expert' WHEN 'collaborating' THEN 'Collaborating Expert' ELSE 'Supervising Expert' END || ' (confidence=' || "
+    + P3.format("CASE dominant_role WHEN 'emerging' THEN prob_emerging WHEN 'collaborating' THEN prob_collaborating ELSE prob_supervising END")
+    + " || ')' || chr(10) || "
+)
+SCORES = "'Role Scores: Emerging=' || " + P3.format("prob_emerging") + " || ' | Collaborating=' || " + P3.format("prob_collaborating") + " || ' | Supervising=' || " + P3.format("prob_supervising")
+
+CTES["ragt"] = f"""SELECT 'http://example.org/author/' || a.author_id AS author, concat_ws(chr(10), 'Author: ' || a.name, 'Papers: ' || p.v, 'Subtopics: ' || t.v, 'Coauthors: ' || c.v, r.v) AS text FROM fx_author a
+    LEFT JOIN (SELECT author_id, string_agg('Day ' || paper_id, '; ' ORDER BY k) AS v FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY author_id ORDER BY paper_id) AS k FROM fx_authorship) x WHERE k <= 10 GROUP BY 1) p ON p.author_id = a.author_id
+    LEFT JOIN (SELECT author_id, string_agg(topic, ', ' ORDER BY topic) AS v FROM (SELECT DISTINCT author_id, topic FROM fx_authorship JOIN fx_t3 USING (paper_id)) x GROUP BY 1) t ON t.author_id = a.author_id
+    LEFT JOIN (SELECT author_id, string_agg(name || ' (' || n || ')', ', ' ORDER BY k) AS v FROM (
+      SELECT x.author_id, f.name, n, ROW_NUMBER() OVER (PARTITION BY x.author_id ORDER BY n DESC, CAST(co AS VARCHAR)) AS k FROM (SELECT a.author_id, b.author_id AS co, COUNT(*) AS n FROM fx_authorship a JOIN fx_authorship b ON b.paper_id = a.paper_id AND b.author_id <> a.author_id GROUP BY 1, 2 HAVING COUNT(*) >= 2) x
+      JOIN fx_author f ON f.author_id = x.co) y WHERE k <= 10 GROUP BY 1) c ON c.author_id = a.author_id
+    LEFT JOIN (SELECT author_id, {ROLE}{SCORES} AS v FROM roled) r ON r.author_id = a.author_id"""
+
+
 def compose(select: str, **fills: str) -> str:
     """`select` with the expressions that it names, directly or through others, in order of definition."""
     needed: set[str] = set()

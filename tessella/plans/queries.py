@@ -12,13 +12,14 @@ from tessella.functions import text as T
 from tessella.functions import vectors as V
 from tessella.operators import career, diversity, evaluate, kg, rag, recency, retrieval, roles, tensor, trajectory
 from tessella.plans import oracle as o
-from tessella.plans.expert import Expert, explained_authors, explanation
+from tessella.plans.expert import EXPLANATION, METHODS, Expert, explained_authors, explanation
 from tessella.sources import fixtures as fx
 from tessella.sources import rdf
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-MISSING = {"role": "collaborating", "prob": "0.333"}
+MISSING = {"role": "collaborating", "prob": "0.333", "who": "tcands"}
+ANYONE = {"role": "supervising", "prob": "0.0", "who": "cands"}
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -143,12 +144,12 @@ def year_coverage(e):
     return career.coverage_by_regime(e.regime_map())
 
 
-_HALF = "CASE WHEN tensor_total = 0 THEN 'none' WHEN CAST(tensor_total AS DOUBLE) / total_pubs < 2.5 THEN 'partial' ELSE 'full' END"
+_HALF = "CASE WHEN tensor_total = 0 THEN 'none' WHEN CAST(tensor_total AS DOUBLE) / total_pubs < 3 THEN 'partial' ELSE 'full' END"
 
 
 @query(f"SELECT author_id, name, total_pubs, tensor_total FROM (SELECT *, {_HALF} AS cov FROM rmap) x WHERE cov = 'partial' ORDER BY total_pubs DESC, author_id LIMIT 10")
 def partial_coverage_topn(e):
-    return career.partial_top(career.regimes(e.authors(), e.profiles(), e.tensor(), fx.END_YEAR, fx.WINDOW, partial_below=2.5))
+    return career.partial_top(career.regimes(e.authors(), e.profiles(), e.tensor(), fx.END_YEAR, fx.WINDOW, partial_below=3))
 
 
 _S, _R, _A = "career_span", "recency_ratio", "avg_pubs_per_slice"
@@ -452,26 +453,12 @@ def coauthor_counts(e):
     return kg.coauthors(e.links().select(F.col("paper_id").alias("paper"), F.col("author_id").alias("author")))
 
 
-_P3 = "printf('%.3f', round({}, 4) + 1e-9)"
-_ROLE = (
-    "'Expert Role: ' || CASE dominant_role WHEN 'emerging' THEN 'Emerging Expert' WHEN 'collaborating' THEN 'Collaborating Expert' ELSE 'Supervising Expert' END || ' (confidence=' || "
-    + _P3.format("CASE dominant_role WHEN 'emerging' THEN prob_emerging WHEN 'collaborating' THEN prob_collaborating ELSE prob_supervising END")
-    + " || ')' || chr(10) || 'Role Scores: Emerging=' || " + _P3.format("prob_emerging") + " || ' | Collaborating=' || " + _P3.format("prob_collaborating") + " || ' | Supervising=' || " + _P3.format("prob_supervising")
-)
-
-
-@query(f"""SELECT 'http://example.org/author/' || a.author_id AS author, concat_ws(chr(10), 'Author: ' || a.name, 'Papers: ' || p.v, 'Subtopics: ' || t.v, 'Coauthors: ' || c.v, r.v) AS text FROM fx_author a
-    LEFT JOIN (SELECT author_id, string_agg('Day ' || paper_id, '; ' ORDER BY k) AS v FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY author_id ORDER BY paper_id) AS k FROM fx_authorship) x WHERE k <= 10 GROUP BY 1) p ON p.author_id = a.author_id
-    LEFT JOIN (SELECT author_id, string_agg(topic, ', ' ORDER BY topic) AS v FROM (SELECT DISTINCT author_id, topic FROM fx_authorship JOIN fx_t3 USING (paper_id)) x GROUP BY 1) t ON t.author_id = a.author_id
-    LEFT JOIN (SELECT author_id, string_agg(name || ' (' || n || ')', ', ' ORDER BY k) AS v FROM (
-      SELECT x.author_id, f.name, n, ROW_NUMBER() OVER (PARTITION BY x.author_id ORDER BY n DESC, CAST(co AS VARCHAR)) AS k FROM (SELECT a.author_id, b.author_id AS co, COUNT(*) AS n FROM fx_authorship a JOIN fx_authorship b ON b.paper_id = a.paper_id AND b.author_id <> a.author_id GROUP BY 1, 2 HAVING COUNT(*) >= 2) x
-      JOIN fx_author f ON f.author_id = x.co) y WHERE k <= 10 GROUP BY 1) c ON c.author_id = a.author_id
-    LEFT JOIN (SELECT author_id, {_ROLE} AS v FROM roled) r ON r.author_id = a.author_id""")
+@query("SELECT author, text FROM ragt")
 def rag_text(e):
     return e.contexts()
 
 
-@query(f"SELECT 'http://example.org/author/' || a.author_id AS author, concat_ws(chr(10), 'Author: ' || a.name, r.v) AS text FROM fx_author a LEFT JOIN (SELECT author_id, {_ROLE} AS v FROM roled) r USING (author_id)")
+@query(f"SELECT 'http://example.org/author/' || a.author_id AS author, concat_ws(chr(10), 'Author: ' || a.name, r.v) AS text FROM fx_author a LEFT JOIN (SELECT author_id, {o.ROLE}{o.SCORES} AS v FROM roled) r USING (author_id)")
 def rag_enrich_role(e):
     plain = e.authors().select(kg.uri("author", F.col("author_id")).alias("author"), F.concat(F.lit("Author: "), "name").alias("text"))
     return rag.enrich(plain, e.roled().withColumn("s", kg.uri("author", F.col("author_id"))))
@@ -483,6 +470,15 @@ def kg_ntriples_roundtrip(e):
     return rdf.parse_ntriples(rdf.ntriples(e.graph())).select("s", "p", "o")
 
 
+@query("""SELECT i.pos, i.id, COALESCE(t.text, '') AS text FROM (SELECT CAST(pos AS BIGINT) AS pos, CAST(author_id AS VARCHAR) AS id FROM cands UNION ALL SELECT 1000000 + pos, 'http://example.org/author/' || author_id FROM cands WHERE pos < 3
+    UNION ALL SELECT -1, 'nobody') i LEFT JOIN ragt t ON t.author = CASE WHEN regexp_matches(i.id, '^[0-9]+$') THEN 'http://example.org/author/' || i.id ELSE i.id END""")
+def rag_texts_in_order(e):
+    """The context of each id asked for: numbers and URIs, some of them twice, and one that the graph doesn't have."""
+    ids = e.candidates().select(F.col("pos").cast("long").alias("pos"), F.col("author_id").cast("string").alias("id"))
+    again = e.candidates().where("pos < 3").select((F.col("pos") + 1000000).cast("long").alias("pos"), kg.uri("author", F.col("author_id")).alias("id"))
+    return rag.texts_in_order(e.store(), ids.unionByName(again).unionByName(e.spark.createDataFrame([(-1, "nobody")], ids.schema)))
+
+
 # Parsing and text
 
 @query("SELECT paper_id, pos, CAST(n_authors AS INTEGER) AS n_authors, CAST(author_id AS VARCHAR) AS author_id, CAST(NULL AS VARCHAR) AS name FROM fx_authorship")
@@ -494,6 +490,8 @@ def parse_pyliteral(e):
     return literals.authors_of(text)
 
 
+_STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in T.STOPWORDS)
+
 _YEAR = "CAST(NULLIF(regexp_extract(text, '\\d{4}'), '') AS INTEGER)"
 
 
@@ -502,6 +500,17 @@ def parse_year(e):
     return e.table("documents").select("doc_id", T.year(F.col("text")).alias("year"))
 
 
+@query("SELECT item_id, COALESCE(array_to_string(list_filter(string_split_regex(translate('[' || text || ']', '[]', ''), '\\s+'), lambda w: w <> '' AND lower(w) NOT IN (" + _STOP + ")), ' '), '') AS keywords FROM benchmark")
+def keyword_extraction(e):
+    return e.table("benchmark").select("item_id", T.keywords(F.concat(F.lit("["), "text", F.lit("]"))).alias("keywords"))
+
+
+@query("SELECT item_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x: x), ' ') AS expanded FROM benchmark")
+def query_expansion(e):
+    """The stand-in says its input again, between a mark and a second paragraph that doesn't count."""
+    return scorers.expanded(e.table("benchmark"), key="item_id", model=scorers.Lexical)
+
+
 _NUM = "CASE WHEN p_partkey % 2 = 0 THEN substr(p_brand, 7) ELSE p_type END"
 
 
@@ -531,9 +540,6 @@ def normalize_text(e):
     return e.table("documents").select("doc_id", T.normalize(F.col("text")).alias("text"))
 
 
-_STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in T.STOPWORDS)
-
-
 @query(f"SELECT doc_id, COALESCE(array_to_string(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '' AND lower(w) NOT IN ({_STOP})), ' '), '') AS text FROM documents")
 def remove_stopwords(e):
     return e.table("documents").select("doc_id", T.without_stopwords(F.col("text")).alias("text"))
@@ -573,6 +579,17 @@ def json_fallback(e):
     return e.table("events").select("event_id", F.to_json(parsed).alias("parsed"), raw.alias("raw"))
 
 
+@query("""SELECT source, CAST(i - 1 AS INTEGER) AS i, round((MAX(CASE WHEN k = 1 THEN CAST(x AS DOUBLE) END) + COALESCE(AVG(CASE WHEN k > 1 THEN CAST(x AS DOUBLE) END), 0.0)) / 2, 6) AS x FROM (
+    SELECT source, k, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM (SELECT d.source, e.embedding, ROW_NUMBER() OVER (PARTITION BY d.source ORDER BY d.doc_id) AS k FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id) y) z GROUP BY 1, 2""")
+def embedding_with_title(e):
+    """A source's first document stands for a title, its others for the sentences of an abstract."""
+    rows = e.table("documents").select("doc_id", "source").join(e.table("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
+    title = rows.groupBy("source").agg(F.min_by("embedding", "doc_id").alias("title"), F.min("doc_id").alias("first"))
+    rest = rows.join(title.select("source", "first"), "source").where("doc_id <> first")
+    means = title.join(V.centroid(rest, "source", "embedding"), "source", "left")
+    return means.select("source", F.posexplode(V.with_title(F.col("title"), F.col("centroid"))).alias("i", "x"))
+
+
 # Retrieval
 
 @query("SELECT doc_id, round(c, 6) AS score FROM cos WHERE c >= 0.3")
@@ -645,9 +662,9 @@ def role_group_rank(e):
     return e.pool()
 
 
-@query("SELECT author_id, pos, role, round(prob, 6) AS prob, rn FROM pool", role="supervising", prob="0.0")
+@query("SELECT author_id, pos, role, round(prob, 6) AS prob, rn FROM pool", **ANYONE)
 def role_pool(e):
-    return e.pool("supervising", 0.0)
+    return e.explained_pool()
 
 
 @query("SELECT author_id, role, round(prob, 6) AS prob, rank FROM ranking")
@@ -655,11 +672,9 @@ def role_diverse_ranking(e):
     return e.ranking()
 
 
-@query("""SELECT author_id, role, round(prob, 6) AS prob, CAST(ROW_NUMBER() OVER (ORDER BY ord, rn) AS INTEGER) AS rank FROM pool JOIN (
-    SELECT *, take + greatest(0, least(size - take, shortfall - before)) AS lim FROM (SELECT *, SUM(quota - take) OVER () AS shortfall, SUM(size - take) OVER (ORDER BY ord) - (size - take) AS before FROM (
-    SELECT *, least(size, quota) AS take FROM (SELECT *, (SELECT SUM(size) FROM sizes) // 3 AS quota FROM sizes) a) b) c) q USING (role) WHERE rn <= lim""", role="supervising", prob="0.0")
+@query("SELECT author_id, role, round(prob, 6) AS prob, rank FROM quotaed", **ANYONE)
 def equal_quota(e):
-    return diversity.equal_quota(e.pool("supervising", 0.0))
+    return diversity.equal_quota(e.explained_pool())
 
 
 @query("SELECT round(COALESCE(SUM(-p * ln(p)) / ln(3), 0.0), 4) AS role_diversity FROM (SELECT CAST(COUNT(*) AS DOUBLE) / SUM(COUNT(*)) OVER () AS p FROM ranking JOIN roled USING (author_id) WHERE rank <= 10 GROUP BY dominant_role) x")
@@ -712,7 +727,7 @@ def eval_summary(e):
 
 @query(f"SELECT doc_id, round({o.jac(o.KW, 'text')}, 6) AS score FROM (SELECT h.doc_id, d.text FROM hyb h JOIN fx_doc d USING (doc_id)) x ORDER BY round({o.jac(o.KW, 'text')}, 9) DESC, doc_id LIMIT 15")
 def rerank_documents(e):
-    return scorers.rerank(e.docs().join(F.broadcast(e.retrieved().select("doc_id")), "doc_id", "left_semi"), scorers.identity(_KW), 15)
+    return scorers.rerank(e.docs().join(F.broadcast(e.retrieved().select("doc_id")), "doc_id", "left_semi"), _KW, 15)
 
 
 @query(f"SELECT doc_id, round({o.jac(o.KW, 'text')}, 6) AS score FROM documents WHERE {o.jac(o.KW, 'text')} > 0.05")
@@ -727,28 +742,112 @@ def score_threshold(e):
     return scorers.scored_by_answer(e.table("documents").select("doc_id", said.alias("answer")), threshold=5).select("doc_id", "score")
 
 
-@query()
+_SHORT = "(SELECT h.*, d.text, ROW_NUMBER() OVER (ORDER BY h.score DESC, h.doc_id) AS pos FROM hyb h JOIN fx_doc d USING (doc_id)) x"
+
+
+def _short(e):
+    return e.docs().select("doc_id", "text").join(F.broadcast(e.retrieved()), "doc_id")
+
+
+@query(f"SELECT doc_id, CAST(ROW_NUMBER() OVER (ORDER BY {o.jac(o.KW, 'text')} DESC, pos) AS INTEGER) AS rank FROM {_SHORT} WHERE pos <= 15")
 def pairwise_rerank(e):
-    return scorers.pairwise(e.docs().join(F.broadcast(e.retrieved().select("doc_id")), "doc_id", "left_semi"), _KW, 15)
+    """The first 15 retrieved, inserted one by one. With a judge as consistent as the stand-in that is a stable sort."""
+    return scorers.ordered(_short(e), _KW, [F.desc("score"), "doc_id"], 15)
+
+
+@query(f"SELECT doc_id, CAST(ROW_NUMBER() OVER (ORDER BY {o.jac(o.KW, 'text')} DESC, pos) AS INTEGER) AS rank FROM {_SHORT}")
+def merge_rerank(e):
+    """All retrieved, by merging twice: of equals the right one goes first each time, so twice is as before."""
+    return scorers.ordered(_short(e), _KW, [F.desc("score"), "doc_id"], method="merge")
 
 
 @query()
+def pairwise_wins(e):
+    """The same list by the number of others that each beats, all pairs judged in parallel."""
+    return scorers.pairwise(_short(e), _KW, 15)
+
+
+_EXPERTISE = "Brand#13 Brand#45 emerging collaborating expert"
+_FIRST = "(SELECT t.author, t.text, r.rank FROM ranking r JOIN ragt t ON t.author = 'http://example.org/author/' || r.author_id WHERE r.rank <= 25) x"
+
+
+@query(f"SELECT author, round({o.jac(f"'{_EXPERTISE}'", 'text')}, 6) AS score FROM {_FIRST} ORDER BY {o.jac(f"'{_EXPERTISE}'", 'text')} DESC, author LIMIT 10")
+def author_rerank(e):
+    return scorers.rerank(e.first_contexts(), _EXPERTISE, 10, key="author")
+
+
+@query(f"SELECT author, CAST(ROW_NUMBER() OVER (ORDER BY {o.jac(f"'{_EXPERTISE}'", 'text')} DESC, rank) AS INTEGER) AS rank FROM {_FIRST}")
+def author_pairwise(e):
+    return scorers.ordered(e.first_contexts(), _EXPERTISE, ["rank"], key="author")
+
+
+@query("SELECT 'http://example.org/author/' || r.author_id AS author, r.rank FROM ranking r WHERE r.rank <= 25 AND r.author_id IN (SELECT author_id FROM fx_authorship JOIN fx_t3 USING (paper_id) WHERE topic = 'Brand#13')")
+def author_validation(e):
+    """Authors whom the stand-in, which looks for the query's words among papers and topics, takes for experts."""
+    first = e.first_contexts().select("author", "rank")
+    facets = rag.summaries(e.store(), first).select("author", F.col("papers.title").alias("papers"), F.col("subtopics.title").alias("topics"))
+    return scorers.validated(first.join(facets, "author"), "Brand#13").select("author", "rank")
+
+
+_CAREER = "'Career span: ' || f.career_span || ' years, role: ' || f.dominant_role || ', recency: ' || printf('%.3f', m2.recency_ratio + 1e-9)"
+
+
+@query(f"""SELECT r.author_id, r.rank, m.n_matched, '{{"relevance":"Topic: {_KW}","evidence":"' || {o.SCORES} || '"}}' AS relevance, CAST(NULL AS VARCHAR) AS relevance_raw,
+    '{{"role":"' || {_CAREER} || '","reason":"' || {o.SCORES} || '"}}' AS career, CAST(NULL AS VARCHAR) AS career_raw
+    FROM ranking r JOIN roled f USING (author_id) JOIN rmap m2 USING (author_id) JOIN (SELECT a.author_id, COUNT(*) AS n_matched FROM rpapers p JOIN fx_authorship a USING (paper_id) GROUP BY 1) m USING (author_id) WHERE r.rank <= 3""")
 def explain_authors(e):
     found = explained_authors(e)
     return found.withColumns({c: F.to_json(c) for c in ("relevance", "career")})
 
 
-@query()
+_URI = "'http://example.org/{}/' || "
+
+
+@query(f"""SELECT {_URI.format('author')} a.author_id AS author, a.name, CAST(1 AS INTEGER) AS n_orgs, {_URI.format('org')} a.org AS org, p.n_papers, p.first_paper, t.n_subtopics, t.n_main_topics, c.n_coauthors, c.coauthor, c.shared, r.dominant_role AS role FROM fx_author a
+    LEFT JOIN (SELECT author_id, CAST(COUNT(*) AS INTEGER) AS n_papers, MIN({_URI.format('paper')} paper_id) AS first_paper FROM fx_authorship GROUP BY 1) p USING (author_id)
+    LEFT JOIN (SELECT author_id, CAST(COUNT(DISTINCT topic) AS INTEGER) AS n_subtopics, CAST(COUNT(DISTINCT main_topic) AS INTEGER) AS n_main_topics FROM (SELECT DISTINCT author_id, topic FROM fx_authorship JOIN fx_t3 USING (paper_id)) x JOIN fx_parent ON subtopic = topic GROUP BY 1) t USING (author_id)
+    LEFT JOIN (SELECT author_id, CAST(COUNT(*) AS INTEGER) AS n_coauthors, MIN(CASE WHEN k = 1 THEN co END) AS coauthor, MIN(CASE WHEN k = 1 THEN n END) AS shared FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY author_id ORDER BY n DESC, co) AS k FROM (
+      SELECT a.author_id, {_URI.format('author')} b.author_id AS co, COUNT(*) AS n FROM fx_authorship a JOIN fx_authorship b ON b.paper_id = a.paper_id AND b.author_id <> a.author_id GROUP BY 1, 2 HAVING COUNT(*) >= 2) x) y GROUP BY 1) c USING (author_id)
+    LEFT JOIN roled r USING (author_id)""")
 def author_summaries(e):
-    """A JSON record for each author of the graph."""
+    """A JSON record for each author of the graph, and what stands in it."""
     g = e.store()
     found = rag.summaries(g, kg.subjects(g, "rdf:type", "ex:Author").withColumnRenamed("s", "author"), 2)
-    return found.select("author", F.to_json(F.struct("*")).alias("summary"))
+    x = F.from_json(F.to_json(F.struct("*")), found.schema)
+    size = lambda c: F.nullif(F.greatest(F.size(c), F.lit(0)), F.lit(0))
+    return found.select(x.alias("x")).select(
+        "x.author", "x.name", size("x.orgs").alias("n_orgs"), F.get("x.orgs", 0)["uri"].alias("org"), size("x.papers").alias("n_papers"), F.get("x.papers", 0)["uri"].alias("first_paper"),
+        size("x.subtopics").alias("n_subtopics"), size("x.main_topics").alias("n_main_topics"), size("x.coauthors").alias("n_coauthors"),
+        F.get("x.coauthors", 0)["uri"].alias("coauthor"), F.get("x.coauthors", 0)["count"].alias("shared"), F.col("x.role.dominant_role").alias("role"),
+    )
 
 
-@query()
+_TRACE = """SELECT '{pipeline}' AS pipeline, '{method}' AS ranking_method, {n} AS n_candidates, {quota} AS quota_per_role, x.rank, x.author_id, f.name, CAST(f.career_span AS INTEGER) AS career_span, round(f.total_cit, 6) AS total_citations, f.dominant_role FROM ({ranked}) x LEFT JOIN roled f USING (author_id) WHERE x.rank <= 10"""
+_BY_CITATIONS = "SELECT author_id, CAST(ROW_NUMBER() OVER (ORDER BY n_citation DESC, author_id) AS INTEGER) AS rank FROM fx_author WHERE tag IS NOT NULL AND author_id IN (SELECT author_id FROM cands)"
+_NC = "(SELECT COUNT(*) FROM cands)"
+
+
+def _told(e, pipeline):
+    return explanation(e, pipeline).select(F.from_json("explanation", EXPLANATION).alias("x")).select("x.*")
+
+
+@query(" UNION ALL ".join([
+    _TRACE.format(pipeline="proposed", method=METHODS["proposed"][0], n=_NC, quota=f"{_NC} // 3", ranked="SELECT author_id, rank FROM quotaed"),
+    _TRACE.format(pipeline="baseline", method=METHODS["baseline"][0], n=_NC, quota="CAST(NULL AS BIGINT)", ranked=_BY_CITATIONS),
+]), **ANYONE)
 def explain_json(e):
-    return explanation(e, "proposed").unionByName(explanation(e, "baseline"))
+    """Both explanations' traces, read back from their JSON."""
+    both = _told(e, "proposed").unionByName(_told(e, "baseline"))
+    rows = both.select("pipeline", "ranking_method", "n_candidates", "quota_per_role", F.explode("top_candidates").alias("c"))
+    return rows.select("pipeline", "ranking_method", "n_candidates", "quota_per_role", "c.rank", "c.author_id", "c.name", "c.career_span", "c.total_citations", "c.dominant_role")
+
+
+@query("SELECT role, COUNT(*) OVER (PARTITION BY role) AS n_members, author_id, round(prob, 4) AS role_prob, CAST(rn - 1 AS INTEGER) AS place FROM pool", **ANYONE)
+def explain_pool(e):
+    """The pools of the explanation, read back from its JSON."""
+    x = _told(e, "proposed").select("pool_role_distribution", F.explode("role_groups_detail").alias("role", "members"))
+    rows = x.select("role", F.element_at("pool_role_distribution", F.col("role")).alias("n_members"), F.posexplode("members").alias("place", "m"))
+    return rows.select("role", "n_members", "m.author_id", "m.role_prob", "place")
 
 
 @query("SELECT c.author_id, c.pos, 'http://example.org/author/' || c.author_id AS id FROM cands c")

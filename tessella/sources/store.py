@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 _OWN: dict[str, str] = {}
 _RUN = uuid.uuid4().hex
 _USED: dict[str, Callable[[], object]] = {}
+_KEPT: dict[tuple, tuple[DataFrame, str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,6 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def clear() -> None:
     """Removes all that this process has written into the shared folder. What it has returned must have been read by then."""
+    _KEPT.clear()
     while _USED:
         _USED.popitem()[1]()
 
@@ -58,9 +60,36 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{run}/{uuid.uuid4().hex}/{name}"
 
 
-def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Writes `df` once to the shared folder and reads it back: a cut in the lineage that outlives executors."""
-    path = new_path(df.sparkSession, name)
+def _path(spark: SparkSession, path: str):
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def stamp(spark: SparkSession, folder: str) -> tuple:
+    """What tells one state of a folder of tables from another: the name, length and time of each."""
+    path, fs = _path(spark, folder)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(path)))
+
+
+def _write(df: DataFrame, path: str, partition_by: str | None) -> DataFrame:
     out = df.write
     (out.partitionBy(partition_by) if partition_by else out).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+    """Writes `df` once to the shared folder and reads it back: a cut in the lineage that outlives executors."""
+    return _write(df, new_path(df.sparkSession, name), partition_by)
+
+
+def kept(spark: SparkSession, key: tuple, name: str, df: Callable[[], DataFrame], partition_by: str | None = None) -> DataFrame:
+    """`written`, once for a key in a session: later calls read the same table, as long as it is there."""
+    key = (spark.sparkContext.applicationId, *key, name)
+    if key in _KEPT:
+        found, path = _KEPT[key]
+        at, fs = _path(spark, path)
+        if fs.exists(at):
+            return found
+    path = new_path(spark, name)
+    _KEPT[key] = _write(df(), path, partition_by), path
+    return _KEPT[key][0]

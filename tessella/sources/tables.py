@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from pathlib import Path
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,8 +53,22 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_texts(df: DataFrame, path: str, key: str, text: str) -> None:
-    """One folder per key with its text as a file, written by the executors."""
-    df.select(key, F.col(text).alias("value")).write.mode("overwrite").partitionBy(key).text(path)
+    """A file `<key>.txt` for each key, spaces and slashes of which become underscores; its text and a line end. Of rows of one name one stays.
+
+    The executors write one folder per key; the driver then renames each folder's file, so the keys are those
+    that someone asked for, not a whole corpus.
+    """
+    spark = df.sparkSession
+    named = df.select(F.regexp_replace(F.col(key), r"[ /\\]", "_").alias("name"), F.col(text).alias("value")).dropDuplicates(["name"])
+    named.repartition("name").write.mode("overwrite").partitionBy("name").text(path)
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in fs.listStatus(root):
+        if folder.isDirectory():
+            name = unquote(folder.getPath().getName().removeprefix("name="))
+            for part in fs.listStatus(folder.getPath()):
+                fs.rename(part.getPath(), spark._jvm.org.apache.hadoop.fs.Path(root, f"{name}.txt"))
+            fs.delete(folder.getPath(), True)
 
 
 def vector(column):

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from tessella.functions import scorers
 from tessella.functions import text as T
 from tessella.functions import vectors as V
-from tessella.functions.literals import simple
 from tessella.operators import kg
 from tessella.sources import rdf, tables
 
@@ -49,16 +48,12 @@ def test_sentences_stopwords_json(spark):
     assert apply(spark, raw, *answers) == [None, None, None, '{"a": ', "plain", None]
 
 
-def test_literals_on_the_jvm(spark):
-    f = lambda c: simple(c, "array<struct<id:string,name:string>>")
-    got = apply(spark, f, "[{'id': '1', 'name': \"O'Neil\"}, {'id': None, 'name': 'None of it'}]")
-    assert [tuple(x) for x in got[0]] == [("1", "O'Neil"), (None, "None of it")]
-
-
 def test_vectors(spark):
     df = spark.createDataFrame([("k", [1.0, 0.0]), ("k", [0.0, 2.0]), ("z", [0.0, 0.0])], "k string, v array<float>")
     assert [r[0] for r in df.select(V.cosine(F.col("v"), V.literal([1.0, 1.0]))).collect()][2] is None
     assert {r.k: r.centroid for r in V.centroid(df, "k", "v").collect()} == {"k": [0.5, 1.0], "z": [0.0, 0.0]}
+    titled = spark.createDataFrame([([1.0, 2.0], [3.0, 0.0]), ([1.0, 2.0], None)], "t array<float>, m array<double>")
+    assert [r.x for r in titled.select(V.with_title(F.col("t"), F.col("m")).alias("x")).collect()] == [[2.0, 1.0], [0.5, 1.0]]
     same = V.minmax(spark.range(3).select(F.lit(4.0).alias("x")), {"x": "y"})
     assert {r.y for r in same.collect()} == {0.0}
 
@@ -108,8 +103,8 @@ def test_tables(spark, tmp_path):
     assert tables.read_settings(str(tmp_path / "s.json")) == {"a": [1, 2]} and tables.read_json(spark, str(tmp_path / "s.json")).first().a == [1, 2]
     (tmp_path / "ids.txt").write_text(" 1 \n\n2\n")
     assert [r.value for r in tables.read_lines(spark, str(tmp_path / "ids.txt")).collect()] == ["1", "2"]
-    tables.write_texts(spark.createDataFrame([("a", "text of a")], "k string, t string"), str(tmp_path / "rag"), "k", "t")
-    assert next((tmp_path / "rag" / "k=a").glob("part-*")).read_text() == "text of a\n"
+    tables.write_texts(spark.createDataFrame([("Ann É. O'Neil/x", "text of\na"), ("b%2", "")], "k string, t string"), str(tmp_path / "rag"), "k", "t")
+    assert {p.name: p.read_text() for p in (tmp_path / "rag").glob("*.txt")} == {"Ann_É._O'Neil_x.txt": "text of\na\n", "b%2.txt": "\n"}
 
 
 def test_scorers(spark):
@@ -131,4 +126,41 @@ def test_scorers(spark):
     assert scorers.generated(prompts).first().answer == "last"
     vectors = scorers.embedded(docs, lambda: lambda texts: [[len(t)] for t in texts])
     assert {r.doc_id: r.embedding for r in vectors.collect()}[4] == [7.0]
-    assert scorers.identity("q") == "q" and scorers.keywords("[the cat] of") == "cat"
+    asked = spark.createDataFrame([(1, "the query")], "key int, text string")
+    assert scorers.expanded(asked).first().expanded == "the query"
+
+    class Terse(scorers.Lexical):
+        def answer(self, prompts):
+            return [f"{p}\n\n  A clear definition. \n\nMore." for p in prompts]
+
+    class Silent(scorers.Lexical):
+        def answer(self, prompts):
+            return prompts
+
+    assert [scorers.expanded(asked, model=m).first().expanded for m in (Terse, Silent, scorers.Lexical)] == ["A clear definition.", "the query", "the query"]
+    assert apply(spark, T.keywords, "[the cat] of", None) == ["cat", ""]
+    assert apply(spark, T.says_yes, " Answer: Yes.", "answer: no", "yes", None) == [True, False, False, False]
+    authors = spark.createDataFrame([("a", ["Cats and Dogs"], None), ("b", [], ["birds", "cats"]), ("c", None, [])], "author string, papers array<string>, topics array<string>")
+    assert sorted(r.author for r in scorers.validated(authors, "cats").collect()) == ["a", "b"]
+    assert [r.author for r in scorers.validated(authors, "birds fish").collect()] == ["b"]
+
+
+def test_comparator_sorts_of_any_judge(spark):
+    class Cycle:  # 1 beats 2, 2 beats 3, 3 beats 1
+        def prefers(self, query, pairs):
+            return [(int(b) - int(a)) % 3 == 1 for a, b in pairs]
+
+    class Never:
+        def prefers(self, query, pairs):
+            return [False for _ in pairs]
+
+    docs = spark.createDataFrame([(i, str(i), -i) for i in range(1, 6)], "doc_id long, text string, at int")
+    order = lambda judge, **how: [r.doc_id for r in sorted(scorers.ordered(docs, "q", [F.desc("at")], judge=judge, **how).collect(), key=lambda r: r.rank)]
+    assert order(Never) == [1, 2, 3, 4, 5]
+    assert order(Never, k=2) == [1, 2]
+    assert order(Never, method="merge") == [1, 2, 3, 4, 5] and order(Never, method="merge", batch=2) == [5, 3, 4, 1, 2]
+    # By hand: 3 beats 1, so it comes first; 4 is like 1 and beats only 2; 5 is like 2 and beats 3.
+    assert order(Cycle) == [5, 3, 1, 4, 2] and order(Cycle, k=3) == [3, 1, 2]
+    assert order(scorers.Lexical) == [1, 2, 3, 4, 5]
+    with pytest.raises(Exception, match="more than 3"):
+        order(Never, most=3)
