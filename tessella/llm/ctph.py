@@ -11,14 +11,16 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import partitions
+from tessella.llm.common import partitions, quoted
 
 ALPHABET = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 _LETTERS = np.frombuffer(ALPHABET, np.uint8)
 WINDOW = 7
 LENGTH = 64  # pieces aimed at
+FEWEST = 16  # of longer texts
 SMALLEST = 2  # log2 of the smallest block size
 TOP = 24  # log2 of the largest
+FINE = 8  # ranges measured for each range that one task is given
 _MIX = np.uint32(0x9E3779B1)
 _STEP = 0x01000193  # odd, so its powers have inverses modulo 2^64
 _INVERSE = pow(_STEP, -1, 1 << 64)
@@ -77,18 +79,20 @@ def _signatures(data: np.ndarray, cuts: list[np.ndarray]) -> list[str]:
 def fingerprint(text: bytes) -> str:
     """"level:pieces:coarser pieces". Block size 2^level; the second signature is that of twice the block size.
 
-    The level starts from the length, so that about LENGTH pieces arise, and rises until no more do. An
-    empty text gives "SMALLEST::".
+    The level starts from the length, so that about LENGTH pieces arise; it falls while fewer than FEWEST
+    do, and rises while there are more than LENGTH, unless that would leave too few, as in texts that
+    repeat themselves: then all after the first LENGTH is one last piece. An empty text gives "SMALLEST::".
     """
     data = np.frombuffer(text, np.uint8)
     level = min(TOP, max(SMALLEST, (len(data) // LENGTH).bit_length() - 1))
     ends, hashes = _triggers(data, level)
-    while len(ends) > LENGTH:
-        level += 1
-        more = (hashes >> np.uint32(level - 1)) & np.uint32(1) == 1 if level <= TOP else np.zeros(len(ends), bool)
-        ends, hashes = ends[more], hashes[more]
-    coarse = ends[(hashes >> np.uint32(level)) & np.uint32(1) == 1]
-    fine, half = _signatures(data, [ends, coarse])
+    while len(ends) < FEWEST and level > SMALLEST:
+        level -= 1
+        ends, hashes = _triggers(data, level)
+    rarer = lambda: (hashes >> np.uint32(level)) & np.uint32(1) == 1
+    while len(ends) > LENGTH and level < TOP and (more := rarer()).sum() >= FEWEST:
+        ends, hashes, level = ends[more], hashes[more], level + 1
+    fine, half = _signatures(data, [cut if len(cut) <= LENGTH else cut[: LENGTH - 1] for cut in (ends, ends[rarer()])])
     return f"{level}:{fine}:{half}"
 
 
@@ -121,7 +125,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             texts = [t or "" for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array([fingerprint(t.encode()) for t in texts], pa.string())], names=["id", "n_chars", "fingerprint"])
 
-    shaped = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    shaped = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(text_col)).cast("string").alias("text"))
     return shaped.mapInArrow(run, "id long, n_chars long, fingerprint string").withColumnRenamed("id", id_col)
 
 
@@ -129,28 +133,51 @@ def edit_probe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """Each document's fingerprint beside that of its edited text (see `edited`), with the next document by id.
 
     Returns (`id_col`, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next).
-    The next after the last is the first; a lone document is its own next. Ranges of ids are cut at
-    quantiles, texts travel once, compressed, to their range's task, and the first document of each range
-    also to the one before. Null text counts as empty; null ids come first; rows that repeat an id
-    follow each other in the order of their texts' SHA-256; an empty table gives an empty result; extra
-    columns are not read.
+    The next after the last is the first; a lone document is its own next. Documents are cut into ranges of
+    about equal bytes, texts travel once, compressed, to their range's task, and the first document of each
+    range also to the one before. Null text counts as empty; null ids come first; rows that repeat an id
+    follow each other in the order of their texts' XXH64 and then SHA-256, and an id that many rows have is
+    cut by it too; an empty table gives an empty result; extra columns are not read.
     """
     spark = docs.sparkSession
     n = partitions(spark)
     low = -(1 << 63)
-    shaped = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(low)).alias("id"), F.col(text_col).cast("string").alias("text"))
-    ids = shaped.select("id")
-    # As many ids as partitions: where the ranges are cut, and the least id that each of them holds.
-    quantiles = ids.agg(F.percentile_approx("id", [i / n for i in range(1, n)] or [0.5], 10_000).alias("q")).first()["q"] or []
-    cuts = np.unique(np.array(quantiles, np.int64))
-
-    def first_of_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    text = F.col(quoted(text_col)).cast("string")
+    shaped = docs.select(F.coalesce(F.col(quoted(id_col)).cast("long"), F.lit(low)).alias("id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("h"), text.alias("text"))
+    # Fine ranges, FINE for each task: where they are cut, the least document that each holds, and its bytes.
+    shares = [i / (n * FINE) for i in range(1, n * FINE)]
+    quantiles = np.array(shaped.agg(F.percentile_approx("id", shares, 10_000).alias("q")).first()["q"] or [], np.int64)
+    at, times = np.unique(quantiles, return_counts=True)
+    cuts = [(int(i), low if k == 0 else int((k / int(m) - 0.5) * 2.0**64)) for i, m in zip(at, times, strict=True) for k in range(int(m))]
+    cut_ids, cut_hashes = (np.array([c[k] for c in cuts], np.int64) for k in (0, 1))
+
+    def fine(ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """How many cuts each document is not before."""
+        first, last = np.searchsorted(cut_ids, ids, "left"), np.searchsorted(cut_ids, ids, "right")
+        out = np.where(last - first > 0, first + 1, first)  # an id's first cut lies before all its rows
+        for a in np.unique(first[last - first > 1]).tolist():
+            mine = (first == a) & (last - first > 1)
+            b = int(last[mine][0])
+            out[mine] = a + np.searchsorted(cut_hashes[a:b], hashes[mine], "right")
+        return out
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.sort(batch.column(0).to_numpy())
-            r, first = np.unique(np.searchsorted(cuts, found, side="right"), return_index=True)
-            yield pa.RecordBatch.from_arrays([pa.array(r.astype(np.int32)), pa.array(found[first])], names=["r", "id"])
-
-    least = {x["r"]: x["least"] for x in ids.mapInArrow(first_of_ranges, "r int, id long").groupBy("r").agg(F.min("id").alias("least")).collect()}
+            ids, hashes, sizes = (batch.column(c).to_numpy() for c in range(3))
+            r = fine(ids, hashes)
+            order = np.lexsort((hashes, ids))
+            found, first = np.unique(r[order], return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (found.astype(np.int32), ids[order][first], hashes[order][first], np.bincount(r, sizes)[found].astype(np.int64))], names=["r", "id", "h", "bytes"])
+
+    sized = shaped.select("id", "h", (F.coalesce(F.octet_length("text"), F.lit(0)) + 64).cast("long").alias("bytes"))
+    found = sized.mapInArrow(measure, "r int, id long, h long, bytes long").groupBy("r").agg(F.min(F.struct("id", "h")).alias("least"), F.sum("bytes").alias("bytes")).collect()
+    rows_of = sorted((x["r"], tuple(x["least"]), x["bytes"]) for x in found)  # at most n * FINE
+    total, passed, ranges = sum(x[2] for x in rows_of), 0, np.zeros(len(cuts) + 1, np.int32)
+    least: dict[int, tuple[int, int]] = {}
+    for r, document, size in rows_of:
+        ranges[r] = (passed + size // 2) * n // max(1, total)
+        passed += size
+        least.setdefault(int(ranges[r]), document)
     held = sorted(least)
     before = {least[r]: held[i - 1] for i, r in enumerate(held)}
 
@@ -159,20 +186,21 @@ def edit_probe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         for batch in batches:
             out: list[tuple] = []
             size = 0
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            places = ranges[fine(batch.column(0).to_numpy(), batch.column(1).to_numpy())].tolist()
+            for r, i, h, t in zip(places, *(batch.column(c).to_pylist() for c in range(3)), strict=True):
                 data = (t or "").encode()
-                row = (i, hashlib.sha256(data).digest(), fingerprint(data), packer.compress(data))
-                out.append((int(np.searchsorted(cuts, i, side="right")), 0, *row))
-                if i in before:  # the range before needs it as the next of its last document
-                    out.append((before[i], 1, *row))
-                size += len(row[3])
+                row = (i, h, hashlib.sha256(data).digest(), fingerprint(data), packer.compress(data))
+                out.append((r, 0, *row))
+                if (i, h) in before:  # the range before needs it as the next of its last document
+                    out.append((before[i, h], 1, *row))
+                size += len(row[4])
                 if size > 1 << 23:
                     yield rows(out, wire)
                     out, size = [], 0
             if out:
                 yield rows(out, wire)
 
-    wire = {"r": pa.int32(), "look": pa.int32(), "id": pa.int64(), "sha": pa.binary(), "fp": pa.string(), "z": pa.binary()}
+    wire = {"r": pa.int32(), "look": pa.int32(), "id": pa.int64(), "h": pa.int64(), "sha": pa.binary(), "fp": pa.string(), "z": pa.binary()}
     result = {"id": pa.int64(), "n_chars": pa.int64()} | dict.fromkeys(("edited_sha256", "fingerprint", "edited_fingerprint", "next_fingerprint"), pa.string())
 
     def rows(found: list[tuple], types: dict[str, pa.DataType]) -> pa.RecordBatch:
@@ -201,8 +229,8 @@ def edit_probe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield rows(out, result)
             out = []
 
-    sent = shaped.mapInArrow(send, "r int, look int, id long, sha binary, fp string, z binary")
-    ordered = sent.repartition(n, "r").sortWithinPartitions("r", "look", "id", "sha").select("r", "look", "id", "fp", "z")
+    sent = shaped.mapInArrow(send, "r int, look int, id long, h long, sha binary, fp string, z binary")
+    ordered = sent.repartitionById(n, "r").sortWithinPartitions("r", "look", "id", "h", "sha").select("r", "look", "id", "fp", "z")
     met = ordered.mapInArrow(meet, "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, next_fingerprint string")
     return met.select(
         F.when(F.col("id") != low, F.col("id")).alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
 from tessella.llm import ctph
@@ -24,8 +25,11 @@ def slow_fingerprint(text: bytes) -> str:
     hashes = [rolled(i) for i in range(len(text))]
     level = max(2, (len(text) // 64).bit_length() - 1)
     ends = lambda k: [i for i, h in enumerate(hashes) if h & ((1 << k) - 1) == (1 << k) - 1]
-    while len(ends(level)) > 64:
+    while len(ends(level)) < 16 and level > 2:
+        level -= 1
+    while len(ends(level)) > 64 and len(ends(level + 1)) >= 16:
         level += 1
+    first = lambda cut: cut if len(cut) <= 64 else cut[:63]
 
     def signature(cut):
         out, start = "", 0
@@ -37,7 +41,7 @@ def slow_fingerprint(text: bytes) -> str:
             start = e + 1
         return out
 
-    return f"{level}:{signature(ends(level))}:{signature(ends(level + 1))}"
+    return f"{level}:{signature(first(ends(level)))}:{signature(first(ends(level + 1)))}"
 
 
 def distance(a, b):
@@ -60,7 +64,7 @@ def slow_likeness(a, b):
 
 def test_fingerprint_is_the_definition():
     r = random.Random(4)
-    texts = [b"", b"a", b"abcdefg", b"a" * 3000, bytes(r.randrange(256) for _ in range(5000)), " ".join(r.choice(["und", "der", "été"]) for _ in range(900)).encode()]
+    texts = [b"", b"a", b"abcdefg", b"a" * 3000, bytes(r.randrange(256) for _ in range(5000)), " ".join(r.choice(["und", "der", "été"]) for _ in range(900)).encode(), b"one line again and again\n" * 200, b"ab " * 900]
     for t in texts:
         assert ctph.fingerprint(t) == slow_fingerprint(t)
 
@@ -96,10 +100,35 @@ def test_query_against_the_definition(spark):
     assert np.median(near_edited) > 0.4 and np.median(near_next) < 0.25
 
 
+def place(row):
+    """Null ids first, then by id, XXH64 and SHA-256 of the text."""
+    data = (row[1] or "").encode()
+    h = xxhash.xxh64_intdigest(data, 42)
+    return (row[0] is not None, row[0] or 0, h - (1 << 64) if h >> 63 else h, hashlib.sha256(data).digest())
+
+
+def test_repetitive_texts_have_pieces():
+    text = b"the same words in every line of it\n" * 400
+    cut = text[: len(text) // 2] + bytes(range(97, 123)) * 300
+    assert len(ctph.fingerprint(text).split(":")[1]) > 16
+    assert slow_likeness(ctph.fingerprint(text), ctph.fingerprint(cut)) > 0
+
+
+def test_hot_ids_and_ranges_of_bytes(spark):
+    r = random.Random(6)
+    rows = [(5, f"copy {k} " + "x" * r.randrange(300)) for k in range(600)] + [(None, f"none {k}") for k in range(300)] + [(k, "w " * r.randrange(2000)) for k in range(400)] + [(5, "same")] * 3
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    order = sorted(rows, key=place)
+    want = [(x[0], hashlib.sha256(ctph.edited(x[1], order[(k + 1) % len(order)][1]).encode()).hexdigest()) for k, x in enumerate(order)]
+    got = ctph.edit_probe(df)
+    assert sorted(((x.doc_id, x.edited_sha256) for x in got.collect()), key=str) == sorted(want, key=str)
+
+
 def test_edge_rows(spark):
     rows = [(3, None), (1, "é漢x" * 10), (2, ""), (2, "b" * 70_000), (9, "z"), (None, "null id")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, near_next int")
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashlib.sha256((r[1] or "").encode()).digest()))
+    order = sorted(rows, key=place)
     want = [(r[0], hashlib.sha256(ctph.edited(r[1] or "", order[(k + 1) % len(order)][1] or "").encode()).hexdigest()) for k, r in enumerate(order)]
     got = ctph.edit_probe(df)
     assert sorted(((r.doc_id, r.edited_sha256) for r in got.collect()), key=str) == sorted(want, key=str)
