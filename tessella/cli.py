@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import argparse
+import contextlib
+import json
 import sys
+import textwrap
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.operators import kg, rag
-from tessella.sources import rdf, tables
+from tessella.sources import fixtures, rdf, tables
+from tessella.sources.store import written
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
@@ -18,30 +23,44 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 
 
 def context(spark: SparkSession, args: argparse.Namespace) -> None:
-    """Summaries of authors as JSON lines, to --output or standard output, and their texts under --rag-dir."""
+    """Summaries of authors with their texts as a JSON array, to --output or standard output, and their texts under --rag-dir.
+
+    Authors come in the order asked for, as often as asked for; a name may stand for several. Those that are
+    not found are named on standard error.
+    """
     g = load(spark, args.graph)
-    asked = spark.createDataFrame([(a,) for a in args.authors or []], "input string")
+    names = [x.strip() for x in (args.authors or "").split(",")]
     if args.authors_file:
-        asked = asked.unionByName(tables.read_lines(spark, args.authors_file).withColumnRenamed("value", "input"))
-    numbers = F.col("input").rlike("^[0-9]+$")
-    asked = asked.withColumn("input", F.when(numbers, kg.uri("author", F.col("input"), args.base)).otherwise(F.col("input")))
-    authors = kg.lookup(g, asked.distinct()).select(F.col("s").alias("author")).distinct()
-    found = rag.summaries(g, authors, args.min_coauthored)
-    if args.output:
-        tables.write_json(found, args.output)
-    else:
-        for row in found.select(F.to_json(F.struct("*")).alias("x")).toLocalIterator():
-            print(row.x)
+        names += [x.strip() for x in Path(args.authors_file).read_text(encoding="utf-8").splitlines()]
+    names = [x for x in names if x]
+    if not names:
+        print("no authors given: use --authors or --authors-file", file=sys.stderr)
+        return
+    asked = spark.createDataFrame(list(enumerate(names)), "pos int, name string")
+    asked = asked.withColumn("input", F.when(F.col("name").rlike("^[0-9]+$"), kg.uri("author", F.col("name"), args.base)).otherwise(F.col("name")))
+    found = asked.join(kg.lookup(g, asked.select("input").distinct()).withColumnRenamed("s", "author").distinct(), "input", "left")
+    found = written(found, "found")
+    for row in found.where("author is null").orderBy("pos").toLocalIterator():
+        print(f"no author found for {row.name}", file=sys.stderr)
+    authors = found.where("author is not null").select("author").distinct()
+    records = rag.summaries(g, authors, args.min_coauthored).join(rag.texts(g, authors, args.min_coauthored).withColumnRenamed("text", "rag_text"), "author")
+    records = written(records, "records")
+    rows = found.select("pos", "author").join(records, "author").orderBy("pos", "author").select(F.to_json(F.struct(*records.columns)).alias("x")).toLocalIterator()
+    with open(args.output, "w", encoding="utf-8") if args.output else contextlib.nullcontext(sys.stdout) as out:
+        out.write("[")
+        for i, row in enumerate(rows):
+            out.write(("," if i else "") + "\n" + textwrap.indent(json.dumps(json.loads(row.x), indent=2, ensure_ascii=False), "  "))
+        out.write("\n]\n")
     if args.rag_dir:
-        texts = rag.texts(g, authors, args.min_coauthored).withColumn("author", F.regexp_replace("author", "^.*/", ""))
-        tables.write_texts(texts, args.rag_dir, "author", "text")
+        named = records.select(F.coalesce("name", F.regexp_replace("author", "^.*/", "")).alias("name"), "rag_text")
+        tables.write_texts(named, args.rag_dir, "name", "rag_text")
 
 
 def explain(spark: SparkSession, args: argparse.Namespace) -> None:
     """The trace of one ranking over a folder of the bundled tables."""
     from tessella.plans.expert import Expert, explanation
 
-    print(explanation(Expert(spark, args.tables), args.pipeline).first()["explanation"])
+    print(explanation(Expert(spark, args.tables, args.query), args.pipeline).first()["explanation"])
 
 
 def parser() -> argparse.ArgumentParser:
@@ -49,16 +68,17 @@ def parser() -> argparse.ArgumentParser:
     sub = p.add_subparsers(dest="command", required=True)
     c = sub.add_parser("context", help="summaries and context texts of authors")
     c.add_argument("--graph", required=True)
-    c.add_argument("--authors", nargs="*")
-    c.add_argument("--authors-file")
-    c.add_argument("--output")
-    c.add_argument("--rag-dir")
-    c.add_argument("--min-coauthored", type=int, default=1)
+    c.add_argument("--authors", help="names, URIs or numbers, between commas")
+    c.add_argument("--authors-file", help="a file with one of them a line")
+    c.add_argument("--output", help="a file for the records, which else are printed")
+    c.add_argument("--rag-dir", help="a folder for one text file for each author")
+    c.add_argument("--min-coauthored", type=int, default=2, help="papers that a coauthor must share")
     c.add_argument("--base", default=kg.BASE)
     c.set_defaults(run=context)
     e = sub.add_parser("explain", help="how the first candidates were ranked")
     e.add_argument("--tables", required=True)
     e.add_argument("--pipeline", choices=("baseline", "proposed"), default="proposed")
+    e.add_argument("--query", default=fixtures.QUERY_TEXT)
     e.set_defaults(run=explain)
     return p
 

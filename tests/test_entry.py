@@ -28,8 +28,3 @@ def test_query_without_sql_has_rows(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
-
-
-def test_round_trip_changes_nothing(spark):
-    rows = entry.queries()["kg_ntriples_roundtrip"](spark, SF).collect()
-    assert all(r.n_written == r.n_read and r.n_changed == 0 for r in rows)

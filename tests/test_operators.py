@@ -175,6 +175,21 @@ def test_metrics(spark):
     assert get(evaluate.ndcg(j, truth.where("query = 'q'"), 5))["none"] == 0.0
 
 
+def test_candidates_without_a_tag_go(spark):
+    candidates = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2), ("d", 3)], "author_id string, pos int")
+    authors = spark.createDataFrame([("a", "x"), ("b", None), ("c", "y"), ("c", "z")], "author_id string, tag string")
+    assert rows(diversity.tagged(candidates, authors)) == [("a", 0), ("c", 2)]
+
+
+def test_summary_is_the_mean_of_its_parts(spark):
+    predicted = spark.createDataFrame([(q, i, r) for q in "xyz" for r, i in enumerate([5, 3, 9, 1, 2, 8, 7, 4, 6, 11, 12, 13], 1)], "query string, id int, rank int")
+    truth = spark.createDataFrame([("x", 3), ("x", 12), ("x", 8), ("y", 99), ("w", 1)], "query string, id int")
+    got = evaluate.summary(predicted, truth).first().asDict()
+    judged = evaluate.judged(predicted, truth)
+    parts = {"map_10": evaluate.average_precision(judged, 10), "mrr_10": evaluate.reciprocal_rank(judged, 10), "mp_5": evaluate.precision(judged, 5), "mp_10": evaluate.precision(judged, 10), "ndcg_5": evaluate.ndcg(judged, truth, 5), "ndcg_10": evaluate.ndcg(judged, truth, 10)}
+    assert got == {n: pytest.approx(p.agg(F.avg("value")).first()[0]) for n, p in parts.items()} and got["mrr_10"] == pytest.approx(0.5 / 3)
+
+
 def test_ground_truth_tags(spark):
     a = spark.createDataFrame([(1, "Data  Mining", 5.0), (2, "data–mining", 9.0), (3, None, 9.0), (4, "Women’s health", 1.0)], "author_id int, tag string, n_citation double")
     assert [r.author_id for r in evaluate.ground_truth(a, "data mining").collect()] == [1]
