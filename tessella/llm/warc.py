@@ -10,8 +10,9 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import binary, new_path, quoted, written
+from tessella.llm.common import binary, join_hot, new_path, quoted, written
 
+SALTS = 16
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 
 
@@ -52,15 +53,20 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     id is the response and the others revisit it; smaller ones are all responses. Rows that repeat the
     largest id are responses too; a row with a null id revisits, unless all ids of its payload are null.
     Every row is a record with an id of its own. A null payload is empty, a null URL has no target line.
-    Each distinct payload is stored once: payloads are hashed and compressed in one pass, and equal ones are
-    combined before they are shuffled, so a page with countless copies moves once per task.
+    Each distinct payload is stored once: payloads are hashed and compressed in one pass, and of equal ones
+    all rows but the first are left out by their number, so payloads stay where they are as long as the list
+    of those rows is small.
     """
     rows = _hashed(pages, id_col, url_col, payload_col)
-    rows.select("sha256", "zstd").dropDuplicates(["sha256"]).write.option("compression", "none").parquet(f"{path}/payloads")
     slim = rows.drop("zstd")
-    largest = slim.where(F.col("size") >= least).groupBy("sha256").agg(F.max(F.struct("page_id", (-F.col("row")).alias("back"))).alias("last"))
-    largest = largest.select("sha256", F.col("last.page_id").alias("of"), (-F.col("last.back")).alias("of_row"))
-    slim = slim.join(largest, "sha256", "left").withColumn("revisit", F.coalesce(F.col("of") != F.col("page_id"), F.col("of").isNotNull()))
+    last = F.max(F.struct("page_id", (-F.col("row")).alias("back")))
+    equal = written(slim.groupBy("sha256").agg(last.alias("last"), F.min("row").alias("first"), F.count("*").alias("copies")), "equal")
+    slim = join_hot(slim, equal, "sha256", "copies")
+    again = written(slim.where(F.col("row") != F.col("first")).select("row"), "again")
+    rows.join(again, "row", "left_anti").select("sha256", "zstd").write.option("compression", "none").parquet(f"{path}/payloads")
+    of = lambda c: F.when(F.col("size") >= least, c)
+    slim = slim.withColumns({"of": of(F.col("last.page_id")), "of_row": of(-F.col("last.back"))})
+    slim = slim.withColumn("revisit", F.coalesce(F.col("of") != F.col("page_id"), F.col("of").isNotNull()))
     record_id = lambda row: F.concat(F.lit("<urn:uuid:"), _uuid(F.col(row).cast("string"), F.col("sha256")), F.lit(">"))
     http = F.concat(F.lit(HTTP + "Content-Length: "), F.col("size").cast("string"), F.lit("\r\n\r\n"))
     header = F.concat(
@@ -120,7 +126,14 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
-    records = spark.read.parquet(f"{path}/records").join(spark.read.parquet(f"{path}/payloads"), "sha256", "left")
+    records, payloads = spark.read.parquet(f"{path}/records"), spark.read.parquet(f"{path}/payloads")
+    # Payloads of a thousandth of all records or more, of which there are no more than a thousand, go to SALTS tasks each.
+    counts = written(records.groupBy("sha256").count(), "copies")
+    most = F.broadcast(counts.where(F.col("count") >= max(SALTS, (counts.agg(F.sum("count")).first()[0] or 0) / 1000)).select("sha256", F.lit(True).alias("hot")))
+    records = records.join(most, "sha256", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("header"), F.lit(SALTS))).otherwise(0))
+    spread = F.when(F.col("hot"), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    payloads = payloads.join(most, "sha256", "left").select("sha256", "zstd", F.explode(spread).alias("salt"))
+    records = records.drop("hot").join(payloads, ["sha256", "salt"], "left")
     return records.select("header", "sha256", "zstd").mapInArrow(run, "page_id long, record_type string, refers_to long, header binary, payload binary, record binary")
 
 

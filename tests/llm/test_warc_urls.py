@@ -53,6 +53,12 @@ def test_archive_round_trip_of_edge_rows(spark):
     assert len(dict(named)) == len(ROWS) and refers <= set(named)
 
 
+def test_a_payload_of_very_many_pages(spark):
+    rows = [(i, f"http://h/{i}", "same page " * 200) for i in range(300)] + [(1000 + i, "u", f"page {i}") for i in range(200)] + [(7, "http://again", "same page " * 200)] * 2
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    assert sorted(map(tuple, warc.round_trip(pages).collect()), key=str) == expected(rows)
+
+
 def test_a_wrong_payload_is_noticed(spark):
     path = new_path(spark, "archive")
     pages = spark.createDataFrame([(1, "u", "a" * 2000), (2, "u", "b" * 2000)], "page_id long, url string, html string")
