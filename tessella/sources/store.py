@@ -71,10 +71,15 @@ def stamp(spark: SparkSession, folder: str) -> tuple:
     return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(path)))
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark reads it, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def _write(df: DataFrame, path: str, partition_by: str | None) -> DataFrame:
     out = df.write
     (out.partitionBy(partition_by) if partition_by else out).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*map(quoted, df.columns))
 
 
 def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
