@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import quoted, written
+from tessella.llm.common import partitions, quoted, written
 
 #: Bits told apart in one pass: of the key, and then of the id, for rows of one key.
 DIGITS = (17, 15, 15, 15)
@@ -24,27 +24,38 @@ def quality_weight(text: Column, size: Column) -> Column:
     return 1 / (1 + F.abs(F.log((F.length(text.cast("string")) + 1) / (size + 1) / F.lit(6.0))))
 
 
+def _running(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """rows with, for each of `sums`, its sum over all rows before in `order`: as `<name>_before`, and over all as `<name>_all`.
+
+    Rows are dealt to ranges of the order, and only one row of sums for each range meets in one task.
+    """
+    rows = rows.withColumns(sums)
+    dealt = written(rows.repartitionByRange(partitions(rows.sparkSession), *order).withColumn("part", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy("part").agg(*[F.sum(c).alias(c) for c in sums])
+    totals = totals.select("part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_at") for c in sums], *[F.sum(c).over(Window.partitionBy()).alias(f"{c}_all") for c in sums])
+    inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    held = dealt.join(F.broadcast(totals), "part")
+    return held.withColumns({f"{c}_before": F.col(f"{c}_at") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in sums}).drop("part", *[f"{c}_at" for c in sums])
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
     """sizes(source, source_size) -> with target: shares of the sum of all sizes by repeating weights in code-point order.
 
     No target passes `cap` times its source's size; the excess is shared anew by weight until none does.
     That fixed point is found at once: with sources in ascending order of cap over weight, the capped ones
-    come first, and the level is what is left for the others over their weights.
+    come first, and the level is what is left for the others over their weights. Sources may be as many as
+    hosts are: no task sees all of them.
     """
-    everyone = Window.orderBy(F.col("source").isNull(), "source")
-    by_ratio = Window.orderBy("ratio", "rank")
-    rows = (
-        sizes.withColumn("rank", F.row_number().over(everyone) - 1)
-        .withColumn("w", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("rank") % len(weights) + 1).cast("int")))
-        .withColumn("top", cap * F.col("source_size"))
-        .withColumn("ratio", F.col("top") / F.col("w"))
-        .withColumn("capped", F.sum("top").over(by_ratio) - F.col("top"))
-        .withColumn("free", F.sum("w").over(by_ratio.rowsBetween(0, Window.unboundedFollowing)))
-        .withColumn("all", F.sum("source_size").over(Window.partitionBy()))
-        .withColumn("level", (F.col("all") - F.col("capped")) / F.col("free"))
-        .withColumn("level", F.max(F.when(F.col("ratio") >= F.col("level"), F.struct(-F.col("ratio"), -F.col("rank"), "level"))).over(Window.partitionBy())["level"])
-    )
-    return rows.select("source", "source_size", F.coalesce(F.least("top", F.col("w") * F.col("level")), F.lit(0.0)).alias("target"))
+    ranked = _running(sizes, [F.col("source").isNull(), F.col("source")], {"one": F.lit(1).cast("long")})
+    rows = ranked.select("source", "source_size", F.col("one_before").alias("rank"))
+    rows = rows.withColumn("w", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("rank") % len(weights) + 1).cast("int")))
+    rows = rows.withColumn("top", cap * F.col("source_size")).withColumn("ratio", F.col("top") / F.col("w"))
+    rows = _running(rows, [F.col("ratio"), F.col("rank")], {"capped": F.col("top"), "weight": F.col("w"), "size": F.col("source_size")})
+    rows = written(rows.withColumn("level", (F.col("size_all") - F.col("capped_before")) / (F.col("weight_all") - F.col("weight_before"))), "levels")
+    # The first source that its cap doesn't hold gives the level of all after it.
+    first = rows.where(F.col("ratio") >= F.col("level")).agg(F.min(F.struct("ratio", "rank", "level"))["level"].alias("found"))
+    return rows.crossJoin(F.broadcast(first)).select("source", "source_size", F.coalesce(F.least("top", F.col("w") * F.col("found")), F.col("top"), F.lit(0.0)).alias("target"))
 
 
 def _same(a: DataFrame, b: DataFrame, how: str = "left") -> DataFrame:
@@ -61,7 +72,7 @@ def _plan(slim: DataFrame, weights: tuple[int, ...], cap: float, few: int = FEW)
     source and digit, combined before the shuffle), the digit in which the running sum passes the budget
     is chosen, and only its documents go on, until no source has more than `few`; after the key's digits
     come the id's, so a list is never longer. `cut` is the document at which the budget ends and what is left
-    for it, null where all fit. There is one row per source, and one task puts these in order.
+    for it, null where all fit.
     """
     sizes = written(slim.groupBy("source").agg(F.sum("size").alias("source_size")), "sizes")
     state = (

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 
 import pytest
@@ -69,6 +70,17 @@ def test_capped_sources_null_source_and_edge_rows(spark):
     assert got == {r.doc_id: round(r.taken / r.size + 1e-9) for r in rows if r.size and 2 * r.taken >= r.size}
 
 
+def test_targets_of_many_sources(spark):
+    rng = random.Random(3)
+    sizes = {f"s{rng.random()}": int(10 ** rng.uniform(0, 6)) for _ in range(400)} | {None: 77, "é": 5, "zero": 0, "tie1": 1000, "tie2": 1000, "tie3": 1000}
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    want = slow_targets(sizes)
+    got = {r.source: r.target for r in mixing.targets(df).collect()}
+    assert got.keys() == want.keys() and all(abs(got[s] - want[s]) <= 1e-6 * max(1, want[s]) for s in want)
+    alone = spark.createDataFrame([("a", 0)], "source string, source_size long")
+    assert mixing.targets(alone).first().target == 0 and mixing.targets(alone.limit(0)).count() == 0
+
+
 def test_heavier_documents_are_likelier(spark):
     df = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("word " * 3).alias("text"), (F.col("id") % 2).cast("string").alias("source"), (F.when(F.col("id") % 4 < 2, 5.0).otherwise(0.5)).alias("q"))
     rows = mixing.mix(df, weights=(1, 3), weight=F.col("q")).where("target < source_size").groupBy((F.col("doc_id") % 4 < 2).alias("heavy")).agg(F.avg((F.col("taken") > 0).cast("int")).alias("share"))
