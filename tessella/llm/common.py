@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.sources.store import new_path, written
+from tessella.sources.store import new_path, quoted, written
 
 __all__ = ["binary", "free_names", "join_hot", "new_path", "partitions", "quoted", "streamed_groups", "written"]
 
@@ -18,11 +18,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def quoted(name: str) -> str:
-    """A column's name as Spark reads it, whatever characters it has."""
-    return "`" + name.replace("`", "``") + "`"
-
-
 def free_names(df: DataFrame, n: int) -> list[str]:
     """Names that no column of `df` has, in any case."""
     taken, out, i = {c.lower() for c in df.columns}, [], 0

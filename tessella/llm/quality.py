@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import binary
+from tessella.llm.common import binary, quoted
 
 FEATURES = (
     "log_bytes", "log_words", "mean_word", "std_word", "log_longest_word", "upper", "lower", "digit", "space", "stop", "bang", "pipe", "symbol",
@@ -128,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .limit(sample)
         .select("id", "y")
     )
-    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
+    picked = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(text_col)).cast("string").alias("text")).join(F.broadcast(chosen), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,7 +145,7 @@ def score(docs: DataFrame, model: Trees, id_col: str = "doc_id", text_col: str =
     """(`id_col`, score, predicted) per row, with `keep_cols` in between. Null text counts as empty and is scored too."""
     kept = keep_cols or []
     names = [f"c{i}" for i in range(len(kept))]
-    shaped = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(n) for c, n in zip(kept, names, strict=True)])
+    shaped = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(text_col)).cast("string").alias("text"), *[F.col(quoted(c)).alias(n) for c, n in zip(kept, names, strict=True)])
     types = "".join(f", {n} {shaped.schema[n].dataType.simpleString()}" for n in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,12 +173,14 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, sample: int = 20_000) -> DataFrame:
-    """The rows of `docs`, all columns, that score `threshold` or more. The row itself is judged, so nothing is joined back."""
+    """The rows of `docs`, all columns, that score `threshold` or more. The row itself is judged, so nothing is joined back; columns of any name pass through."""
     model = train(docs, labels, id_col, text_col, sample=sample)
+    at = docs.columns.index(text_col)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([statistics(t) for t in binary(batch.column(text_col).cast(pa.string()))]).reshape(-1, len(FEATURES))
+            x = np.array([statistics(t) for t in binary(batch.column(at).cast(pa.string()))]).reshape(-1, len(FEATURES))
             yield batch.filter(pa.array(model.score(x) >= threshold))
 
-    return docs.mapInArrow(judge, docs.schema)
+    rows = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return rows.mapInArrow(judge, rows.schema).toDF(*docs.columns)
