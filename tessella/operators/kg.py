@@ -14,7 +14,7 @@ from tessella.functions.text import slug
 
 BASE = "http://example.org/"
 COLUMNS = ("s", "p", "o", "kind", "dtype")
-#: The predicates of role scores.
+#: The predicates of role scores, and the names of roles in texts.
 ROLE_PREDICATES = ("ex:probEmerging", "ex:probCollaborating", "ex:probSupervising", "ex:dominantRole")
 ROLE_LABELS = {"emerging": "Emerging Expert", "collaborating": "Collaborating Expert", "supervising": "Supervising Expert"}
 

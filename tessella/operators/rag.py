@@ -10,7 +10,10 @@ from tessella.operators import kg
 CAP = 10
 
 
-#: The lines of a context text and the names of roles in them (kg.ROLE_LABELS).
+#: Fixed value: the lines on a role in a context text.
+ROLE_LINES = "Expert Role: %s (confidence=%.3f)\nRole Scores: Emerging=%.3f | Collaborating=%.3f | Supervising=%.3f"
+
+
 def role_lines(prefix: str = "") -> Column:
     """Two lines on the role of columns prob_*, dominant_role; null without a role. Probabilities have 3 decimals."""
     role = F.col(f"{prefix}dominant_role")
@@ -19,7 +22,7 @@ def role_lines(prefix: str = "") -> Column:
         label = F.when(role == r, name).otherwise(label)
         own = F.when(role == r, F.col(f"{prefix}prob_{r}")).otherwise(own)
     probs = [F.col(f"{prefix}prob_{r}") for r in kg.ROLE_LABELS]
-    return F.format_string("Expert Role: %s (confidence=%.3f)\nRole Scores: Emerging=%.3f | Collaborating=%.3f | Supervising=%.3f", label, own, *probs)
+    return F.format_string(ROLE_LINES, label, own, *probs)
 
 
 def enrich(texts: DataFrame, roled: DataFrame, key: str = "author", text: str = "text") -> DataFrame:

@@ -5,8 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: The roles in order, the features that are z-scored, what stands for a feature that an author's regime
+#: lacks, and the weights of each role's score, where positions are reliable and where they aren't.
 ROLES = ("emerging", "collaborating", "supervising")
 FEATURES = ("pct_first", "pct_middle", "pct_last", "recency_ratio", "log_span", "log_pubs", "log_active", "productivity_slope")
+NEUTRAL = {0.0: ("pct_first", "pct_middle", "pct_last", "pct_sole", "pos_reliable", "kg_papers", "productivity_slope"), 0.5: ("avg_continuity", "avg_drift")}
+RELIABLE = {
+    "emerging": {"pct_first": 1, "recency_ratio": 1, "productivity_slope": 0.5, "log_span": -0.5, "log_pubs": -0.5, "pct_last": -0.5},
+    "collaborating": {"pct_middle": 1, "log_active": 0.5},
+    "supervising": {"pct_last": 1, "log_span": 1, "log_pubs": 0.5, "log_active": 0.5, "recency_ratio": -0.5, "productivity_slope": -0.5},
+}
+UNRELIABLE = {
+    "emerging": {"recency_ratio": 1, "log_span": -0.5, "log_pubs": -0.5},
+    "collaborating": {"log_active": 0.5},
+    "supervising": {"log_span": 1, "log_pubs": 0.5, "log_active": 0.5, "recency_ratio": -0.5},
+}
 
 
 def positions(authorship: DataFrame, reliable: int = 5) -> DataFrame:
@@ -37,8 +50,9 @@ def inputs(regime_map: DataFrame, pos: DataFrame, features_b: DataFrame, feature
         .join(features_b.select("author_id", "productivity_slope", "avg_continuity", "avg_drift"), "author_id", "left")
         .join(features_a.select("author_id", "expertise_entropy", "weighted_year", "n_active_topics"), "author_id", "left")
     )
-    zero = ("pct_first", "pct_middle", "pct_last", "pct_sole", "pos_reliable", "kg_papers", "productivity_slope")
-    return rows.na.fill(0.0, [*zero]).na.fill(0.5, ["avg_continuity", "avg_drift"])
+    for value, columns in NEUTRAL.items():
+        rows = rows.na.fill(value, [*columns])
+    return rows
 
 
 def logs(rows: DataFrame) -> DataFrame:
@@ -57,20 +71,10 @@ def zscores(rows: DataFrame, columns: tuple[str, ...] = FEATURES, digits: int =
 
 
 def scores(z: DataFrame) -> DataFrame:
-    """Adds score_<role>: with reliable positions the full formula, without them the fallback, blended by pos_reliable."""
-    first, middle, last, recency, span, pubs, active, slope = (F.col(f"z_{c}") for c in FEATURES)
-    full = {
-        "emerging": first + recency + 0.5 * slope - 0.5 * span - 0.5 * pubs - 0.5 * last,
-        "collaborating": middle + 0.5 * active,
-        "supervising": last + span + 0.5 * pubs + 0.5 * active - 0.5 * recency - 0.5 * slope,
-    }
-    fallback = {
-        "emerging": recency - 0.5 * span - 0.5 * pubs,
-        "collaborating": 0.5 * active,
-        "supervising": span + 0.5 * pubs + 0.5 * active - 0.5 * recency,
-    }
+    """Adds score_<role>: the weighted sums of both tables, blended by pos_reliable."""
+    total = lambda weights: sum((F.col(f"z_{c}") * w for c, w in weights.items()), F.lit(0.0))
     w = F.col("pos_reliable")
-    return z.withColumns({f"score_{r}": w * full[r] + (1 - w) * fallback[r] for r in ROLES})
+    return z.withColumns({f"score_{r}": w * total(RELIABLE[r]) + (1 - w) * total(UNRELIABLE[r]) for r in ROLES})
 
 
 def softmax(values: list[Column], temperature: float = 1.0) -> list[Column]:

@@ -63,22 +63,34 @@ def tensor_third_order(e):
     return e.tensor(3)
 
 
-@query("SELECT author_id, year, topic_id, topic_name, frequency, 1 AS \"binary\", round(CAST(frequency AS DOUBLE) / SUM(frequency) OVER (PARTITION BY author_id, year), 6) AS normalized FROM t2")
+@query(
+    """SELECT author_id, year, topic_id, topic_name, frequency, 1 AS \"binary\",
+    round(CAST(frequency AS DOUBLE) / SUM(frequency) OVER (PARTITION BY author_id, year), 6) AS normalized FROM t2"""
+)
 def tensor_normalized(e):
     return tensor.normalized(e.tensor(2))
 
 
-@query("SELECT COUNT(*) AS n_rows, COUNT(DISTINCT author_id) AS n_authors, COUNT(DISTINCT topic_id) AS n_topics, MIN(year) AS min_year, MAX(year) AS max_year, MAX(frequency) AS max_frequency FROM t2")
+@query(
+    """SELECT COUNT(*) AS n_rows, COUNT(DISTINCT author_id) AS n_authors, COUNT(DISTINCT topic_id) AS n_topics, MIN(year) AS min_year, MAX(year) AS max_year,
+    MAX(frequency) AS max_frequency FROM t2"""
+)
 def tensor_stats(e):
     return tensor.stats(e.tensor(2))
 
 
-@query("SELECT author_id, COUNT(*) AS n_rows, COUNT(DISTINCT topic_id) AS n_topics, CAST(SUM(frequency) AS BIGINT) AS total FROM t2 GROUP BY 1 ORDER BY n_rows DESC, author_id LIMIT 3")
+@query(
+    """SELECT author_id, COUNT(*) AS n_rows, COUNT(DISTINCT topic_id) AS n_topics, CAST(SUM(frequency) AS BIGINT) AS total FROM t2 GROUP BY 1
+    ORDER BY n_rows DESC, author_id LIMIT 3"""
+)
 def tensor_top_authors(e):
     return tensor.top_authors(e.tensor(2))
 
 
-@query("SELECT t.topic_id, COALESCE(m.topic_name, t.topic_id) AS topic_name, COUNT(*) AS n FROM t3 t LEFT JOIN (SELECT p_brand AS topic_id, MIN(p_type) AS topic_name FROM part WHERE p_brand < 'Brand#30' GROUP BY 1) m USING (topic_id) GROUP BY 1, 2")
+@query(
+    """SELECT t.topic_id, COALESCE(m.topic_name, t.topic_id) AS topic_name, COUNT(*) AS n FROM t3 t LEFT JOIN (SELECT p_brand AS topic_id,
+    MIN(p_type) AS topic_name FROM part WHERE p_brand < 'Brand#30' GROUP BY 1) m USING (topic_id) GROUP BY 1, 2"""
+)
 def topic_name_fallback(e):
     names = e.hierarchy().where("subtopic < 'Brand#30'").groupBy(F.col("subtopic").alias("topic")).agg(F.min("main_topic").alias("topic_name"))
     return tensor.tensor(e.papers(), e.links(), e.topics(3), names).groupBy("topic_id", "topic_name").agg(F.count("*").alias("n"))
@@ -91,7 +103,11 @@ def career_profile(e):
     return e.profiles()
 
 
-@query("SELECT author_id, COUNT(*) AS total_pubs, MIN(year) AS first_year, MAX(year) AS last_year, COUNT(DISTINCT year) AS active_years, MAX(year) - MIN(year) AS career_span FROM ay JOIN (SELECT author_id, MIN(year) AS f FROM ay GROUP BY 1) m USING (author_id) WHERE year <= f + 3 GROUP BY author_id")
+@query(
+    """SELECT author_id, COUNT(*) AS total_pubs, MIN(year) AS first_year, MAX(year) AS last_year, COUNT(DISTINCT year) AS active_years,
+    MAX(year) - MIN(year) AS career_span FROM ay JOIN (SELECT author_id, MIN(year) AS f FROM ay GROUP BY 1) m USING (author_id) WHERE year <= f + 3
+    GROUP BY author_id"""
+)
 def career_realism(e):
     return career.realistic(e.years(), max_span=3)
 
@@ -116,7 +132,10 @@ def slices_career(e):
     return e.cells().groupBy("author_id", "slice_id", "year_start", "year_end").agg(F.sum("frequency").alias("pub_count"))
 
 
-@query(f"SELECT author_id, name, total_pubs, total_cit, first_year, last_year, career_span, active_years, {r6('recency_ratio')}, tensor_total, year_coverage, regime FROM rmap")
+@query(
+    f"""SELECT author_id, name, total_pubs, total_cit, first_year, last_year, career_span, active_years, {r6('recency_ratio')}, tensor_total, year_coverage,
+    regime FROM rmap"""
+)
 def regime_partition(e):
     return e.regime_map()
 
@@ -139,7 +158,10 @@ def filter_cascade(e):
     return career.cascade(e.profiles())
 
 
-@query("SELECT regime, year_coverage, COUNT(*) AS n_authors, round(100.0 * COUNT(*) / SUM(COUNT(*)) OVER (PARTITION BY regime), 6) AS pct FROM rmap GROUP BY 1, 2")
+@query(
+    """SELECT regime, year_coverage, COUNT(*) AS n_authors, round(100.0 * COUNT(*) / SUM(COUNT(*)) OVER (PARTITION BY regime), 6) AS pct FROM rmap
+    GROUP BY 1, 2"""
+)
 def year_coverage(e):
     return career.coverage_by_regime(e.regime_map())
 
@@ -147,7 +169,10 @@ def year_coverage(e):
 _HALF = "CASE WHEN tensor_total = 0 THEN 'none' WHEN CAST(tensor_total AS DOUBLE) / total_pubs < 3 THEN 'partial' ELSE 'full' END"
 
 
-@query(f"SELECT author_id, name, total_pubs, tensor_total FROM (SELECT *, {_HALF} AS cov FROM rmap) x WHERE cov = 'partial' ORDER BY total_pubs DESC, author_id LIMIT 10")
+@query(
+    f"""SELECT author_id, name, total_pubs, tensor_total FROM (SELECT *, {_HALF} AS cov FROM rmap) x WHERE cov = 'partial' ORDER BY total_pubs DESC,
+    author_id LIMIT 10"""
+)
 def partial_coverage_topn(e):
     return career.partial_top(career.regimes(e.authors(), e.profiles(), e.tensor(), fx.END_YEAR, fx.WINDOW, partial_below=3))
 
@@ -155,11 +180,16 @@ def partial_coverage_topn(e):
 _S, _R, _A = "career_span", "recency_ratio", "avg_pubs_per_slice"
 
 
-@query(f"""SELECT median({_S}) AS median_span, round(avg({_S}), 6) AS mean_span, {o.pct(f'{_S} < 5')} AS pct_span_lt5, {o.pct(f'{_S} BETWEEN 5 AND 10')} AS pct_span_5_10, {o.pct(f'{_S} > 10 AND {_S} <= 20')} AS pct_span_11_20,
-    {o.pct(f'{_S} > 20')} AS pct_span_gt20, MIN(first_year) AS min_first, MAX(first_year) AS max_first, median(first_year) AS median_first, {o.pct('first_year >= 2000')} AS pct_first_2000, {o.pct('first_year >= 2010')} AS pct_first_2010,
-    MIN(last_year) AS min_last, MAX(last_year) AS max_last, median(last_year) AS median_last, {o.pct('last_year < 1991')} AS pct_inactive, {o.pct('last_year >= 1998')} AS pct_active,
-    round(median({_R}), 6) AS median_recency, round(avg({_R}), 6) AS mean_recency, {o.pct(f'{_R} < 0.1')} AS pct_recency_low, {o.pct(f'{_R} BETWEEN 0.1 AND 0.5')} AS pct_recency_mid, {o.pct(f'{_R} > 0.5')} AS pct_recency_high,
-    round(median({_A}), 6) AS median_per_slice, round(avg({_A}), 6) AS mean_per_slice, {o.pct(f'{_A} < 2')} AS pct_slice_lt2, {o.pct(f'{_A} BETWEEN 2 AND 5')} AS pct_slice_2_5, {o.pct(f'{_A} > 5')} AS pct_slice_gt5
+@query(f"""SELECT median({_S}) AS median_span, round(avg({_S}), 6) AS mean_span, {o.pct(f'{_S} < 5')} AS pct_span_lt5,
+    {o.pct(f'{_S} BETWEEN 5 AND 10')} AS pct_span_5_10, {o.pct(f'{_S} > 10 AND {_S} <= 20')} AS pct_span_11_20,
+    {o.pct(f'{_S} > 20')} AS pct_span_gt20, MIN(first_year) AS min_first, MAX(first_year) AS max_first, median(first_year) AS median_first,
+    {o.pct('first_year >= 2000')} AS pct_first_2000, {o.pct('first_year >= 2010')} AS pct_first_2010,
+    MIN(last_year) AS min_last, MAX(last_year) AS max_last, median(last_year) AS median_last, {o.pct('last_year < 1991')} AS pct_inactive,
+    {o.pct('last_year >= 1998')} AS pct_active,
+    round(median({_R}), 6) AS median_recency, round(avg({_R}), 6) AS mean_recency, {o.pct(f'{_R} < 0.1')} AS pct_recency_low,
+    {o.pct(f'{_R} BETWEEN 0.1 AND 0.5')} AS pct_recency_mid, {o.pct(f'{_R} > 0.5')} AS pct_recency_high,
+    round(median({_A}), 6) AS median_per_slice, round(avg({_A}), 6) AS mean_per_slice, {o.pct(f'{_A} < 2')} AS pct_slice_lt2,
+    {o.pct(f'{_A} BETWEEN 2 AND 5')} AS pct_slice_2_5, {o.pct(f'{_A} > 5')} AS pct_slice_gt5
     FROM prof JOIN ratio USING (author_id) JOIN cal USING (author_id)""")
 def career_distribution(e):
     return career.distribution(e.profiles(), e.ratios(), career.calendar_slices(e.years()), fx.END_YEAR)
@@ -174,7 +204,8 @@ def slice_stability(e):
 _EM = "(first_year >= 1999 OR recency_ratio > 0.7)"
 
 
-@query(f"""SELECT COUNT(*) AS n_authors, {o.n(_EM)} AS n_emerging, {o.pct(_EM)} AS pct_emerging, median(CASE WHEN {_EM} THEN career_span END) AS median_span, round(median(CASE WHEN {_EM} THEN recency_ratio END), 6) AS median_recency
+@query(f"""SELECT COUNT(*) AS n_authors, {o.n(_EM)} AS n_emerging, {o.pct(_EM)} AS pct_emerging,
+    median(CASE WHEN {_EM} THEN career_span END) AS median_span, round(median(CASE WHEN {_EM} THEN recency_ratio END), 6) AS median_recency
     FROM prof JOIN ratio USING (author_id)""")
 def emerging_candidates(e):
     return career.emerging(e.profiles(), e.ratios(), fx.END_YEAR, fx.WINDOW)
@@ -210,7 +241,10 @@ def anti_join_regime(e):
     return e.authors().join(e.regime_map().where("regime = 'B'").select("author_id"), "author_id", "left_anti").select("author_id", "name")
 
 
-@query("SELECT author_id, a, b FROM (SELECT author_id, 1 AS a FROM rmap WHERE regime = 'B') x FULL JOIN (SELECT DISTINCT author_id, 1 AS b FROM fx_authorship WHERE n_authors >= 8) y USING (author_id)")
+@query(
+    """SELECT author_id, a, b FROM (SELECT author_id, 1 AS a FROM rmap WHERE regime = 'B') x FULL JOIN (SELECT DISTINCT author_id, 1 AS b FROM fx_authorship
+    WHERE n_authors >= 8) y USING (author_id)"""
+)
 def id_overlap(e):
     """Ids of two sources: which are in both, which in one."""
     a = e.regime_map().where("regime = 'B'").select("author_id", F.lit(1).alias("a"))
@@ -220,7 +254,10 @@ def id_overlap(e):
 
 # Trajectories
 
-@query("SELECT author_id, slice_id, year_start, year_end, topic_name, round(CAST(frequency AS DOUBLE) / SUM(frequency) OVER (PARTITION BY author_id, slice_id), 6) AS weight FROM cells")
+@query(
+    """SELECT author_id, slice_id, year_start, year_end, topic_name, round(CAST(frequency AS DOUBLE) / SUM(frequency) OVER (PARTITION BY author_id,
+    slice_id), 6) AS weight FROM cells"""
+)
 def slice_vectors(e):
     return trajectory.weights(e.cells()).drop("frequency")
 
@@ -250,8 +287,10 @@ def regime_b_features(e):
     return e.features_b()
 
 
-@query(f"""SELECT COUNT(*) AS n_authors, round(avg(avg_continuity), 6) AS mean_continuity, round(avg(avg_drift), 6) AS mean_drift, round(avg(productivity_slope), 6) AS mean_slope, round(avg(topic_breadth), 6) AS mean_breadth,
-    {o.pct('avg_continuity >= 0.8')} AS pct_stable, {o.pct('avg_continuity >= 0.5 AND avg_continuity < 0.8')} AS pct_moderate, {o.pct('avg_continuity < 0.5')} AS pct_shifting, {o.pct('productivity_slope > 0')} AS pct_growing FROM feat_b""")
+@query(f"""SELECT COUNT(*) AS n_authors, round(avg(avg_continuity), 6) AS mean_continuity, round(avg(avg_drift), 6) AS mean_drift,
+    round(avg(productivity_slope), 6) AS mean_slope, round(avg(topic_breadth), 6) AS mean_breadth,
+    {o.pct('avg_continuity >= 0.8')} AS pct_stable, {o.pct('avg_continuity >= 0.5 AND avg_continuity < 0.8')} AS pct_moderate,
+    {o.pct('avg_continuity < 0.5')} AS pct_shifting, {o.pct('productivity_slope > 0')} AS pct_growing FROM feat_b""")
 def continuity_bands(e):
     return trajectory.continuity_bands(e.features_b())
 
@@ -334,7 +373,10 @@ def role_probabilities(e):
     return e.roled().select("author_id", "regime", *[f"prob_{r}" for r in roles.ROLES], "dominant_role", "role_confidence")
 
 
-@query("SELECT dominant_role, COUNT(*) AS n_authors, round(100.0 * COUNT(*) / (SELECT COUNT(*) FROM roled), 6) AS pct, round(avg(role_confidence), 6) AS avg_confidence FROM roled GROUP BY 1")
+@query(
+    """SELECT dominant_role, COUNT(*) AS n_authors, round(100.0 * COUNT(*) / (SELECT COUNT(*) FROM roled), 6) AS pct, round(avg(role_confidence),
+    6) AS avg_confidence FROM roled GROUP BY 1"""
+)
 def role_summary(e):
     return roles.summary(e.roled())
 
@@ -374,7 +416,10 @@ def kg_pivot_author_metrics(e):
     return kg.values(e.graph(), _PIVOT)
 
 
-@query("SELECT c_custkey, s FROM (SELECT c_custkey, 'http://example.org/author/' || CAST(c_custkey * 2 AS VARCHAR) AS s FROM customer) c WHERE s IN (SELECT s FROM g WHERE p = 'rdf:type' AND o = 'ex:Author')")
+@query(
+    """SELECT c_custkey, s FROM (SELECT c_custkey, 'http://example.org/author/' || CAST(c_custkey * 2 AS VARCHAR) AS s FROM customer) c WHERE s IN (SELECT s
+    FROM g WHERE p = 'rdf:type' AND o = 'ex:Author')"""
+)
 def kg_exists_semi(e):
     asked = e.table("customer").select("c_custkey", kg.uri("author", F.col("c_custkey") * 2).alias("s"))
     return kg.exists(asked, "s", e.graph(), "rdf:type", "ex:Author").select("c_custkey", "s")
@@ -388,12 +433,19 @@ def kg_upsert_roles(e):
     return twice.where(F.col("p").isin(*kg.ROLE_PREDICATES)).select("s", "p", "o")
 
 
-@query("SELECT 'http://example.org/author/' || author_id AS s, prob_emerging, prob_collaborating, prob_supervising, dominant_role FROM roled WHERE author_id IN (SELECT author_id FROM cands)")
+@query(
+    """SELECT 'http://example.org/author/' || author_id AS s, prob_emerging, prob_collaborating, prob_supervising, dominant_role FROM roled
+    WHERE author_id IN (SELECT author_id FROM cands)"""
+)
 def kg_star_roles(e):
     return kg.roles(e.graph(True), e.candidates().select(kg.uri("author", F.col("author_id")).alias("s")))
 
 
-@query("SELECT tp.title AS paper_title, ta_.title AS author_name, a.pos, CAST(a.n_authors AS INTEGER) AS n_authors FROM fx_authorship a JOIN titles tp ON tp.s = 'http://example.org/paper/' || a.paper_id JOIN titles ta_ ON ta_.s = 'http://example.org/author/' || a.author_id ORDER BY 1, 3, 2 LIMIT 15")
+@query(
+    """SELECT tp.title AS paper_title, ta_.title AS author_name, a.pos, CAST(a.n_authors AS INTEGER) AS n_authors FROM fx_authorship a
+    JOIN titles tp ON tp.s = 'http://example.org/paper/' || a.paper_id JOIN titles ta_ ON ta_.s = 'http://example.org/author/' || a.author_id ORDER BY 1,
+    3, 2 LIMIT 15"""
+)
 def kg_authorship_topn(e):
     return kg.authorship_listing(e.graph())
 
@@ -422,13 +474,20 @@ def career_first_last(e):
     return kg.career_window(e.graph())
 
 
-@query("SELECT input, s FROM (SELECT upper(repeat(' ', 2) || c_name || ' ') AS input FROM customer UNION ALL SELECT n_name FROM nation) w JOIN (SELECT DISTINCT s, lower(trim(o)) AS t FROM g WHERE p = 'dcterms:title') t ON t.t = lower(trim(w.input)) UNION ALL SELECT 'http://example.org/author/x', 'http://example.org/author/x'")
+@query(
+    """SELECT input, s FROM (SELECT upper(repeat(' ', 2) || c_name || ' ') AS input FROM customer UNION ALL SELECT n_name FROM nation) w
+    JOIN (SELECT DISTINCT s, lower(trim(o)) AS t FROM g WHERE p = 'dcterms:title') t ON t.t = lower(trim(w.input)) UNION ALL
+    SELECT 'http://example.org/author/x', 'http://example.org/author/x'"""
+)
 def entity_lookup(e):
     asked = e.table("customer").select(F.upper(F.concat(F.lit("  "), "c_name", F.lit(" "))).alias("input")).unionByName(e.table("nation").select(F.col("n_name").alias("input")))
     return kg.lookup(e.graph(), asked.unionByName(e.spark.createDataFrame([("http://example.org/author/x",)], "input string")))
 
 
-@query("SELECT c_custkey, substr(CASE WHEN x = '' THEN substr(sha1(c_name), 1, 8) ELSE x END, 1, 80) AS slug FROM (SELECT c_custkey, c_name, regexp_replace(regexp_replace(c_name, '[^0-9A-Za-z]+', '_', 'g'), '^_+|_+$', '', 'g') AS x FROM customer) y")
+@query(
+    """SELECT c_custkey, substr(CASE WHEN x = '' THEN substr(sha1(c_name), 1, 8) ELSE x END, 1, 80) AS slug FROM (SELECT c_custkey, c_name,
+    regexp_replace(regexp_replace(c_name, '[^0-9A-Za-z]+', '_', 'g'), '^_+|_+$', '', 'g') AS x FROM customer) y"""
+)
 def slugify_names(e):
     return e.table("customer").select("c_custkey", T.slug(F.col("c_name")).alias("slug"))
 
@@ -438,17 +497,26 @@ def author_orgs(e):
     return kg.organizations(e.graph())
 
 
-@query("SELECT DISTINCT 'http://example.org/author/' || a.author_id AS author, 'http://example.org/topic/' || t.topic AS subtopic FROM fx_authorship a JOIN fx_t3 t USING (paper_id)")
+@query(
+    """SELECT DISTINCT 'http://example.org/author/' || a.author_id AS author, 'http://example.org/topic/' || t.topic AS subtopic FROM fx_authorship a
+    JOIN fx_t3 t USING (paper_id)"""
+)
 def author_subtopics(e):
     return kg.subtopics(e.graph(share=("links", "topics")))
 
 
-@query("SELECT DISTINCT 'http://example.org/author/' || x.author_id AS author, 'http://example.org/topic/' || p.main_topic AS main_topic FROM (SELECT DISTINCT a.author_id, t.topic FROM fx_authorship a JOIN fx_t3 t USING (paper_id)) x JOIN fx_parent p ON p.subtopic = x.topic")
+@query(
+    """SELECT DISTINCT 'http://example.org/author/' || x.author_id AS author, 'http://example.org/topic/' || p.main_topic AS main_topic
+    FROM (SELECT DISTINCT a.author_id, t.topic FROM fx_authorship a JOIN fx_t3 t USING (paper_id)) x JOIN fx_parent p ON p.subtopic = x.topic"""
+)
 def author_main_topics(e):
     return kg.main_topics(e.graph(share=("links", "topics")))
 
 
-@query("SELECT a.author_id AS author, b.author_id AS coauthor, COUNT(*) AS n_shared FROM fx_authorship a JOIN fx_authorship b ON b.paper_id = a.paper_id AND b.author_id <> a.author_id GROUP BY 1, 2 HAVING COUNT(*) >= 2")
+@query(
+    """SELECT a.author_id AS author, b.author_id AS coauthor, COUNT(*) AS n_shared FROM fx_authorship a JOIN fx_authorship b ON b.paper_id = a.paper_id
+    AND b.author_id <> a.author_id GROUP BY 1, 2 HAVING COUNT(*) >= 2"""
+)
 def coauthor_counts(e):
     return kg.coauthors(e.links().select(F.col("paper_id").alias("paper"), F.col("author_id").alias("author")))
 
@@ -458,7 +526,10 @@ def rag_text(e):
     return e.contexts()
 
 
-@query(f"SELECT 'http://example.org/author/' || a.author_id AS author, concat_ws(chr(10), 'Author: ' || a.name, r.v) AS text FROM fx_author a LEFT JOIN (SELECT author_id, {o.ROLE}{o.SCORES} AS v FROM roled) r USING (author_id)")
+@query(
+    f"""SELECT 'http://example.org/author/' || a.author_id AS author, concat_ws(chr(10), 'Author: ' || a.name, r.v) AS text FROM fx_author a LEFT
+    JOIN (SELECT author_id, {o.ROLE}{o.SCORES} AS v FROM roled) r USING (author_id)"""
+)
 def rag_enrich_role(e):
     plain = e.authors().select(kg.uri("author", F.col("author_id")).alias("author"), F.concat(F.lit("Author: "), "name").alias("text"))
     return rag.enrich(plain, e.roled().withColumn("s", kg.uri("author", F.col("author_id"))))
@@ -470,8 +541,10 @@ def kg_ntriples_roundtrip(e):
     return rdf.parse_ntriples(rdf.ntriples(e.graph())).select("s", "p", "o")
 
 
-@query("""SELECT i.pos, i.id, COALESCE(t.text, '') AS text FROM (SELECT CAST(pos AS BIGINT) AS pos, CAST(author_id AS VARCHAR) AS id FROM cands UNION ALL SELECT 1000000 + pos, 'http://example.org/author/' || author_id FROM cands WHERE pos < 3
-    UNION ALL SELECT -1, 'nobody') i LEFT JOIN ragt t ON t.author = CASE WHEN regexp_matches(i.id, '^[0-9]+$') THEN 'http://example.org/author/' || i.id ELSE i.id END""")
+@query("""SELECT i.pos, i.id, COALESCE(t.text, '') AS text FROM (SELECT CAST(pos AS BIGINT) AS pos, CAST(author_id AS VARCHAR) AS id FROM cands
+    UNION ALL SELECT 1000000 + pos, 'http://example.org/author/' || author_id FROM cands WHERE pos < 3
+    UNION ALL SELECT -1, 'nobody') i LEFT JOIN ragt t ON t.author = CASE WHEN regexp_matches(i.id,
+    '^[0-9]+$') THEN 'http://example.org/author/' || i.id ELSE i.id END""")
 def rag_texts_in_order(e):
     """The context of each id asked for: numbers and URIs, some of them twice, and one that the graph doesn't have."""
     ids = e.candidates().select(F.col("pos").cast("long").alias("pos"), F.col("author_id").cast("string").alias("id"))
@@ -481,7 +554,10 @@ def rag_texts_in_order(e):
 
 # Parsing and text
 
-@query("SELECT paper_id, pos, CAST(n_authors AS INTEGER) AS n_authors, CAST(author_id AS VARCHAR) AS author_id, CAST(NULL AS VARCHAR) AS name FROM fx_authorship")
+@query(
+    """SELECT paper_id, pos, CAST(n_authors AS INTEGER) AS n_authors, CAST(author_id AS VARCHAR) AS author_id, CAST(NULL AS VARCHAR) AS name
+    FROM fx_authorship"""
+)
 def parse_pyliteral(e):
     """Author lists as Python literals, one row per author: a list per paper, made from the authorship."""
     entry = F.concat(F.lit("{'id': '"), F.col("author_id").cast("string"), F.lit("', 'name': None}"))
@@ -540,12 +616,18 @@ def normalize_text(e):
     return e.table("documents").select("doc_id", T.normalize(F.col("text")).alias("text"))
 
 
-@query(f"SELECT doc_id, COALESCE(array_to_string(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '' AND lower(w) NOT IN ({_STOP})), ' '), '') AS text FROM documents")
+@query(
+    f"""SELECT doc_id, COALESCE(array_to_string(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '' AND lower(w) NOT IN ({_STOP})), ' '),
+    '') AS text FROM documents"""
+)
 def remove_stopwords(e):
     return e.table("documents").select("doc_id", T.without_stopwords(F.col("text")).alias("text"))
 
 
-@query("SELECT doc_id, CAST(len(l) AS INTEGER) AS n_sentences, l[1] AS first, l[-1] AS last FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\\s+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS l FROM documents) x")
+@query(
+    """SELECT doc_id, CAST(len(l) AS INTEGER) AS n_sentences, l[1] AS first, l[-1] AS last FROM (SELECT doc_id, string_split(regexp_replace(text,
+    '([.!?])\\s+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS l FROM documents) x"""
+)
 def sentence_split(e):
     s = T.sentences(F.col("text"))
     return e.table("documents").select("doc_id", F.size(s).alias("n_sentences"), F.element_at(s, 1).alias("first"), F.element_at(s, -1).alias("last"))
@@ -560,17 +642,26 @@ def extract_score(e):
     return e.table("documents").select("doc_id", T.number_0_100(F.col("text")).alias("score"))
 
 
-@query("SELECT p_partkey, CASE WHEN hi - lo < 1e-8 THEN 0.0 ELSE round((p_retailprice - lo) / (hi - lo + 1e-8), 6) END AS scaled FROM part CROSS JOIN (SELECT MIN(p_retailprice) AS lo, MAX(p_retailprice) AS hi FROM part) x")
+@query(
+    """SELECT p_partkey, CASE WHEN hi - lo < 1e-8 THEN 0.0 ELSE round((p_retailprice - lo) / (hi - lo + 1e-8), 6) END AS scaled FROM part CROSS
+    JOIN (SELECT MIN(p_retailprice) AS lo, MAX(p_retailprice) AS hi FROM part) x"""
+)
 def minmax_scale(e):
     return V.minmax(e.table("part").select("p_partkey", "p_retailprice"), {"p_retailprice": "scaled"}).drop("p_retailprice")
 
 
-@query("SELECT source, CAST(i - 1 AS INTEGER) AS i, round(avg(CAST(x AS DOUBLE)), 6) AS x FROM (SELECT d.source, unnest(e.embedding) AS x, generate_subscripts(e.embedding, 1) AS i FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id) y GROUP BY 1, 2")
+@query(
+    """SELECT source, CAST(i - 1 AS INTEGER) AS i, round(avg(CAST(x AS DOUBLE)), 6) AS x FROM (SELECT d.source, unnest(e.embedding) AS x,
+    generate_subscripts(e.embedding, 1) AS i FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id) y GROUP BY 1, 2"""
+)
 def embedding_centroid(e):
     return e.centroids().select("source", F.posexplode("centroid").alias("i", "x"))
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 3 < 2 THEN regexp_replace(props, ': ([0-9]+)', ':"\\1"', 'g') END AS parsed, CASE WHEN event_id % 3 = 2 THEN 'Sorry: ' || props END AS raw FROM events""")
+@query(
+    """SELECT event_id, CASE WHEN event_id % 3 < 2 THEN regexp_replace(props, ': ([0-9]+)', ':"\\1"', 'g') END AS parsed,
+    CASE WHEN event_id % 3 = 2 THEN 'Sorry: ' || props END AS raw FROM events"""
+)
 def json_fallback(e):
     """Answers as a model may give them: bare JSON, fenced JSON, and text that is none."""
     props = F.col("props")
@@ -579,8 +670,10 @@ def json_fallback(e):
     return e.table("events").select("event_id", F.to_json(parsed).alias("parsed"), raw.alias("raw"))
 
 
-@query("""SELECT source, CAST(i - 1 AS INTEGER) AS i, round((MAX(CASE WHEN k = 1 THEN CAST(x AS DOUBLE) END) + COALESCE(AVG(CASE WHEN k > 1 THEN CAST(x AS DOUBLE) END), 0.0)) / 2, 6) AS x FROM (
-    SELECT source, k, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM (SELECT d.source, e.embedding, ROW_NUMBER() OVER (PARTITION BY d.source ORDER BY d.doc_id) AS k FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id) y) z GROUP BY 1, 2""")
+@query("""SELECT source, CAST(i - 1 AS INTEGER) AS i,
+    round((MAX(CASE WHEN k = 1 THEN CAST(x AS DOUBLE) END) + COALESCE(AVG(CASE WHEN k > 1 THEN CAST(x AS DOUBLE) END), 0.0)) / 2, 6) AS x FROM (
+    SELECT source, k, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM (SELECT d.source, e.embedding,
+    ROW_NUMBER() OVER (PARTITION BY d.source ORDER BY d.doc_id) AS k FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id) y) z GROUP BY 1, 2""")
 def embedding_with_title(e):
     """A source's first document stands for a title, its others for the sentences of an abstract."""
     rows = e.table("documents").select("doc_id", "source").join(e.table("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
@@ -613,9 +706,11 @@ def hybrid_retrieval(e):
 
 
 @query(f"""SELECT doc_id, round(SUM(w * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM (
-    SELECT t.doc_id, t.term, t.tf, t.dl, q.w, COUNT(*) OVER (PARTITION BY t.term) AS df FROM (SELECT doc_id, term, len(l) AS dl, COUNT(*) AS tf FROM (SELECT doc_id, l, unnest(l) AS term FROM (SELECT doc_id, {o.toks('text')} AS l FROM documents) a) b GROUP BY ALL) t
+    SELECT t.doc_id, t.term, t.tf, t.dl, q.w, COUNT(*) OVER (PARTITION BY t.term) AS df FROM (SELECT doc_id, term, len(l) AS dl, COUNT(*) AS tf
+    FROM (SELECT doc_id, l, unnest(l) AS term FROM (SELECT doc_id, {o.toks('text')} AS l FROM documents) a) b GROUP BY ALL) t
     JOIN (SELECT term, COUNT(*) AS w FROM (SELECT unnest({o.toks(o.KW)}) AS term) c GROUP BY 1) q USING (term)) x
-    CROSS JOIN (SELECT COUNT(*) AS n, avg(len({o.toks('text')})) AS avgdl FROM documents) s GROUP BY doc_id ORDER BY round(SUM(w * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) DESC, doc_id LIMIT 25""")
+    CROSS JOIN (SELECT COUNT(*) AS n, avg(len({o.toks('text')})) AS avgdl FROM documents) s GROUP BY doc_id
+    ORDER BY round(SUM(w * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) DESC, doc_id LIMIT 25""")
 def bm25_topk(e):
     return retrieval.bm25(e.table("documents"), _KW)
 
@@ -625,8 +720,10 @@ def rank_documents(e):
     return retrieval.rank_documents(e.table("documents").select("doc_id", F.col("n_chars").alias("n_citation")))
 
 
-@query(f"""SELECT title, MIN(doc_id) AS doc_id, concat_ws(',', CASE WHEN MAX(CASE WHEN b = 0 THEN 1 END) = 1 THEN 'cosine' END, CASE WHEN MAX(CASE WHEN b = 1 THEN 1 END) = 1 THEN 'llm' END) AS selected_by FROM (
-    SELECT md5(text) AS title, doc_id, 0 AS b FROM cand UNION ALL SELECT md5(text), doc_id, 1 FROM documents WHERE {o.jac(o.KW, 'text')} > 0.1) x GROUP BY title""")
+@query(f"""SELECT title, MIN(doc_id) AS doc_id, concat_ws(',', CASE WHEN MAX(CASE WHEN b = 0 THEN 1 END) = 1 THEN 'cosine' END,
+    CASE WHEN MAX(CASE WHEN b = 1 THEN 1 END) = 1 THEN 'llm' END) AS selected_by FROM (
+    SELECT md5(text) AS title, doc_id, 0 AS b FROM cand UNION ALL SELECT md5(text), doc_id, 1 FROM documents WHERE {o.jac(o.KW, 'text')} > 0.1) x
+    GROUP BY title""")
 def union_provenance(e):
     """The fixture's title is a digest of the whole text, so only equal texts are one document."""
     titled = lambda docs: docs.select("doc_id", F.md5("text").alias("title"))
@@ -634,7 +731,10 @@ def union_provenance(e):
     return retrieval.union_by_title(first, titled(e.texts().where(T.jaccard(F.lit(_KW), F.col("text")) > 0.1)))
 
 
-@query("SELECT author_id, CAST(ROW_NUMBER() OVER (ORDER BY f, author_id) - 1 AS INTEGER) AS pos FROM (SELECT a.author_id, MIN(r.rank * 1000 + a.pos) AS f FROM rpapers r JOIN fx_authorship a USING (paper_id) GROUP BY 1) x")
+@query(
+    """SELECT author_id, CAST(ROW_NUMBER() OVER (ORDER BY f, author_id) - 1 AS INTEGER) AS pos FROM (SELECT a.author_id, MIN(r.rank * 1000 + a.pos) AS f
+    FROM rpapers r JOIN fx_authorship a USING (paper_id) GROUP BY 1) x"""
+)
 def dedupe_keep_first(e):
     listed = e.authorship().join(F.broadcast(e.ranked_papers()), "paper_id").select("author_id", (F.col("rank") * 1000 + F.col("pos")).alias("at"))
     return retrieval.keep_first(listed, "author_id", "at")
@@ -650,7 +750,10 @@ def matched_papers(e):
     return retrieval.matched_papers(e.ranked_papers(), e.authorship())
 
 
-@query("SELECT author_id, round(n_citation, 6) AS n_citation, CAST(ROW_NUMBER() OVER (ORDER BY n_citation DESC, author_id) AS INTEGER) AS rank FROM fx_author WHERE tag IS NOT NULL AND author_id IN (SELECT author_id FROM cands)")
+@query(
+    """SELECT author_id, round(n_citation, 6) AS n_citation, CAST(ROW_NUMBER() OVER (ORDER BY n_citation DESC, author_id) AS INTEGER) AS rank FROM fx_author
+    WHERE tag IS NOT NULL AND author_id IN (SELECT author_id FROM cands)"""
+)
 def rank_citations(e):
     return retrieval.rank_by_citations(e.candidates(), e.authors())
 
@@ -677,7 +780,10 @@ def equal_quota(e):
     return diversity.equal_quota(e.explained_pool())
 
 
-@query("SELECT round(COALESCE(SUM(-p * ln(p)) / ln(3), 0.0), 4) AS role_diversity FROM (SELECT CAST(COUNT(*) AS DOUBLE) / SUM(COUNT(*)) OVER () AS p FROM ranking JOIN roled USING (author_id) WHERE rank <= 10 GROUP BY dominant_role) x")
+@query(
+    """SELECT round(COALESCE(SUM(-p * ln(p)) / ln(3), 0.0), 4) AS role_diversity FROM (SELECT CAST(COUNT(*) AS DOUBLE) / SUM(COUNT(*)) OVER () AS p
+    FROM ranking JOIN roled USING (author_id) WHERE rank <= 10 GROUP BY dominant_role) x"""
+)
 def role_diversity(e):
     return diversity.role_diversity(e.ranking(), e.roled())
 
@@ -718,14 +824,21 @@ def eval_recall(e):
     return evaluate.recall(_rel(e), e.truth())
 
 
-@query("SELECT (SELECT round(avg(value), 6) FROM ap) AS map_10, (SELECT round(avg(value), 6) FROM rr) AS mrr_10, (SELECT round(avg(value), 6) FROM p5) AS mp_5, (SELECT round(avg(value), 6) FROM p10) AS mp_10, (SELECT round(avg(value), 6) FROM nd5) AS ndcg_5, (SELECT round(avg(value), 6) FROM nd10) AS ndcg_10")
+@query(
+    """SELECT (SELECT round(avg(value), 6) FROM ap) AS map_10, (SELECT round(avg(value), 6) FROM rr) AS mrr_10, (SELECT round(avg(value), 6)
+    FROM p5) AS mp_5, (SELECT round(avg(value), 6) FROM p10) AS mp_10, (SELECT round(avg(value), 6) FROM nd5) AS ndcg_5, (SELECT round(avg(value), 6)
+    FROM nd10) AS ndcg_10"""
+)
 def eval_summary(e):
     return evaluate.summary(e.predicted(), e.truth())
 
 
 # Models, by their lexical stand-ins
 
-@query(f"SELECT doc_id, round({o.jac(o.KW, 'text')}, 6) AS score FROM (SELECT h.doc_id, d.text FROM hyb h JOIN fx_doc d USING (doc_id)) x ORDER BY round({o.jac(o.KW, 'text')}, 9) DESC, doc_id LIMIT 15")
+@query(
+    f"""SELECT doc_id, round({o.jac(o.KW, 'text')}, 6) AS score FROM (SELECT h.doc_id, d.text FROM hyb h JOIN fx_doc d USING (doc_id)) x
+    ORDER BY round({o.jac(o.KW, 'text')}, 9) DESC, doc_id LIMIT 15"""
+)
 def rerank_documents(e):
     return scorers.rerank(e.docs().join(F.broadcast(e.retrieved().select("doc_id")), "doc_id", "left_semi"), _KW, 15)
 
@@ -781,7 +894,10 @@ def author_pairwise(e):
     return scorers.ordered(e.first_contexts(), _EXPERTISE, ["rank"], key="author")
 
 
-@query("SELECT 'http://example.org/author/' || r.author_id AS author, r.rank FROM ranking r WHERE r.rank <= 25 AND r.author_id IN (SELECT author_id FROM fx_authorship JOIN fx_t3 USING (paper_id) WHERE topic = 'Brand#13')")
+@query(
+    """SELECT 'http://example.org/author/' || r.author_id AS author, r.rank FROM ranking r WHERE r.rank <= 25 AND r.author_id IN (SELECT author_id
+    FROM fx_authorship JOIN fx_t3 USING (paper_id) WHERE topic = 'Brand#13')"""
+)
 def author_validation(e):
     """Authors whom the stand-in, which looks for the query's words among papers and topics, takes for experts."""
     first = e.first_contexts().select("author", "rank")
@@ -792,9 +908,11 @@ def author_validation(e):
 _CAREER = "'Career span: ' || f.career_span || ' years, role: ' || f.dominant_role || ', recency: ' || printf('%.3f', m2.recency_ratio + 1e-9)"
 
 
-@query(f"""SELECT r.author_id, r.rank, m.n_matched, '{{"relevance":"Topic: {_KW}","evidence":"' || {o.SCORES} || '"}}' AS relevance, CAST(NULL AS VARCHAR) AS relevance_raw,
+@query(f"""SELECT r.author_id, r.rank, m.n_matched, '{{"relevance":"Topic: {_KW}","evidence":"' || {o.SCORES} || '"}}' AS relevance,
+    CAST(NULL AS VARCHAR) AS relevance_raw,
     '{{"role":"' || {_CAREER} || '","reason":"' || {o.SCORES} || '"}}' AS career, CAST(NULL AS VARCHAR) AS career_raw
-    FROM ranking r JOIN roled f USING (author_id) JOIN rmap m2 USING (author_id) JOIN (SELECT a.author_id, COUNT(*) AS n_matched FROM rpapers p JOIN fx_authorship a USING (paper_id) GROUP BY 1) m USING (author_id) WHERE r.rank <= 3""")
+    FROM ranking r JOIN roled f USING (author_id) JOIN rmap m2 USING (author_id) JOIN (SELECT a.author_id, COUNT(*) AS n_matched FROM rpapers p
+    JOIN fx_authorship a USING (paper_id) GROUP BY 1) m USING (author_id) WHERE r.rank <= 3""")
 def explain_authors(e):
     found = explained_authors(e)
     return found.withColumns({c: F.to_json(c) for c in ("relevance", "career")})
@@ -803,11 +921,18 @@ def explain_authors(e):
 _URI = "'http://example.org/{}/' || "
 
 
-@query(f"""SELECT {_URI.format('author')} a.author_id AS author, a.name, CAST(1 AS INTEGER) AS n_orgs, {_URI.format('org')} a.org AS org, p.n_papers, p.first_paper, t.n_subtopics, t.n_main_topics, c.n_coauthors, c.coauthor, c.shared, r.dominant_role AS role FROM fx_author a
-    LEFT JOIN (SELECT author_id, CAST(COUNT(*) AS INTEGER) AS n_papers, MIN({_URI.format('paper')} paper_id) AS first_paper FROM fx_authorship GROUP BY 1) p USING (author_id)
-    LEFT JOIN (SELECT author_id, CAST(COUNT(DISTINCT topic) AS INTEGER) AS n_subtopics, CAST(COUNT(DISTINCT main_topic) AS INTEGER) AS n_main_topics FROM (SELECT DISTINCT author_id, topic FROM fx_authorship JOIN fx_t3 USING (paper_id)) x JOIN fx_parent ON subtopic = topic GROUP BY 1) t USING (author_id)
-    LEFT JOIN (SELECT author_id, CAST(COUNT(*) AS INTEGER) AS n_coauthors, MIN(CASE WHEN k = 1 THEN co END) AS coauthor, MIN(CASE WHEN k = 1 THEN n END) AS shared FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY author_id ORDER BY n DESC, co) AS k FROM (
-      SELECT a.author_id, {_URI.format('author')} b.author_id AS co, COUNT(*) AS n FROM fx_authorship a JOIN fx_authorship b ON b.paper_id = a.paper_id AND b.author_id <> a.author_id GROUP BY 1, 2 HAVING COUNT(*) >= 2) x) y GROUP BY 1) c USING (author_id)
+@query(f"""SELECT {_URI.format('author')} a.author_id AS author, a.name, CAST(1 AS INTEGER) AS n_orgs, {_URI.format('org')} a.org AS org, p.n_papers,
+    p.first_paper, t.n_subtopics, t.n_main_topics, c.n_coauthors, c.coauthor, c.shared, r.dominant_role AS role FROM fx_author a
+    LEFT JOIN (SELECT author_id, CAST(COUNT(*) AS INTEGER) AS n_papers, MIN({_URI.format('paper')} paper_id) AS first_paper FROM fx_authorship
+    GROUP BY 1) p USING (author_id)
+    LEFT JOIN (SELECT author_id, CAST(COUNT(DISTINCT topic) AS INTEGER) AS n_subtopics, CAST(COUNT(DISTINCT main_topic) AS INTEGER) AS n_main_topics
+    FROM (SELECT DISTINCT author_id, topic FROM fx_authorship JOIN fx_t3 USING (paper_id)) x JOIN fx_parent ON subtopic = topic
+    GROUP BY 1) t USING (author_id)
+    LEFT JOIN (SELECT author_id, CAST(COUNT(*) AS INTEGER) AS n_coauthors, MIN(CASE WHEN k = 1 THEN co END) AS coauthor,
+    MIN(CASE WHEN k = 1 THEN n END) AS shared FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY author_id ORDER BY n DESC, co) AS k FROM (
+      SELECT a.author_id, {_URI.format('author')} b.author_id AS co, COUNT(*) AS n FROM fx_authorship a
+      JOIN fx_authorship b ON b.paper_id = a.paper_id AND b.author_id <> a.author_id GROUP BY 1, 2 HAVING COUNT(*) >= 2) x) y
+      GROUP BY 1) c USING (author_id)
     LEFT JOIN roled r USING (author_id)""")
 def author_summaries(e):
     """A JSON record for each author of the graph, and what stands in it."""
@@ -842,7 +967,9 @@ def explain_json(e):
     return rows.select("pipeline", "ranking_method", "n_candidates", "quota_per_role", "c.rank", "c.author_id", "c.name", "c.career_span", "c.total_citations", "c.dominant_role")
 
 
-@query("SELECT role, COUNT(*) OVER (PARTITION BY role) AS n_members, author_id, round(prob, 4) AS role_prob, CAST(rn - 1 AS INTEGER) AS place FROM pool", **ANYONE)
+@query(
+    """SELECT role, COUNT(*) OVER (PARTITION BY role) AS n_members, author_id, round(prob, 4) AS role_prob, CAST(rn - 1 AS INTEGER) AS place FROM pool""", **ANYONE
+)
 def explain_pool(e):
     """The pools of the explanation, read back from its JSON."""
     x = _told(e, "proposed").select("pool_role_distribution", F.explode("role_groups_detail").alias("role", "members"))
