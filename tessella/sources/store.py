@@ -77,11 +77,19 @@ def quoted(name: str) -> str:
 
 
 def _write(df: DataFrame, path: str, partition_by: str | None) -> DataFrame:
-    out = df.write
-    (out.partitionBy(partition_by) if partition_by else out).parquet(path)
+    if partition_by:  # few files for each value, more for a large one
+        df.hint("rebalance", partition_by).write.partitionBy(partition_by).parquet(path)
+    else:
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*map(quoted, df.columns))
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Takes away a table that nothing needs any more."""
+    at, fs = _path(spark, path)
+    fs.delete(at, True)
+
+
 def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Writes `df` once to the shared folder and reads it back: a cut in the lineage that outlives executors."""
     return _write(df, new_path(df.sparkSession, name), partition_by)
