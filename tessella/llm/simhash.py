@@ -238,8 +238,8 @@ def similar_sets(classes: DataFrame, docs: DataFrame, width: int, least: float,
     tiled = able.select("node", *words, F.floor(F.ln("n") / F.lit(step)).alias("tile"))
     groups = written(connected_components(near_pairs(tiled, [(0, None), (-1, None)], radius, block)), "groups")
     wanted = written(groups.join(classes, "node"), "wanted")
-    ids = wanted.select(F.col("id").alias("wanted_id")).distinct()
-    ids = F.broadcast(ids) if wanted.count() < 2_000_000 else ids
+    # Written, so that its size is known: Spark itself then broadcasts it or, beyond its threshold, shuffles.
+    ids = written(wanted.select(F.col("id").alias("wanted_id")).distinct(), "ids")
     texts = docs.join(ids, F.col("id").eqNullSafe(F.col("wanted_id")), "left_semi").select("text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.common import binary, join_hot, new_path, quoted, written
+from tessella.sources.store import remove
 
 SALTS = 16
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
@@ -42,7 +43,7 @@ def _hashed(pages: DataFrame, id_col: str, url_col: str, payload_col: str) -> Da
 
     rows = pages.select(F.col(quoted(id_col)).cast("long").alias("page_id"), F.col(quoted(url_col)).cast("string").alias("url"), F.col(quoted(payload_col)).cast("string").alias("payload"))
     hashed = rows.mapInArrow(run, "page_id long, url string, sha256 string, sha1 string, size long, zstd binary")
-    return written(hashed.withColumn("row", F.monotonically_increasing_id()), "hashed")
+    return hashed.withColumn("row", F.monotonically_increasing_id())
 
 
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 1000, date: str = "2024-01-01T00:00:00Z") -> None:
@@ -57,7 +58,9 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     all rows but the first are left out by their number, so payloads stay where they are as long as the list
     of those rows is small.
     """
-    rows = _hashed(pages, id_col, url_col, payload_col)
+    staged = new_path(pages.sparkSession, "hashed")
+    _hashed(pages, id_col, url_col, payload_col).write.option("compression", "none").parquet(staged)
+    rows = pages.sparkSession.read.parquet(staged)
     slim = rows.drop("zstd")
     last = F.max(F.struct("page_id", (-F.col("row")).alias("back")))
     equal = written(slim.groupBy("sha256").agg(last.alias("last"), F.min("row").alias("first"), F.count("*").alias("copies")), "equal")
@@ -86,6 +89,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
         http,
     )
     slim.select(F.encode(header, "UTF-8").alias("header"), "sha256").write.option("compression", "zstd").parquet(f"{path}/records")
+    remove(pages.sparkSession, staged)
 
 
 def _fields(header: bytes) -> dict[str, str]:
