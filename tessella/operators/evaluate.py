@@ -11,12 +11,15 @@ from tessella.functions.text import normalize
 def ground_truth(authors: DataFrame, tag: str, match: str = "equals") -> DataFrame:
     """(author_id, n_citation), most cited first: authors whose normalized tag equals the query's, or with match='contained' lies in it.
 
-    Ties by id. Authors without a tag are left out.
+    Ties by id. Authors without a tag are left out. A column of tag lists counts an author once if any tag fits.
     """
+    listed = authors.schema["tag"].dataType.simpleString().startswith("array")
+    authors = authors.withColumn("tag", F.explode("tag")) if listed else authors
     mine, asked = normalize(F.col("tag")), normalize(F.lit(tag))
     fits = mine == asked if match == "equals" else F.instr(asked, mine) > 0
     kept = authors.where(F.col("tag").isNotNull() & fits)
-    return kept.select("author_id", "n_citation").orderBy(F.desc("n_citation"), "author_id")
+    kept = kept.select("author_id", "n_citation")
+    return (kept.distinct() if listed else kept).orderBy(F.desc("n_citation"), "author_id")
 
 
 def judged(predicted: DataFrame, truth: DataFrame) -> DataFrame:

@@ -196,6 +196,8 @@ def test_ground_truth_tags(spark):
     assert [r.author_id for r in evaluate.ground_truth(a, "Data-Mining").collect()] == [2]
     assert [r.author_id for r in evaluate.ground_truth(a, "womens health").collect()] == [4]
     assert [r.author_id for r in evaluate.ground_truth(a, "big data mining", "contained").collect()] == [1]
+    listed = spark.createDataFrame([(1, ["x", "Data Mining", "data-mining", "data mining"], 5.0), (2, [], 9.0), (3, None, 9.0), (4, [None, "DATA  mining"], 7.0)], "author_id int, tag array<string>, n_citation double")
+    assert [r.author_id for r in evaluate.ground_truth(listed, "data mining").collect()] == [4, 1]
 
 
 def graph(spark):
