@@ -13,6 +13,9 @@ from tessella.llm.common import join_hot, partitions, quoted, written
 from tessella.llm.components import connected_components, merged_labels
 
 
+SAMPLE_BYTES = 1 << 26  # of the vectors on which centroids are fit
+
+
 def spherical_kmeans(x: np.ndarray, cells: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
     """Unit centroids of unit rows; a cell that loses all its rows is given the row worst served."""
     rng = np.random.default_rng(seed)
@@ -98,15 +101,16 @@ def near_duplicates(
     cosine `least` are, sqrt(2 - 2 * least), and nothing is missed: of two that differ by less, the one nearer to
     its own centroid by more than this could not have the other beyond the plane between the two. A smaller
     margin misses pairs. All pairs of a cell, visitors included, are compared in blocks of double-precision
-    products; only pairs of cosine `least` or more count. The centroids are fit on at most `sample` nodes, those
-    of least hash; every row is indexed. Unless given, their number is one for 4096 nodes, 16 at least (of 1024
+    products; only pairs of cosine `least` or more count. The centroids are fit on at most `sample` nodes (and
+    64 MB of them), those of least hash; every row is indexed. Unless given, their number is one for 4096 nodes, 16 at least (of 1024
     nodes or more) and at most one for 8 of the sample; a cell of more than `block` nodes is cut into blocks.
     A task holds one block and streams the visitors past it. Vectors without clusters are near to half of all
     cells, whatever their number.
 
     n_links counts other rows, copies included; component_id is the smallest id reachable and kept says
     that it is the row's own. Vectors that are null, empty, zero or hold null or non-finite components
-    link with nothing, and vectors of different lengths don't link with each other. A row with a null id
+    link with nothing, and vectors of different lengths don't link with each other. Tiny and huge components
+    count as they are, for vectors are scaled before their norm is taken. A row with a null id
     counts as nobody's link: its n_links is 0, its component_id null and kept true. Rows that repeat an id
     are rows of their own. An empty table gives an empty result; extra columns are not read.
     """
@@ -127,6 +131,8 @@ def near_duplicates(
     n_nodes = distinct.count()
     margin = np.sqrt(max(0, 2 - 2 * least)) if margin is None else margin
     fitted: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # centroids, and how much farther than the nearest a cell may be
+    widest = distinct.agg(F.max("dim")).first()[0] or 1
+    sample = max(1, min(sample, SAMPLE_BYTES // (8 * widest)))
     picked = nodes.orderBy("node").limit(sample).select("node", "dim", "v").toPandas().sort_values("node")
     for dim, part in picked.groupby("dim"):
         x = np.stack(part["v"].to_numpy()).astype(np.float64)

@@ -243,12 +243,16 @@ def similar_sets(classes: DataFrame, docs: DataFrame, width: int, least: float,
     texts = docs.join(ids, F.col("id").eqNullSafe(F.col("wanted_id")), "left_semi").select("text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # a task sends each set once
         for batch in batches:
-            made = [shingle_set(t, width) for t in binary(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array(map(_name, made), pa.int64()), pa.array([x.tobytes() for x in made], pa.binary())], names=["node", "elements"])
+            made = {_name(x): x.tobytes() for x in (shingle_set(t, width) for t in binary(batch.column(0)))}
+            new = [k for k in made if k not in seen]
+            seen.update(new)
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.int64()), pa.array([made[k] for k in new], pa.binary())], names=["node", "elements"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, a, b), group in streamed_groups(batches, 3):
+            group = group.take(np.unique(group.column("node").to_numpy(), return_index=True)[1])
             node = group.column("node").to_numpy()
             x = np.stack([group.column(c).to_numpy() for c in words], axis=1).view(np.uint64)
             found = [np.frombuffer(e, np.uint64) for e in group.column("elements").to_pylist()]
@@ -260,7 +264,7 @@ def similar_sets(classes: DataFrame, docs: DataFrame, width: int, least: float,
     totals = wanted.groupBy("component").agg(F.sum("n").alias("total"), F.count("*").alias("members"))
     big = totals.select("component", F.ceil(F.greatest(F.col("total") / room, F.col("members") / most)).cast("int").alias("blocks")).where("blocks > 1")
     placed = wanted.join(big, "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    placed = texts.mapInArrow(sets, "node long, elements binary").dropDuplicates(["node"]).join(placed.drop("id", "n"), "node")
+    placed = texts.mapInArrow(sets, "node long, elements binary").join(written(placed.drop("id", "n"), "placed"), "node")
     met = placed.withColumn("c", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component", F.greatest("mine", "c").alias("a"), F.least("mine", "c").alias("b"), "node", "mine", *words, "elements")
     key = ["component", "a", "b"]
     return met.repartition(n, *key).sortWithinPartitions(*key).mapInArrow(check, "u long, v long")
