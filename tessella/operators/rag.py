@@ -40,6 +40,18 @@ def _joined(rows: DataFrame, label: Column, order: list[Column], separator: str,
     return ranked.groupBy("author").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", label.alias("x")))), lambda s: s["x"]), separator).alias(name))
 
 
+def _shared(links: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
+    """links(paper, author), wanted(author) -> (author, x, n): a wanted author's coauthors and how many papers they share.
+
+    A pair of two wanted authors is counted once and mirrored.
+    """
+    flagged = links.withColumnRenamed("author", "x").join(wanted.select(F.col("author").alias("x"), F.lit(True).alias("both")), "x", "left")
+    pairs = links.join(wanted, "author", "left_semi").join(flagged, "paper").where("x <> author and (both is null or author < x)")
+    counts = pairs.groupBy("author", "x", "both").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    one, other = F.struct("author", "x", "n"), F.struct(F.col("x").alias("author"), F.col("author").alias("x"), "n")
+    return counts.select(F.explode(F.when(F.col("both"), F.array(one, other)).otherwise(F.array(one))).alias("p")).select("p.*")
+
+
 def texts(g: DataFrame, authors: DataFrame, least: int = 2, with_role: bool = True) -> DataFrame:
     """(author, text) for authors(author): name, up to 10 papers, subtopics, up to 10 coauthors, role.
 
@@ -55,7 +67,7 @@ def texts(g: DataFrame, authors: DataFrame, least: int = 2, with_role: bool = Tr
     papers = _joined(own.withColumnRenamed("paper", "x").join(titles, "x", "left"), title, [F.col("x")], "; ", "papers", CAP)
     subs = kg.subtopics(g).join(wanted, "author", "left_semi").withColumnRenamed("subtopic", "x").join(titles, "x", "left")
     subs = _joined(subs, title, [F.col("x")], ", ", "subtopics")
-    shared = own.join(links.withColumnRenamed("author", "x"), "paper").where("x <> author").groupBy("author", "x").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    shared = _shared(links, wanted, least)
     co = _joined(shared.join(titles, "x", "left"), F.concat(title, F.lit(" ("), F.col("n").cast("string"), F.lit(")")), [F.desc("n"), F.col("x")], ", ", "coauthors", CAP)
     rows = wanted.join(titles.select(F.col("x").alias("author"), F.col("x_title").alias("name")), "author", "left").join(papers, "author", "left").join(subs, "author", "left").join(co, "author", "left")
     line = lambda head, c: F.concat(F.lit(head), F.when(F.col(c) != "", F.col(c)))
@@ -87,7 +99,7 @@ def summaries(g: DataFrame, authors: DataFrame, least: int = 1) -> DataFrame:
         named = rows.join(wanted, "author", "left_semi").distinct().join(titles, "uri", "left")
         return named.groupBy("author").agg(F.sort_array(F.collect_list(F.struct("uri", "title"))).alias(name))
 
-    shared = own.join(links.withColumnRenamed("author", "uri"), "paper").where("uri <> author").groupBy("author", "uri").agg(F.count("*").alias("count")).where(F.col("count") >= least)
+    shared = _shared(links, wanted, least).withColumnsRenamed({"x": "uri", "n": "count"})
     co = shared.join(titles, "uri", "left").groupBy("author").agg(F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("o"), "uri", "title", "count"))).alias("c"))
     co = co.select("author", F.transform("c", lambda x: F.struct(x["uri"].alias("uri"), x["title"].alias("name"), x["count"].alias("count"))).alias("coauthors"))
     probs = [f"prob_{r}" for r in kg.ROLE_LABELS]

@@ -12,21 +12,31 @@ from tessella.functions import text as T
 from tessella.functions import vectors as V
 from tessella.operators import career, diversity, kg, rag, recency, retrieval, roles, tensor, trajectory
 from tessella.sources import fixtures as fx
-from tessella.sources.store import kept, stamp
+from tessella.sources.store import kept, stamp, written
 
 
 class Expert(fx.Fixtures):
-    """The steps hand each other written tables, each made once for a session and a state of the input: plans stay small."""
+    """The steps hand each other written tables, so plans stay small.
+
+    Those of the offline pipeline are made once for a session and a state of the input; those of a query
+    once for each instance.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str, query: str = fx.QUERY_TEXT):
         super().__init__(spark, sf_dir)
         self.query = query
         self._state: tuple | None = None
+        self._made: dict[str, DataFrame] = {}
 
-    def once(self, name: str, df: Callable[[], DataFrame], partition_by: str | None = None) -> DataFrame:
-        self._state = self._state or (self.dir, self.query, stamp(self.spark, self.dir))
+    def offline(self, name: str, df: Callable[[], DataFrame], partition_by: str | None = None) -> DataFrame:
+        self._state = self._state or (self.dir, stamp(self.spark, self.dir))
         return kept(self.spark, self._state, name, df, partition_by)
 
+    def once(self, name: str, df: Callable[[], DataFrame]) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = written(df(), name)
+        return self._made[name]
+
     def tensor(self, level: int = 2) -> DataFrame:
         return tensor.tensor(self.papers(), self.links(), self.topics(level))
 
@@ -41,10 +51,10 @@ class Expert(fx.Fixtures):
 
     def second_order(self) -> DataFrame:
         """The second-order tensor, written: several steps read it."""
-        return self.once("tensor", self.tensor)
+        return self.offline("tensor", self.tensor)
 
     def regime_map(self) -> DataFrame:
-        return self.once("regimes", lambda: career.regimes(self.authors(), self.profiles(), self.second_order(), fx.END_YEAR, fx.WINDOW))
+        return self.offline("regimes", lambda: career.regimes(self.authors(), self.profiles(), self.second_order(), fx.END_YEAR, fx.WINDOW))
 
     def of_regime(self, regime: str) -> tuple[DataFrame, DataFrame]:
         """(tensor rows of the regime's authors, their rows of the map)"""
@@ -53,7 +63,7 @@ class Expert(fx.Fixtures):
 
     def cells(self) -> DataFrame:
         t, members = self.of_regime("B")
-        return self.once("cells", lambda: trajectory.sliced(t, members, fx.SLICE))
+        return self.offline("cells", lambda: trajectory.sliced(t, members, fx.SLICE))
 
     def features_b(self) -> DataFrame:
         return trajectory.features(self.cells(), self.of_regime("B")[1])
@@ -69,17 +79,17 @@ class Expert(fx.Fixtures):
         return roles.logs(roles.inputs(self.regime_map(), roles.positions(self.authorship()), self.features_b(), self.features_a()))
 
     def scored(self) -> DataFrame:
-        return roles.scores(roles.zscores(self.once("inputs", self.role_inputs)))
+        return roles.scores(roles.zscores(self.offline("inputs", self.role_inputs)))
 
     def roled(self) -> DataFrame:
-        return self.once("roled", lambda: roles.probabilities(self.scored()))
+        return self.offline("roled", lambda: roles.probabilities(self.scored()))
 
     def graph(self, with_roles: bool = False, share: tuple[str, ...] = ()) -> DataFrame:
         """The whole bibliography as triples. Branches whose predicate a query excludes are pruned from its plan.
 
         What `share` names is read by several branches or several times, so it is written first.
         """
-        shared = lambda name, df: self.once(name, df) if name in share else df()
+        shared = lambda name, df: self.offline(name, df) if name in share else df()
         uri = kg.uri
         author, paper = uri("author", F.col("author_id")), uri("paper", F.col("paper_id"))
         a, p, h, links = self.authors(), self.papers(), self.hierarchy(), shared("links", self.links)
@@ -99,7 +109,7 @@ class Expert(fx.Fixtures):
 
     def store(self) -> DataFrame:
         """The graph with roles as a table partitioned by predicate, for queries of many patterns."""
-        return self.once("graph", lambda: self.graph(True, ("links", "topics", "profiles", "authorship")), "p")
+        return self.offline("graph", lambda: self.graph(True, ("links", "topics", "profiles", "authorship")), "p")
 
     def retrieved(self) -> DataFrame:
         """(doc_id, score) of the hybrid retrieval for the fixed query."""
