@@ -27,13 +27,21 @@ def merged_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray
         label = root[label]
 
 
+def least_of(node: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """For each row the least node of those that have its label."""
+    out = np.full(len(node), np.iinfo(np.int64).max)
+    np.minimum.at(out, label, node)
+    return out[label]
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges(u long, v long) -> (node, component): component is the smallest node reachable.
 
     Nodes without an edge to another node are absent. Each round hooks every node to the neighbour
     (or itself) of least hash, salted by the round, and replaces the nodes of each edge by their hooks:
     connected nodes stay connected, and a random order shrinks even a long path by a constant factor,
-    so rounds grow with the logarithm of the longest path. No neighbour list is ever gathered (a hub
+    so rounds grow with the logarithm of the longest path. In the first round the order is that of the
+    nodes themselves, which ends it for stars about their least node, as most edge tables here are. No neighbour list is ever gathered (a hub
     costs one partial minimum per task), and each round is written, so no lineage builds up.
 
     Null ends and loops are dropped, repeated edges count once, no edges give no rows.
@@ -47,7 +55,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     hooks: list[DataFrame] = []
     while not edges.isEmpty():
         seen = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(len(hooks))).alias("h"), F.col(c).alias("n"))
+        rank = lambda c: F.struct((F.xxhash64(F.col(c), F.lit(len(hooks))) if hooks else F.lit(0)).alias("h"), F.col(c).alias("n"))
         hook = written(
             seen.groupBy("u").agg(F.min(rank("v")).alias("best")).select(F.col("u").alias("node"), F.least(rank("u"), "best")["n"].alias("hook")),
             "hooks",

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import join_hot, partitions, quoted, written
-from tessella.llm.components import connected_components, merged_labels
+from tessella.llm.components import connected_components, least_of, merged_labels
 
 
 SAMPLE_BYTES = 1 << 26  # of the vectors on which centroids are fit
@@ -64,6 +64,7 @@ class _Block:
             self.links[a : a + len(close)] = close @ self.copies
             i, j = np.nonzero(close & (self.label[a : a + len(close), None] != self.label[None]))
             self.label = merged_labels(self.label, i + a, j)
+        self.first = least_of(self.node, self.label)
 
     def meet(self, node: np.ndarray, copies: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
         for a in range(0, len(node), self.step):
@@ -75,14 +76,14 @@ class _Block:
             self.links += copies[a + found] @ close
             yield _found(node[a + found], close @ self.copies)
             i, j = np.nonzero(close)
-            i, j = np.unique(np.stack([found[i], self.label[j]]), axis=1)
-            yield _found(node[a + i], np.zeros(len(i)), self.node[j])
+            i, first = np.unique(np.stack([found[i], self.first[j]]), axis=1)
+            yield _found(node[a + i], np.zeros(len(i)), first)
 
     def close(self) -> Iterator[pa.RecordBatch]:
         linked = np.flatnonzero(self.links)
         yield _found(self.node[linked], self.links[linked])
-        moved = np.flatnonzero(self.label != np.arange(len(self.label)))
-        yield _found(self.node[moved], np.zeros(len(moved)), self.node[self.label[moved]])
+        moved = np.flatnonzero(self.node != self.first)
+        yield _found(self.node[moved], np.zeros(len(moved)), self.first[moved])
 
 
 def _found(node: np.ndarray, links: np.ndarray, peer: np.ndarray | None = None) -> pa.RecordBatch:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import binary, free_names, join_hot, partitions, quoted, streamed_groups, written
-from tessella.llm.components import connected_components, merged_labels
+from tessella.llm.components import connected_components, least_of, merged_labels
 
 WORDS = 4  # a fingerprint of 64 bits is read as this many words of 16 bits
 BITS = 16
@@ -141,10 +141,10 @@ def near_pairs(tiled: DataFrame, moves: list[tuple[int, Column | None]], radius:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def edges(node: np.ndarray, x: np.ndarray, split: int | None) -> Iterator[pa.RecordBatch]:
-            label = _tile_labels(x, split, radius)
-            moved = np.flatnonzero(label != np.arange(len(label)))
+            least = least_of(node, _tile_labels(x, split, radius))
+            moved = np.flatnonzero(node != least)
             if len(moved):
-                yield pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[label[moved]])], names=["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(least[moved])], names=["u", "v"])
 
         def met() -> Iterator[pa.RecordBatch]:
             if len(held) > 1:
@@ -257,9 +257,10 @@ def similar_sets(classes: DataFrame, docs: DataFrame, width: int, least: float,
             x = np.stack([group.column(c).to_numpy() for c in words], axis=1).view(np.uint64)
             found = [np.frombuffer(e, np.uint64) for e in group.column("elements").to_pylist()]
             mine = group.column("mine").to_numpy()
-            u, v = _verified(x, found, None if a == b else mine == a, least, radius)
-            if len(u):
-                yield pa.RecordBatch.from_arrays([pa.array(node[u]), pa.array(node[v])], names=["u", "v"])
+            first = least_of(node, _verified(x, found, None if a == b else mine == a, least, radius))
+            moved = np.flatnonzero(node != first)
+            if len(moved):
+                yield pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(first[moved])], names=["u", "v"])
 
     totals = wanted.groupBy("component").agg(F.sum("n").alias("total"), F.count("*").alias("members"))
     big = totals.select("component", F.ceil(F.greatest(F.col("total") / room, F.col("members") / most)).cast("int").alias("blocks")).where("blocks > 1")
@@ -278,12 +279,10 @@ def _shared(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return np.add.reduceat((one[at] == flat).astype(np.int64), edges)
 
 
-def _verified(x: np.ndarray, sets: list[np.ndarray], home: np.ndarray | None, least: float, radius: int, step: int = 256) -> tuple[list[int], list[int]]:
-    """Pairs of Jaccard `least` or more that join all such pairs within `radius` bits: among all, or of `home` with the others."""
+def _verified(x: np.ndarray, sets: list[np.ndarray], home: np.ndarray | None, least: float, radius: int, step: int = 256) -> np.ndarray:
+    """Labels that join all pairs of Jaccard `least` or more within `radius` bits: among all, or of `home` with the others."""
     size = np.array([len(s) for s in sets])
     label = np.arange(len(sets))
-    u: list[int] = []
-    v: list[int] = []
     own = np.arange(len(sets)) if home is None else np.flatnonzero(home)
     others = own if home is None else np.flatnonzero(~home)
     for a in range(0, len(own), step):
@@ -303,11 +302,9 @@ def _verified(x: np.ndarray, sets: list[np.ndarray], home: np.ndarray | None, le
                 tried, rest = rest[:take], rest[take:]
                 shared = _shared(sets[one], [sets[k] for k in tried])
                 for k in tried[shared >= least * (size[one] + size[tried] - shared) - _EPS].tolist():
-                    if label[k] != label[one]:
-                        u.append(one), v.append(k)
-                        label[label == label[k]] = label[one]
+                    label[label == label[k]] = label[one]
                 take = min(2 * take, 1024)
-    return u, v
+    return label
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, words: int = 4, radius: int = 72) -> DataFrame:

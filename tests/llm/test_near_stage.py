@@ -114,6 +114,7 @@ def test_candidates_of_other_sizes_or_strips_are_no_links():
     rng = np.random.default_rng(8)
     sets = [np.unique(rng.integers(0, 2**64, 40 + 40 * (k % 2), np.uint64)) for k in range(6)]
     x = np.array([simhash.wide_fingerprint(s) for s in sets], np.uint64)
-    assert simhash._verified(x, sets, None, 0.8, 72, step=2) == ([], [])
-    assert simhash._verified(x, sets, None, 0.8, 256, step=2) == ([], [])
-    assert simhash._verified(x[[0, 1, 0]], [sets[0], sets[1], sets[0]], None, 0.8, 72, step=1) == ([2], [0])
+    for radius in (72, 256):
+        assert simhash._verified(x, sets, None, 0.8, radius, step=2).tolist() == [0, 1, 2, 3, 4, 5]
+    label = simhash._verified(x[[0, 1, 0]], [sets[0], sets[1], sets[0]], None, 0.8, 72, step=1)
+    assert label[0] == label[2] != label[1]
