@@ -2,20 +2,41 @@
 
 from __future__ import annotations
 
-import pytest
-
+from tessella.operators import evaluate, trajectory
 from tessella.plans.expert import Expert
+from tessella.sources import store
 
 SF = "/root/testdata/sf0.001"
 
 
+class Long(Expert):
+    """A ranking of 150 authors, each of the same tag."""
+
+    def ranking(self):
+        return self.spark.range(1, 151).selectExpr("id as author_id", "cast(id as int) as rank")
+
+    def authors(self):
+        return self.spark.range(1, 301).selectExpr("id as author_id", "'a' as tag")
+
+
+def test_recall_counts_the_whole_ranking(spark):
+    e = Long(spark, SF)
+    assert [tuple(r) for r in evaluate.recall(evaluate.judged(e.predicted(), e.truth()), e.truth()).collect()] == [("a", 0.5)]  # 1 / 3 with the first 100
+
+
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("step", ["features_b", "features_a", "role_inputs"])
-def test_tables_of_all_authors_are_not_broadcast(spark, step):
-    assert "BroadcastHashJoin" not in plan(getattr(Expert(spark, SF), step)())
+def test_a_kept_table_is_not_broadcast_whatever_its_files_weigh(spark, tmp_path):
+    found = store.kept(spark, (str(tmp_path),), "ids", lambda: spark.range(1000).withColumnRenamed("id", "author_id"))
+    assert "BroadcastHashJoin" not in plan(found.where("author_id > 5").join(spark.range(10).withColumnRenamed("id", "author_id"), "author_id"))
+
+
+def test_slices_join_the_map_of_authors_without_a_broadcast(spark):
+    e = Expert(spark, SF)
+    t, members = e.of_regime("B")
+    assert "BroadcastHashJoin" not in plan(t) and "BroadcastHashJoin" not in plan(trajectory.sliced(t, members, 2))
 
 
 def test_roles_and_contexts_join_all_authors_without_a_broadcast(spark):
