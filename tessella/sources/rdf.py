@@ -18,16 +18,20 @@ PREFIXES = {
 SCHEMA = "s string, p string, o string, kind string, dtype string"
 
 
+def _renamed(c: Column, heads: dict[str, str]) -> Column:
+    """c with the first of `heads` that it starts with replaced: one test for each, so c should be a plain column."""
+    out = c
+    for head, full in reversed(heads.items()):
+        out = F.when(c.startswith(head), F.concat(F.lit(full), F.substring(c, len(head) + 1, 1 << 30))).otherwise(out)
+    return out
+
+
 def _long(c: Column, prefixes: dict[str, str]) -> Column:
-    for short, full in prefixes.items():
-        c = F.when(c.startswith(short), F.concat(F.lit(full), F.substring(c, len(short) + 1, 1 << 30))).otherwise(c)
-    return c
+    return _renamed(c, prefixes)
 
 
 def _short(c: Column, prefixes: dict[str, str]) -> Column:
-    for short, full in prefixes.items():
-        c = F.when(c.startswith(full), F.concat(F.lit(short), F.substring(c, len(full) + 1, 1 << 30))).otherwise(c)
-    return c
+    return _renamed(c, {full: short for short, full in prefixes.items()})
 
 
 _ESCAPES = (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"))
@@ -45,23 +49,32 @@ def ntriples(g: DataFrame, prefixes: dict[str, str] | None = None) -> DataFrame:
     return g.select(F.concat_ws(" ", name("s"), name("p"), obj, F.lit(".")).alias("value"))
 
 
-_LINE = r'^\s*<([^>]*)>\s+<([^>]*)>\s+(?:<([^>]*)>|"((?:[^"\\]|\\.)*)"(?:\^\^<([^>]*)>|@([A-Za-z0-9-]+))?)\s*\.\s*$'
+#: Subject, predicate, the sign of an IRI, the IRI, the literal, its type. The literal's loop is possessive: it neither backtracks nor recurses.
+_LINE = r'^\s*<([^>]*)>\s+<([^>]*)>\s+(?:(<)([^>]*)>|"([^"\\]*+(?:\\.[^"\\]*+)*+)"(?:\^\^<([^>]*)>|@[A-Za-z0-9-]+)?)\s*\.\s*$'
+#: What a line becomes in one match. Only the last part may hold the separator. It is shorter than any line that fits, so one that stays as it was doesn't fit.
+_PARTS, _SEPARATOR = "$1>$2>$3$4>$6>$5", ">"
 
 
 def parse_ntriples(lines: DataFrame, prefixes: dict[str, str] | None = None) -> DataFrame:
-    """N-Triples lines (value) to triples; comments and blank lines are skipped, any other line that is none raises an error."""
+    """N-Triples lines (value) to triples; comments and blank lines are skipped, any other line that is none raises an error.
+
+    A line is matched once; its parts are columns before anything is asked of them.
+    """
     prefixes = prefixes or PREFIXES
-    wanted = lines.where(~F.col("value").rlike(r"^\s*(#.*)?$"))
-    part = lambda i: F.regexp_extract("value", _LINE, i)
-    text = F.replace(part(4), F.lit("\\\\"), F.lit("\x00"))
+    value = F.col("value")
+    wanted = lines.where(~value.rlike(r"^\s*(#.*)?$")).select("value", F.regexp_replace("value", _LINE, _PARTS).alias("parts"))
+    fits = F.when(F.col("parts") == value, F.raise_error(F.concat(F.lit("not an N-Triples line: "), "value"))).otherwise(F.split("parts", _SEPARATOR, 5))
+    part = wanted.select(fits.alias("x")).select(*[F.col("x")[i].alias(n) for i, n in enumerate(("s", "p", "iri", "dtype", "text"))])
+    is_uri = F.col("iri").startswith("<")
+    text = F.replace(F.col("text"), F.lit("\\\\"), F.lit("\x00"))
     for a, b in _ESCAPES[1:]:
         text = F.replace(text, F.lit(b), F.lit(a))
-    text = F.replace(text, F.lit("\x00"), F.lit("\\"))
-    is_uri = F.col("value").rlike(r"^\s*<[^>]*>\s+<[^>]*>\s+<")
-    fits = F.when(F.col("value").rlike(_LINE), part(1)).otherwise(F.raise_error(F.concat(F.lit("not an N-Triples line: "), "value")))
-    return wanted.select(
-        _short(fits, prefixes).alias("s"), _short(part(2), prefixes).alias("p"), F.when(is_uri, _short(part(3), prefixes)).otherwise(text).alias("o"),
-        F.when(is_uri, "uri").otherwise("literal").alias("kind"), F.when(~is_uri, F.when(part(5) != "", _short(part(5), prefixes)).otherwise("xsd:string")).alias("dtype"),
+    text = F.when(F.col("text").contains("\\"), F.replace(text, F.lit("\x00"), F.lit("\\"))).otherwise(F.col("text"))
+    part = part.withColumn("iri", F.when(is_uri, F.substring("iri", 2, 1 << 30)))
+    return part.select(
+        _short(F.col("s"), prefixes).alias("s"), _short(F.col("p"), prefixes).alias("p"), F.when(F.col("iri").isNotNull(), _short(F.col("iri"), prefixes)).otherwise(text).alias("o"),
+        F.when(F.col("iri").isNotNull(), "uri").otherwise("literal").alias("kind"),
+        F.when(F.col("iri").isNull(), F.when(F.col("dtype") != "", _short(F.col("dtype"), prefixes)).otherwise("xsd:string")).alias("dtype"),
     )
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
+from tessella.functions import literals
 from tessella.operators import evaluate, trajectory
 from tessella.plans.expert import Expert
-from tessella.sources import store
+from tessella.sources import rdf, store
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,3 +46,30 @@ def test_roles_and_contexts_join_all_authors_without_a_broadcast(spark):
     e = Expert(spark, SF)
     joined = e.authors().select("author_id", "name").join(e.roled().select("author_id", "dominant_role"), "author_id", "left")
     assert "SortMergeJoin" in plan(joined) and plan(joined).count("BroadcastHashJoin") == 1  # the nations
+
+
+ODD = ["[]", "[{'id': 1}, None, 'x', ]", "[{'id': 'a]}, {', 'name': \"O'Neil\"}]", "[{'id': 'O\\'N'}]", "[,]", "[{'id': 1} {'id': 2}]", "[{'id': 'a' 'b'}]", "[1, [2], {'id': {3}}]", "[{'id': '''a'}, {'b'''}]", "({'id': 1},)", "[{'id': 1}] + [2]", "nonsense", "", " [{'id': 2}]", "[{'id': r'\\'}]", "[{'id': 1}, # x\n{'id': 2}]", "[{'id': b'x'}]"]
+
+
+def test_lists_parsed_some_entries_at_a_time_are_those_parsed_whole():
+    for text in [*ODD, "[" + ", ".join(f"{{'id': '{i}', 'name': None}}" for i in range(2500)) + "]"]:
+        whole = literals._literal(text)
+        want = [(None if not isinstance(d, dict) or d.get("id") is None else str(d["id"]),) for d in whole] if isinstance(whole, list) else None
+        assert literals.entries(text, ("id",)) == want, text[:80]
+
+
+def test_a_long_list_takes_little_more_than_its_text():
+    text = "[" + ", ".join(f"{{'id': '{i}', 'name': None}}" for i in range(50_000)) + "]"
+    tracemalloc.start()
+    try:
+        assert len(literals.entries(text, ("id", "name"))) == 50_000
+        assert tracemalloc.get_traced_memory()[1] < 25e6  # 272 MB where the list is parsed whole, without its rows
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_line_is_matched_once_and_long_literals_do_not_recurse(spark):
+    text = "a>b<" + 'x\\"\\n' * 20_000
+    found = rdf.parse_ntriples(spark.createDataFrame([(f'<ex:a> <ex:b> "{text}"^^<http://www.w3.org/2001/XMLSchema#string> .',), ("<> <ex:b> <> .",)], "value string"))
+    assert [tuple(r) for r in found.collect()] == [("ex:a", "ex:b", "a>b<" + 'x"\n' * 20_000, "literal", "xsd:string"), ("", "ex:b", "", "uri", None)]
+    assert plan(found).count(rdf._LINE) == 1
