@@ -5,7 +5,7 @@ from __future__ import annotations
 import tracemalloc
 
 from tessella.functions import literals
-from tessella.operators import evaluate, trajectory
+from tessella.operators import evaluate, kg, trajectory
 from tessella.plans.expert import Expert
 from tessella.sources import rdf, store
 
@@ -73,3 +73,9 @@ def test_a_line_is_matched_once_and_long_literals_do_not_recurse(spark):
     found = rdf.parse_ntriples(spark.createDataFrame([(f'<ex:a> <ex:b> "{text}"^^<http://www.w3.org/2001/XMLSchema#string> .',), ("<> <ex:b> <> .",)], "value string"))
     assert [tuple(r) for r in found.collect()] == [("ex:a", "ex:b", "a>b<" + 'x"\n' * 20_000, "literal", "xsd:string"), ("", "ex:b", "", "uri", None)]
     assert plan(found).count(rdf._LINE) == 1
+
+
+def test_more_rows_are_dealt_to_more_tasks(spark):
+    g = spark.range(1000).selectExpr("'s' || id % 10 as s", "'p' || id % 2 as p")
+    assert kg.dealt(g, 1000, "p", "s", at_once=20).rdd.getNumPartitions() == 50
+    assert sorted(tuple(r) for r in kg.predicate_counts(g).collect()) == [("p0", 500, 5), ("p1", 500, 5)]
