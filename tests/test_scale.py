@@ -5,7 +5,7 @@ from __future__ import annotations
 import tracemalloc
 
 from tessella.functions import literals
-from tessella.operators import evaluate, kg, trajectory
+from tessella.operators import evaluate, kg, spread, trajectory
 from tessella.plans.expert import Expert
 from tessella.sources import rdf, store
 
@@ -77,5 +77,14 @@ def test_a_line_is_matched_once_and_long_literals_do_not_recurse(spark):
 
 def test_more_rows_are_dealt_to_more_tasks(spark):
     g = spark.range(1000).selectExpr("'s' || id % 10 as s", "'p' || id % 2 as p")
-    assert kg.dealt(g, 1000, "p", "s", at_once=20).rdd.getNumPartitions() == 50
+    assert spread.dealt(g, 1000, "p", "s", at_once=20).rdd.getNumPartitions() == 50
     assert sorted(tuple(r) for r in kg.predicate_counts(g).collect()) == [("p0", 500, 5), ("p1", 500, 5)]
+
+
+def test_topics_reach_authors_without_shuffling_each_pair(spark):
+    links = spark.range(300).selectExpr("id % 7 as s", "id % 50 as author")
+    topics = spark.range(60).selectExpr("id % 7 as s", "id % 11 as topic")
+    found = [spread.gathered(links, topics, "s", "author", "topic", small=n).groupBy("author", "topic").count() for n in (100, 0)]
+    assert plan(found[0]).count("hashpartitioning(author") == 1  # the links; each pair of author and topic stays where it is made
+    few, many = [sorted(tuple(r) for r in x.collect()) for x in found]
+    assert few == many and len(few) > 50
