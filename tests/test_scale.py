@@ -88,3 +88,7 @@ def test_topics_reach_authors_without_shuffling_each_pair(spark):
     assert plan(found[0]).count("hashpartitioning(author") == 1  # the links; each pair of author and topic stays where it is made
     few, many = [sorted(tuple(r) for r in x.collect()) for x in found]
     assert few == many and len(few) > 50
+
+
+def test_parts_are_not_broadcast_to_lines(spark):
+    assert "p_partkey" not in "".join(x for x in plan(Expert(spark, SF).topics(3)).splitlines() if "BroadcastHashJoin" in x)
