@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tracemalloc
 
+from pyspark.sql import functions as F
+
 from tessella.functions import literals
 from tessella.operators import evaluate, kg, spread, trajectory
 from tessella.plans.expert import Expert
@@ -90,5 +92,10 @@ def test_topics_reach_authors_without_shuffling_each_pair(spark):
     assert few == many and len(few) > 50
 
 
+def test_a_query_s_candidates_are_not_broadcast(spark):
+    e = Expert(spark, SF)
+    assert "BroadcastHashJoin" not in plan(kg.roles(kg.role_triples(e.roled()), e.candidates().select(kg.uri("author", F.col("author_id")).alias("s"))))
+
+
 def test_parts_are_not_broadcast_to_lines(spark):
     assert "p_partkey" not in "".join(x for x in plan(Expert(spark, SF).topics(3)).splitlines() if "BroadcastHashJoin" in x)
