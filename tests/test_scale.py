@@ -7,7 +7,7 @@ import tracemalloc
 from pyspark.sql import functions as F
 
 from tessella.functions import literals
-from tessella.operators import evaluate, kg, spread, trajectory
+from tessella.operators import evaluate, kg, rag, spread, trajectory
 from tessella.plans.expert import Expert
 from tessella.sources import rdf, store
 
@@ -97,5 +97,11 @@ def test_a_query_s_candidates_are_not_broadcast(spark):
     assert "BroadcastHashJoin" not in plan(kg.roles(kg.role_triples(e.roled()), e.candidates().select(kg.uri("author", F.col("author_id")).alias("s"))))
 
 
+def test_many_authors_asked_for_are_not_broadcast(spark):
+    links, authors = spark.range(1000).selectExpr("cast(id % 50 as string) as author"), spark.range(60).selectExpr("cast(id % 30 as string) as author")
+    found = {n: links.join(rag._asked(authors, n), "author", "left_semi") for n in (30, 29)}
+    assert [("BroadcastHashJoin" in plan(x), x.count()) for x in found.values()] == [(True, 600), (False, 600)]
+
+
 def test_parts_are_not_broadcast_to_lines(spark):
     assert "p_partkey" not in "".join(x for x in plan(Expert(spark, SF).topics(3)).splitlines() if "BroadcastHashJoin" in x)
